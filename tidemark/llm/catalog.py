@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, mixing, quality, sharding
+from tidemark.llm import codec, fingerprints, mixing, quality, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,11 +25,19 @@ def op4_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op5_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -37,7 +46,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
         "op4_suffix_array_quality": op4_suffix_array_quality,
+        "op5_byte_bpe_codec": op5_byte_bpe_codec,
         "op7_mix_sources": op7_mix_sources,
+        "op8_token_counts": op8_token_counts,
         "op9_rendezvous_shards": op9_rendezvous_shards,
     }
 
