@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, mixing, quality, sharding, token_counts
+from tidemark.llm import codec, fingerprints, line_dedup, mixing, quality, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_next(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
 def op4_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -45,6 +49,7 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
+        "op2_line_dedup": op2_line_dedup,
         "op4_suffix_array_quality": op4_suffix_array_quality,
         "op5_byte_bpe_codec": op5_byte_bpe_codec,
         "op7_mix_sources": op7_mix_sources,
@@ -53,5 +58,27 @@ def queries() -> dict[str, Query]:
     }
 
 
+_OP2_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, pos, list_extract(parts, pos) AS line
+    FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), keyed AS (
+    SELECT doc_id, pos, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), hot AS (
+    SELECT key, max(doc_id) AS max_doc FROM keyed WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT k.doc_id, k.pos, k.line, h.key IS NOT NULL AND k.doc_id <> h.max_doc AS gone
+    FROM keyed k LEFT JOIN hot h ON k.key = h.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": _OP2_SQL}
