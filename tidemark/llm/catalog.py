@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, line_dedup, mixing, quality, sharding, token_counts
+from tidemark.llm import codec, fingerprints, jaccard_join, line_dedup, mixing, quality, sharding, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op9_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_classes(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -55,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op7_mix_sources": op7_mix_sources,
         "op8_token_counts": op8_token_counts,
         "op9_rendezvous_shards": op9_rendezvous_shards,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
