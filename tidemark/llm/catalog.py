@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, jaccard_join, line_dedup, mixing, quality, sharding, token_counts
+from tidemark.llm import codec, fingerprints, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op4_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
         "op2_line_dedup": op2_line_dedup,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_suffix_array_quality": op4_suffix_array_quality,
         "op5_byte_bpe_codec": op5_byte_bpe_codec,
         "op7_mix_sources": op7_mix_sources,
