@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, jaccard_join, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
+from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op5_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
+def op6_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.copies(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_suffix_array_quality": op4_suffix_array_quality,
         "op5_byte_bpe_codec": op5_byte_bpe_codec,
+        "op6_katz_scores": op6_katz_scores,
         "op7_mix_sources": op7_mix_sources,
         "op8_token_counts": op8_token_counts,
         "op9_rendezvous_shards": op9_rendezvous_shards,
