@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, shared
+from tidemark.llm import codec, jaccard_join, line_dedup, mixing, quality, shared
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the repetition rules reject go."""
+    return quality.keep(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them; n_chars follows the text."""
+    cut = line_dedup.dedup(docs)
+    length = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", length).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,11 +31,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix."""
+    return codec.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
+    ("drop_repeated_lines", drop_repeated_lines),
+    ("drop_near_copies", drop_near_copies),
     ("mix_sources", mix_sources),
+    ("encode", encode),
 ]
 
-#: Suffix-array and merge-replay stages have no SQL form; tests compare with brute force.
+#: Suffix arrays, components and merge replay have no SQL form; a test compares with brute force.
 ORACLE_SQL = None
 
 
