@@ -26,10 +26,12 @@ def read_lines(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFr
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     """Task files; corrupt ones are left out. The id is the file's name."""
-    schema = T.StructType([*[f for f in model.TASK if f.name != "task_id"], T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
-    named = rows.withColumn("task_id", scalars.stem(F.col("_metadata.file_name")))
-    return named.where(F.col("_corrupt").isNull()).select("task_id", *[f.name for f in model.TASK if f.name != "task_id"])
+    fields = [f for f in model.TASK if f.name != "task_id"]
+    schema = T.StructType([*fields, T.StructField("_corrupt", T.StringType())])
+    text = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.json").load(path)
+    task = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = text.select(scalars.stem(F.col("_metadata.file_name")).alias("task_id"), task.alias("task"))
+    return rows.where("task is not null and task._corrupt is null").select("task_id", *[f"task.{f.name}" for f in fields])
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
