@@ -28,7 +28,7 @@ from tidemark.llm import arrays, shared
 #: Counts up to this are discounted.
 CUTOFF = 5
 #: Bytes of text of a slice.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 #: Stands for the end of a text as a token.
 END = np.uint64(0x51ED270B7F4A7C15)
