@@ -30,7 +30,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_array_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(documents(spark, sf_dir))
+    return quality.judge(documents(spark, sf_dir)).drop("repeat_longest")
 
 
 def op5_byte_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +95,81 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+# a window of k words that stands twice in a text covers its words
+_COVERED = """(
+    SELECT doc_id, count(DISTINCT j) AS n FROM (
+        SELECT doc_id, unnest(range(i, i + {k})) AS j FROM (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c
+            FROM (SELECT doc_id, i, w[i:i + {k} - 1] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k} + 2)) AS i FROM docs)))
+        WHERE c > 1) GROUP BY doc_id)"""
+
+_OP4_SQL = f"""
+WITH docs AS (SELECT doc_id, text, {_WORDS} AS w FROM documents
+), five AS {_COVERED.format(k=5)}, ten AS {_COVERED.format(k=10)}
+, too_long AS (
+    SELECT DISTINCT doc_id FROM (
+        SELECT doc_id, count(*) OVER (PARTITION BY doc_id, win) AS c
+        FROM (SELECT doc_id, w[i:i + k - 1] AS win FROM (
+            SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, w, floor(greatest(50, 0.08 * len(w)))::BIGINT + 1 AS k FROM docs))))
+    WHERE c > 1
+), line AS (
+    SELECT doc_id, sum(n - 1)::BIGINT AS dup FROM (
+        SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents)
+        WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id, x) GROUP BY doc_id
+), base AS (
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
+           coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(five.n, 0)::BIGINT AS n_repeat_words, coalesce(ten.n, 0)::BIGINT AS repeat_covered,
+           too_long.doc_id IS NOT NULL AS long
+    FROM docs d LEFT JOIN five USING (doc_id) LEFT JOIN ten USING (doc_id) LEFT JOIN line USING (doc_id) LEFT JOIN too_long USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_covered,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND repeat_covered <= 0.2 * n_words AND NOT long AS kept
+FROM base
+"""
+
+_OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, source, text, len({_WORDS})::BIGINT AS size FROM documents
+), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
+), weighted AS (
+    SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap FROM sizes
+), filled AS (
+    SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+           sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+    FROM weighted WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)
+), levels AS (SELECT *, cap <= weight * (rest / open) AS is_full, rest / open AS level FROM filled
+), targets AS (
+    SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(cap, weight * max(CASE WHEN NOT is_full THEN level END) OVER ()) END AS target FROM levels
+), rated AS (
+    SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size) ELSE 0 END AS rate,
+           (('0x' || substr(md5('7|' || doc_id || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS draw
+    FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
+"""
+
+_OP10_SQL = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, w[i:i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id GROUP BY d.doc_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": _OP2_SQL}
+    """SQL where it can express a query; the others are tested against brute force."""
+    return {"op2_line_dedup": _OP2_SQL, "op4_suffix_array_quality": _OP4_SQL, "op7_mix_sources": _OP7_SQL, "op10_jaccard_join": _OP10_SQL}

@@ -62,7 +62,8 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: f
     few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     joined = sized.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(epochs)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 12).cast("double") + 0.5) / float(1 << 52)
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+    draw = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     whole = F.floor(rate)
     return joined.withColumn("copies", (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("int"))
 
