@@ -83,18 +83,17 @@ def gaussian_smooth(rows: DataFrame, series: str, column: str, sigma: float, int
 
 
 def percentile_threshold(rows: DataFrame, series: str, column: str, threshold: Column, into: str = "height") -> DataFrame:
-    """The (1 - threshold) percentile of each series, exact, interpolated. A higher threshold is a lower bar."""
-    rank = F.round(1 - threshold, 12)
-    return rows.withColumn("__p", rank).withColumn(into, _percentile(series, column)).drop("__p")
-
-
-def _percentile(series: str, column: str) -> Column:
-    # linear interpolation between the two order statistics, from the sorted values of the series
-    ordered = F.sort_array(F.collect_list(F.col(column)).over(_of(series)))
-    place = (F.size(ordered) - 1) * F.col("__p")
-    low = F.get(ordered, F.floor(place).cast("int"))
-    high = F.get(ordered, F.ceil(place).cast("int"))
-    return low + (high - low) * (place - F.floor(place))
+    """Add the (1 - threshold) percentile of each series, exact, interpolated. A higher threshold is a lower bar.
+
+    The values of a series are sorted once, in one row of their own; only the result is joined to
+    the rows, which are distributed by series already.
+    """
+    ordered = rows.groupBy(series).agg(F.sort_array(F.collect_list(column)).alias("__ordered"), F.first(F.round(1 - threshold, 12)).alias("__p"))
+    place = (F.size("__ordered") - 1) * F.col("__p")
+    low = F.get("__ordered", F.floor(place).cast("int"))
+    high = F.get("__ordered", F.ceil(place).cast("int"))
+    heights = ordered.select(F.col(series).alias("__of"), (low + (high - low) * (place - F.floor(place))).alias(into))
+    return rows.join(heights, F.col(series) == F.col("__of"), "left").drop("__of")
 
 
 def local_maxima(rows: DataFrame, series: str, column: str, keep: list[str] = []) -> DataFrame:  # noqa: B006
