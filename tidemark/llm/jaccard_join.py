@@ -25,16 +25,22 @@ from tidemark.llm import arrays, components, shared
 #: Words to a shingle; similarity as a fraction of integers, so that the comparison is exact.
 WIDTH = 5
 NUMERATOR, DENOMINATOR = 80, 100
-#: Groups of a count vector.
-GROUPS = 64
+#: A count vector has 2**k groups, about half of the set's size; k lies in this range.
+LEAST_BITS, MOST_BITS = 6, 12
 #: Points of a leaf.
 LEAF = 32
+#: Places where no more sets meet than this are leaves by themselves, of which all pairs are bounded.
+SMALL = 16
+#: Ids up to this many (16 MB) are broadcast; beyond it the join shuffles.
+BROADCAST_IDS = 1_000_000
 #: Shingles that this many texts of one Arrow batch hold are noted as frequent, and so many of the
 #: most frequent ones order the prefixes. Any order gives the same links; this one keeps shingles
 #: that many documents share out of the prefixes.
 FREQUENT_IN_BATCH, FREQUENT_KEPT = 8, 50_000
 #: Sets that meet in one place are compared in blocks of this many, each pair of blocks by itself.
 BLOCK = 2048
+#: Pairs that a task holds back to pass each on once.
+HELD_PAIRS = 1 << 20
 
 
 def least_overlap(size: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -91,6 +97,33 @@ class CountTree:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def count_vector(hashes: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes begin with each pattern of k bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (len(hashes) // 2).bit_length()))
+    return np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def folded(vector: np.ndarray, groups: int) -> np.ndarray:
+    """A vector with fewer groups: neighbours' counts added up."""
+    return vector.reshape(groups, -1).sum(axis=1)
+
+
+def _packed(vector: np.ndarray) -> bytes:
+    """A vector as bytes: the width of its counts, then the counts."""
+    width = 1 if vector.max() < 256 else 4
+    return bytes([width]) + vector.astype(f"<u{width}").tobytes()
+
+
+def _vector(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int32)
+
+
+def overlap_bound(one: np.ndarray, other: np.ndarray) -> int:
+    """The most that two sets can overlap: the sum of the smaller counts, in the coarser of both groupings."""
+    groups = min(len(one), len(other))
+    return int(np.minimum(folded(one, groups), folded(other, groups)).sum())
+
+
 def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; none for a null or wordless one."""
     for _, _, data, offsets in arrays.blocks(texts):
@@ -107,14 +140,14 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def _members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node, counts) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), node_of(s)) for s in text_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+            sets = [(len(s), node_of(s), _packed(count_vector(s))) for s in text_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_shingles", "node", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, counts binary")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,26 +198,22 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, node long")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(node, n, counts, hashes) of each row's set."""
+def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hashes) of the nodes, each from the text of one document that has it."""
+    ids = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
+    ids = shared.written(ids, "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                sets = list(text_sets(batch.column(1).slice(start, 500)))
+                sets = list(text_sets(batch.column(0).slice(start, 500)))
                 rows = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                counts = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([node_of(s) for s in sets], pa.int64()),
-                        pa.array(np.diff(rows).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * GROUPS), pa.array(np.concatenate(counts))),
-                        pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sets).astype(np.int64))),
-                    ],
-                    ["node", "n", "counts", "hashes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sets).astype(np.int64)))], ["node", "hashes"])
 
-    return docs.mapInArrow(run, "node long, n long, counts array<int>, hashes array<long>")
+    made = chosen.mapInArrow(run, "node long, hashes array<long>").join(nodes, "node", "left_semi")
+    return shared.written(made.dropDuplicates(["node"]), "sets")
 
 
 def similar(overlap: Column, n: Column, m: Column) -> Column:
@@ -192,58 +221,102 @@ def similar(overlap: Column, n: Column, m: Column) -> Column:
     return DENOMINATOR * overlap >= NUMERATOR * (n + m - overlap)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those whose sizes and then count vectors allow enough overlap, with their sizes."""
+    size = lambda x: points.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(similar(F.least("n_a", "n_b"), F.col("n_a"), F.col("n_b")))
+    vector = lambda x: points.select(F.col("node").alias(x), F.col("counts").alias(f"counts_{x}"))
+    full = sized.join(vector("a"), "a").join(vector("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = np.array([overlap_bound(_vector(x), _vector(y)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+            enough = bound >= least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(enough))
+
+    return full.mapInArrow(run, "a long, b long, n_a long, n_b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, points: DataFrame) -> DataFrame:
     """Of pairs (a, b) the similar ones: bounded by count vectors first, then by their sets."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b")
-    bound = F.aggregate(F.zip_with("counts_a", "counts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = near.where(similar(bound.cast("long"), F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
+    near = shared.written(_bounded(pairs, points), "near")
+    sets = _sets(docs, members, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     whole = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     full = near.join(whole("a"), "a").join(whole("b"), "b")
     overlap = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
     return full.where(similar(overlap, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def _tree_pairs(meeting: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that meet, are in different components, and pass the bound of a tree.
+def _apart(meeting: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, node, component, __n, low) of the places where sets of different components meet; low: the smallest one there.
 
-    meeting: (h, node, component). Places where many sets meet are cut into blocks, and each pair
-    of blocks is searched by itself.
+    Of places where the very same sets meet (by 128 bits of hash) one is enough.
     """
-    sizes = meeting.groupBy("h").agg(F.count(F.lit(1)).alias("__n"))
-    blocks = sizes.select(F.col("h").alias("__h"), F.ceil(F.col("__n") / BLOCK).cast("int").alias("__blocks"))
-    placed = meeting.join(blocks, F.col("h") == F.col("__h")).drop("__h")
+    labelled = meeting.select("h", "node").join(labels, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
+    part = lambda seed: F.sum(F.shiftright(F.xxhash64(F.lit(seed), "node"), 16))
+    places = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("__n"), F.min("component").alias("low"), F.max("component").alias("high"), part(1).alias("x"), part(2).alias("y"))
+    distinct = places.where("low <> high").groupBy("__n", "x", "y").agg(F.min("h").alias("h"), F.first("low").alias("low")).select("h", "__n", "low")
+    return labelled.join(distinct, "h").select("h", "node", "component", "__n", "low")
+
+
+def _leaf_pairs(apart: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in places that are leaves by themselves."""
+    leaves = apart.where(F.col("__n") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("node", "component")).alias("all"))
+    one = leaves.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
+    return one.where("x.node < y.node AND x.component <> y.component").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _tree_pairs(apart: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in larger places that pass the bound of a tree.
+
+    Places where very many sets meet are cut into blocks, and each pair of blocks is searched by
+    itself. The same sets often meet in many places, mostly with the same smallest component:
+    those go to one task, which passes each pair on once.
+    """
+    placed = apart.where(F.col("__n") > SMALL).withColumn("__blocks", F.ceil(F.col("__n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("node"), F.col("__blocks")).cast("int")
     spread = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
-    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component")
-    points = sets.select("node", "n", "counts")
-    ready = spread.join(points, "node").select("h", "i", "j", "own", "node", "component", "n", "counts")
+    spread = spread.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "low")
+    ready = spread.join(points.select("node", "n_shingles", "counts"), "node").select("h", "i", "j", "low", "own", "node", "component", "n_shingles", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[np.ndarray] = []
         for own, node, component, n, counts in _runs(batches):
-            left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
-            if len(left) * len(right) == 0:
-                continue
-            tree = CountTree(counts[left], n[left])
-            q, p = tree.search(counts[right], n[right])
-            a, b = right[q], left[p]
-            some = (component[a] != component[b]) & ((node[a] < node[b]) | (own[a] != own[b]))
-            a, b = node[a[some]], node[b[some]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    dealt = ready.repartition(shared.partitions(meeting.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+            sizes = np.array([len(c) for c in counts])
+            first, second = own == own.min(), own == own.max()
+            for groups in np.unique(sizes).tolist():
+                # linked sets differ in size by a quarter at most, so their vectors by one halving
+                fits = (sizes == groups) | (sizes == 2 * groups)
+                left, right = np.flatnonzero(first & fits), np.flatnonzero(second & fits)
+                if not len(left) or not len(right):
+                    continue
+                tree = CountTree(np.stack([folded(counts[i], groups) for i in left]), n[left])
+                q, p = tree.search(np.stack([folded(counts[i], groups) for i in right]), n[right])
+                a, b = right[q], left[p]
+                some = (component[a] != component[b]) & ((node[a] < node[b]) | (own[a] != own[b])) & ((sizes[a] == groups) | (sizes[b] == groups))
+                a, b = node[a[some]], node[b[some]]
+                made.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            if sum(m.shape[1] for m in made) > 2 * HELD_PAIRS:
+                made = [np.unique(np.concatenate(made, axis=1), axis=1)]
+                if made[0].shape[1] > HELD_PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(made[0][0]), pa.array(made[0][1])], ["a", "b"])
+                    made = []
+        if made:
+            rest = np.unique(np.concatenate(made, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1])], ["a", "b"])
+
+    dealt = ready.repartition(shared.partitions(apart.sparkSession), "low", "i", "j").sortWithinPartitions("h", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Groups of equal (h, i, j), of which a block pair's two sides bound the size, from sorted batches."""
     held: list[pa.RecordBatch] = []
     last = None
 
-    def columns() -> tuple[np.ndarray, ...]:
+    def columns() -> tuple:
         table = pa.Table.from_batches(held)
-        counts = table.column("counts").combine_chunks()
-        return (*(table.column(c).to_numpy() for c in ("own", "node", "component", "n")), np.asarray(counts.flatten()).reshape(-1, GROUPS))
+        return (*(table.column(c).to_numpy() for c in ("own", "node", "component", "n_shingles")), [_vector(c) for c in table.column("counts").to_pylist()])
 
     for batch in batches:
         if not batch.num_rows:
@@ -281,22 +354,18 @@ def link_classes(docs: DataFrame) -> DataFrame:
     place = Window.partitionBy("h")
     hubs = prefixes.withColumn("hub", F.min("node").over(place)).withColumn("__n", F.count(F.lit(1)).over(place)).where("__n > 1")
     meeting = shared.written(hubs.select("h", "hub", "node"), "meeting")
-    wanted = meeting.select("node").distinct()
-    named = members.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("__id"))
-    chosen = plain.join(named.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", "text")
-    sets = shared.written(_sets(chosen).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    stars = meeting.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    first = shared.written(_verified(stars, sets), "links")
+    points = members.join(meeting.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n_shingles", "counts")
+    points = shared.written(points, "points")
+    stars = meeting.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = shared.written(_verified(stars, plain, members, points), "links")
     joined = components.components(first)
-    labelled = meeting.select("h", "node").join(joined, "node", "left").select("h", "node", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
-    apart = shared.written(labelled.join(several, "h"), "apart")
-    tried = _tree_pairs(apart, sets).join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = shared.written(_verified(tried, sets), "links")
+    apart = shared.written(_apart(meeting, joined), "apart")
+    tried = _leaf_pairs(apart).unionByName(_tree_pairs(apart, points)).distinct().join(stars, ["a", "b"], "left_anti")
+    second = shared.written(_verified(tried, plain, members, points), "links")
     found = components.components(first.unionByName(second)) if not second.isEmpty() else joined
     named_members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named_members.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named_members.join(least, "component", "left")
+    out = named_members.drop("counts").join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
