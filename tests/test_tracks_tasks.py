@@ -115,7 +115,7 @@ def test_stream_equals_batch(spark, tmp_path):
         spark.createDataFrame([(t, 10 - 3 * k - t % 2, f"s{k}") for t in range(4)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    found = task_stream.run_available(task_stream.latest_stream(stream, "task_id", ["seq"], ["status"]), "states", str(tmp_path / "check"))
+    found = task_stream.run_available(task_stream.latest_stream(stream, "task_id", ["seq"], ["status"]), "task_id", str(tmp_path / "root"))
     assert sorted(found.collect()) == sorted(tasks.latest(batch, "task_id", ["seq"], ["status"]).collect())
     for epoch, rows in enumerate(([(1, "a"), (2, "a")], [(1, "b")])):
         task_stream.upsert(spark.createDataFrame(rows, "task_id int, status string"), epoch, str(tmp_path / "state"))

@@ -591,20 +591,13 @@ def drop_volatile(spark, sf_dir):
 
 
 def task_state_stream(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    # a file source reads folders: the table's file is picked by its name
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
-    path = f"{sf_dir}/events.parquet"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(spark._jvm.org.apache.hadoop.fs.Path(path)).isDirectory()
-    source = stream.parquet(path) if folder else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    schema = table(spark, sf_dir, "events").schema
+    # a pattern, so that the table may be one file or a folder of them
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     kinds = F.array(*[F.lit(s) for s in _STATUS])
     log = source.select("event_id", F.col("user_id").alias("task_id"), "ts", F.get(kinds, F.pmod("event_id", F.lit(5)).cast("int")).alias("status"), F.pmod("event_id", F.lit(101)).cast("int").alias("progress"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    name = f"tasks_{uuid.uuid4().hex}"
-    return task_stream.run_available(task_stream.latest_stream(log, "task_id", ["ts", "event_id"], ["status", "progress"]), name, f"{root.rstrip('/')}/{name}")
+    states = task_stream.latest_stream(log, "task_id", ["ts", "event_id"], ["status", "progress"])
+    return task_stream.run_available(states, "task_id", task_stream.state_root(spark))
 
 
 def _with(ctes: str, select: str) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +14,19 @@ def latest_stream(events: DataFrame, task: str, order: list[str], columns: list[
     return events.groupBy(task).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("state")).select(task, "state.*")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """Process what is there and stop; the result as a table in memory."""
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def state_root(spark: SparkSession) -> str:
+    """Where a stream's state goes: the folder in ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/tasks-{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, task: str, root: str) -> DataFrame:
+    """Process what is there and stop; the states, read back from the epochs' folders."""
+    write = stream.writeStream.outputMode("update").foreachBatch(lambda batch, epoch: upsert(batch, epoch, f"{root}/states"))
+    write.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return read_upserts(stream.sparkSession, f"{root}/states", task)
 
 
 def upsert(batch: DataFrame, epoch: int, path: str) -> None:
