@@ -39,6 +39,8 @@ BROADCAST_IDS = 1_000_000
 FREQUENT_IN_BATCH, FREQUENT_KEPT = 8, 50_000
 #: Sets that meet in one place are compared in blocks of this many, each pair of blocks by itself.
 BLOCK = 2048
+#: Before all pairs of a larger place are bounded, its sets are compared with so many others of it, in so many rounds.
+HUBS, ROUNDS = 3, 3
 #: Pairs that a task holds back to pass each on once.
 HELD_PAIRS = 1 << 20
 
@@ -259,6 +261,15 @@ def _apart(meeting: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(distinct, "h").select("h", "node", "component", "__n", "low")
 
 
+def _hub_pairs(apart: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b) of the sets of larger places with a few of the same place that are in other components."""
+    large = apart.where(F.col("__n") > SMALL)
+    draw = Window.partitionBy("h").orderBy(F.xxhash64(F.lit(seed), "node"), "node")
+    hubs = large.withColumn("__nth", F.row_number().over(draw)).where(F.col("__nth") <= HUBS).select("h", F.col("node").alias("hub"), F.col("component").alias("of"))
+    pairs = large.join(hubs, "h").where("component <> of")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def _leaf_pairs(apart: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components in places that are leaves by themselves."""
     leaves = apart.where(F.col("__n") <= SMALL).groupBy("h").agg(F.collect_list(F.struct("node", "component")).alias("all"))
@@ -338,9 +349,9 @@ def link_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest linked doc_id, itself included) of every row.
 
     Equal sets are one node from the start, so groups of copies cost one set. Where sets meet,
-    each is first compared with the smallest of them only; what that links is one component, and
-    only sets of different components that still meet go through the trees. Any two similar sets
-    meet somewhere, so they end in one component.
+    each is first compared with the smallest of them only, and in larger places then with a few
+    others; what that links is one component, and only sets of different components that still
+    meet go through the trees. Any two similar sets meet somewhere, so they end in one component.
 
     A null or wordless text has no shingles and links with nothing; null ids link like others but
     never name a component; rows that repeat an id and a text share a component. An empty table
@@ -358,11 +369,23 @@ def link_classes(docs: DataFrame) -> DataFrame:
     points = shared.written(points, "points")
     stars = meeting.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     first = shared.written(_verified(stars, plain, members, points), "links")
-    joined = components.components(first)
-    apart = shared.written(_apart(meeting, joined), "apart")
-    tried = _leaf_pairs(apart).unionByName(_tree_pairs(apart, points)).distinct().join(stars, ["a", "b"], "left_anti")
-    second = shared.written(_verified(tried, plain, members, points), "links")
-    found = components.components(first.unionByName(second)) if not second.isEmpty() else joined
+    found, links, tried = components.components(first), first, stars
+    for seed in range(ROUNDS):
+        apart = shared.written(_apart(meeting, found), "apart")
+        pairs = shared.written(_hub_pairs(apart, seed).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        more = shared.written(_verified(pairs, plain, members, points), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = components.components(links)
+    apart = shared.written(_apart(meeting, found), "apart")
+    pairs = _leaf_pairs(apart).unionByName(_tree_pairs(apart, points)).distinct().join(tried, ["a", "b"], "left_anti")
+    more = shared.written(_verified(pairs, plain, members, points), "links")
+    if not more.isEmpty():
+        found = components.components(links.unionByName(more))
     named_members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named_members.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named_members.drop("counts").join(least, "component", "left")
