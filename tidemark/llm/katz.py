@@ -339,7 +339,8 @@ def score(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
     Learns from the documents whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``. A
     null text is empty (its end is its one token); a null id is trained on; repeated rows count
     again; with nothing to learn from every token is unknown; an empty table gives an empty result.
-    Words are told apart by 64 bits of hash.
+    Words are told apart by 64 bits of hash. The result reads the bucketed table ``katz_slices_*``
+    in the warehouse, which may be dropped once it is written.
     """
     spark = docs.sparkSession
     parts = shared.partitions(spark)
