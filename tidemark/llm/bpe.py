@@ -23,7 +23,7 @@ import tiktoken
 from tidemark.llm import arrays
 
 #: Bytes of text whose words are merged together.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 
