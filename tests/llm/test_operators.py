@@ -376,3 +376,20 @@ def test_components_of_paths(spark):
 def test_jaccard_odd_tables(odd, empty):
     assert jaccard_join.link_classes(odd).count() == 5 and jaccard_join.link_classes(empty).count() == 0
     assert jaccard_join.keep_one(empty).count() == 0
+
+
+def test_keep_one_judges_rows_not_ids(spark, odd):
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one(odd).collect()), key=str)
+    assert kept == sorted([(None, None), (1, "a b c d e f"), (1, "a b c d e f"), (1, "other words are here in this row")], key=str)
+    near = [" ".join([f"n{i}" for i in range(60)] + [end]) for end in ("x", "y")]
+    far = [" ".join(f"{c}{i}" for i in range(9)) for c in "pqr"]
+    both = [" ".join([f"b{i}" for i in range(60)] + [end]) for end in ("x", "y")]
+    same = [" ".join([f"m{i}" for i in range(60)] + [end]) for end in ("x", "y")]
+    # a null id near an id, other null ids; an id with a linked and an unlinked text; a class of null ids; a class of one id
+    rows = [(5, near[0]), (None, near[1]), (None, far[0]), (None, ""), (None, " "), (2, far[1]), (7, far[1]), (7, far[2]), (None, both[0]), (None, both[0]), (None, both[1]), (9, same[0]), (9, same[1])]
+    found = [(r.doc_id, r.text) for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    certain = [(5, near[0]), (None, far[0]), (None, ""), (None, " "), (2, far[1]), (7, far[2])]
+    assert sorted((x for x in found if x[1] not in both + same), key=str) == sorted(certain, key=str)
+    # of the others one text each, with the rows that repeat it
+    left = [x for x in found if x[1] in both + same]
+    assert sorted(left, key=str) in [sorted([(None, b)] * (1 + (b == both[0])) + [(9, m)], key=str) for b in both for m in same]

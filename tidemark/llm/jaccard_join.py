@@ -141,15 +141,20 @@ def node_of(hashes: np.ndarray) -> int:
         return int(arrays.mix(arrays.mix(both[:1]) ^ both[1:])[0].astype(np.int64))
 
 
+def text_hash() -> Column:
+    """A 64-bit name of a row's text, the same wherever it is computed."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def _members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, counts) of every row."""
+    """(doc_id, text_hash, n_shingles, node, counts) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), node_of(s), _packed(count_vector(s))) for s in text_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "n_shingles", "node", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "text_hash", "n_shingles", "node", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, counts binary")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, counts binary")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -345,17 +350,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield columns()
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest linked doc_id, itself included) of every row.
+def _linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component) of every row; linked sets share a component.
 
     Equal sets are one node from the start, so groups of copies cost one set. Where sets meet,
     each is first compared with the smallest of them only, and in larger places then with a few
     others; what that links is one component, and only sets of different components that still
     meet go through the trees. Any two similar sets meet somewhere, so they end in one component.
-
-    A null or wordless text has no shingles and links with nothing; null ids link like others but
-    never name a component; rows that repeat an id and a text share a component. An empty table
-    gives an empty result.
     """
     plain = shared.texts(docs)
     spark = docs.sparkSession
@@ -386,16 +387,32 @@ def link_classes(docs: DataFrame) -> DataFrame:
     more = shared.written(_verified(pairs, plain, members, points), "links")
     if not more.isEmpty():
         found = components.components(links.unionByName(more))
-    named_members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named_members.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named_members.drop("counts").join(least, "component", "left")
+    labelled = members.join(found, "node", "left")
+    return labelled.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
+
+
+def link_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest linked doc_id, itself included) of every row.
+
+    A null or wordless text has no shingles and links with nothing; null ids link like others but
+    never name a component; rows that repeat an id and a text share a component. An empty table
+    gives an empty result.
+    """
+    linked = _linked(docs)
+    least = linked.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    out = linked.join(least, "component", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of linked ones: the one whose id names the class, with its own columns.
+    """One document of each class of linked ones, with its own columns: the one of the smallest id.
 
+    A document is an id with a text, so of an id's texts each is judged by itself. Where the
+    smallest id has several linked texts, or all ids are null, the smallest hash of a text decides.
     Documents without shingles stay. Rows that repeat the id and text of a kept document stay with it.
     """
-    classes = link_classes(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    linked = _linked(docs).where("n_shingles > 0").drop("n_shingles")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gone = linked.join(first, "component").where(~kept).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text")), "left_anti")
