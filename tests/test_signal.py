@@ -55,6 +55,17 @@ def test_probe(spark, tones):
     assert abs(found["tones.wav"] - 60) < 1 and found["broken.wav"] == 0
 
 
+def test_probe_skips_long_metadata(spark, tmp_path):
+    plain = wav(np.zeros(24_000), 8000)
+    at = plain.index(b"data")
+    for n in (100, 4097, 200_000):  # odd sizes have a byte of padding
+        listed = b"LIST" + n.to_bytes(4, "little") + b"i" * (n + n % 2)
+        whole = plain[:at] + listed + plain[at:]
+        (tmp_path / f"{n}.wav").write_bytes(b"RIFF" + (len(whole) - 8).to_bytes(4, "little") + whole[8:])
+    found = [r.seconds for r in audio.durations(audio.files(spark, str(tmp_path))).collect()]
+    assert found == [3.0, 3.0, 3.0]
+
+
 def test_boundaries_of_tones(spark, tones):
     chunks = audio.chunks(audio.files(spark, tones, "tones.wav"), 22050)
     row = detect.detect(chunks, model.Detection(min_duration=10, threshold=0.3)).first()

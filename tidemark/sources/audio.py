@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark import model
 
@@ -72,7 +71,7 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def durations(rows: DataFrame) -> DataFrame:
-    """(path, seconds): from the header of a WAV file; 0 where it can't be read."""
+    """(path, seconds): from the chunk headers of a WAV file; 0 where they can't be read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +84,8 @@ def durations(rows: DataFrame) -> DataFrame:
                     seconds.append(0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seconds, pa.float64())], ["path", "seconds"])
 
-    return rows.select("path", F.substring("content", 1, 4096).alias("content")).mapInArrow(run, "path string, seconds double")
+    # whole: chunks of any size may stand before the data
+    return rows.select("path", "content").mapInArrow(run, "path string, seconds double")
 
 
 def chunks(rows: DataFrame, target_sr: int | None = 22050, decoder: Decoder = decode_wav, size: int = CHUNK_SAMPLES) -> DataFrame:
