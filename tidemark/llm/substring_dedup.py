@@ -1,7 +1,7 @@
 """Suffix-array dedup of byte substrings that occur twice anywhere in a corpus.
 
 A distributed merge sort of suffixes, made sparse so that it moves a part of the text only. In any
-string of ``length`` bytes the smallest hash of its ``GRAM``-byte grams, leftmost first, marks an
+string of ``short`` bytes the smallest hash of its ``GRAM``-byte grams, leftmost first, marks an
 anchor that depends on the string alone, so equal strings have their anchors at equal offsets.
 Only anchors whose gram occurs twice go on. Each task sorts the suffixes at its anchors, with what
 stands before them, into front-coded runs; runs are exchanged by gram and combined with loser
@@ -9,37 +9,88 @@ trees that keep the common prefix with the last winner and so never compare know
 The merged order with its common prefixes says how far any two suffixes agree to the right; what
 stands before them is compared likewise to the left. Texts that occur as a whole more than once
 are one text here, and every byte of theirs is covered.
+
+A gram that very many suffixes share is cut by what stands around it: strings that begin between
+``low`` and ``high`` bytes before the gram hold the ``low`` bytes before it and the first
+``span - high`` from it, so only suffixes that agree in those need to meet. Where still too many
+do, the range of distances is halved; at one distance the string itself is the key, and all that
+share it are repeated. So no task gets more than ``HOT`` suffixes of a group.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, shared
 
-#: Bytes of a gram, at most half of the length sought.
-GRAM = 200
+#: Bytes of a gram, about half of the shortest length sought.
+GRAM = 128
+#: Strings of this many bytes are reported, too: about fifty words.
+SHORT = 256
 #: Groups of more suffixes than this are resolved class by class, not pair by pair.
 PAIRWISE = 48
+#: Groups of more suffixes than this are cut before they meet in a task.
+HOT = 4096
+#: Bytes of a key before its suffix: the group, which span it is about (0: both), least and greatest distance.
+_HEAD = 8 + 1 + 2 + 2
+#: Entries of a run that are Python objects at a time.
+_CHUNK = 256
 
 _POSITION = 23
 _RANK = np.uint64(((1 << 64) - 1) ^ ((1 << _POSITION) - 1))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
+    out = np.ones(max(n, 1), np.uint64)
+    have = 1
+    while have < n:
+        take = min(have, n - have)
+        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
+        have += take
+    return out
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram at each position, from running sums. Grams that share one only meet: their bytes decide."""
+    n, step = len(data) - gram + 1, 1 << 20
+    out = np.empty(n, np.uint64)
+    for start in range(0, n, step):
+        part = data[start : start + step + gram - 1]
+        up, down = _Table.upto(len(part))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        have = len(part) - gram + 1
+        out[start : start + have] = arrays.mix((sums[gram:] - sums[:have]) * down[:have])
+    return out
+
+
+class _Table:
+    """Powers of a base and of its inverse."""
+
+    base = 0x9E3779B97F4A7C15
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = _powers(cls.base, n), _powers(pow(cls.base, -1, 1 << 64), n)
+        return cls.up, cls.down
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the anchors of all windows of ``length`` bytes inside rows, and their gram hashes."""
     n = len(data) - gram + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    prefix = arrays.prefix_hash(data)
-    at = np.arange(n)
-    hashes = arrays.span_hash(prefix, at, at + gram)
+    hashes = _gram_hashes(data, gram)
     found = np.zeros(n, bool)
     step = 1 << (_POSITION - 1)
     width = length - gram + 1
@@ -122,28 +173,25 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes, tuple]]]) -> Iterator[tuple
             node //= 2
 
 
-def repeated_offsets(right: list[int], before: list[bytes], length: int, reach: int) -> list[list[tuple[int, int]]]:
-    """For suffixes in sorted order that share a gram: how far before each one strings start that another has too.
+def repeated_offsets(right: list[int], before: list[bytes], length: int, low: int, high: int) -> list[list[tuple[int, int]]]:
+    """For suffixes in sorted order: how far before each one strings start that another has too.
 
     right[i]: common prefix of suffixes i - 1 and i. before: what stands before each, read
-    backwards, at most ``reach`` bytes. Returns inclusive ranges of distances.
+    backwards. Returns inclusive ranges of distances from ``low`` to ``high``.
     """
     n = len(before)
-    if n == 2:
-        low, high = max(0, length - right[1]), min(common(before[0], before[1], 0), reach)
-        return [[(low, high)], [(low, high)]] if low <= high else [[], []]
     if n <= PAIRWISE:
         out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for i in range(n):
             agree = 1 << 60
             for j in range(i + 1, n):
                 agree = min(agree, right[j])
-                if agree + reach < length:
+                if agree + high < length:
                     break
-                low, high = max(0, length - agree), min(common(before[i], before[j], 0), reach)
-                if low <= high:
-                    out[i].append((low, high))
-                    out[j].append((low, high))
+                first, last = max(low, length - agree), min(common(before[i], before[j], 0), high)
+                if first <= last:
+                    out[i].append((first, last))
+                    out[j].append((first, last))
         return out
     # distance by distance: those that agree so far to the left and so far to the right
     order = np.array(sorted(range(n), key=before.__getitem__))
@@ -153,14 +201,14 @@ def repeated_offsets(right: list[int], before: list[bytes], length: int, reach:
     ahead = np.array(right, np.int64)
     ahead[0] = 0
     size = np.array([len(b) for b in before])
-    hit = np.zeros((n, reach + 1), bool)
-    for distance in range(reach + 1):
+    hit = np.zeros((n, high - low + 1), bool)
+    for distance in range(low, high + 1):
         by_right = np.cumsum(ahead < length - distance)
         by_left = np.empty(n, np.int64)
         by_left[order] = np.cumsum(left < distance)
         _, which, many = np.unique(by_right * (n + 1) + by_left, return_inverse=True, return_counts=True)
-        hit[:, distance] = (many[which] > 1) & (size >= distance)
-    return [_ranges(row) for row in hit]
+        hit[:, distance - low] = (many[which] > 1) & (size >= distance)
+    return [[(a + low, b + low) for a, b in _ranges(row)] for row in hit]
 
 
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -168,111 +216,177 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, tid, pos) of every anchor; equal texts of a batch once."""
+def _anchor_rows(texts: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
+    """(h, t1, t2, pos) of every anchor, equal texts of a batch once; without ``places`` (h, n) by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, end, data, offsets in arrays.blocks(batch.column(1)):
-                tid = batch.column(0).slice(start, end - start).to_numpy()
+            for start, end, data, offsets in arrays.blocks(batch.column(2)):
+                t1, t2 = (batch.column(i).slice(start, end - start).to_numpy() for i in (0, 1))
                 spots, hashes = anchors(data, offsets, length, gram)
                 row = np.searchsorted(offsets, spots, "right") - 1
-                first = np.zeros(len(tid), bool)
-                first[np.unique(tid, return_index=True)[1]] = True
+                first = np.zeros(len(t1), bool)
+                first[np.unique(np.stack([t1, t2]), axis=1, return_index=True)[1]] = True
                 use = first[row]
-                row, spots, hashes = row[use], spots[use], hashes[use]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(tid[row]), pa.array((spots - offsets[row]).astype(np.int32))], ["h", "tid", "pos"])
+                row, spots, hashes = row[use], spots[use], hashes[use].astype(np.int64)
+                if places:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(t1[row]), pa.array(t2[row]), pa.array((spots - offsets[row]).astype(np.int32))], ["h", "t1", "t2", "pos"])
+                else:
+                    value, count = np.unique(hashes, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int64))], ["h", "n"])
+
+    return texts.mapInArrow(run, "h long, t1 long, t2 long, pos int" if places else "h long, n long")
+
 
-    return texts.mapInArrow(run, "h long, tid long, pos int")
+_RUN = "part int, t1s array<long>, t2s array<long>, spots array<int>, befores array<binary>, prefixes array<int>, rests array<binary>"
+_LISTS = ("t1s", "t2s", "spots", "befores", "prefixes", "rests")
 
 
-_RUN = "part int, tids array<long>, spots array<int>, befores array<binary>, prefixes array<int>, rests array<binary>"
+def _head(group: int, span: int, low: int, high: int) -> bytes:
+    return (group & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + bytes([span]) + low.to_bytes(2, "big") + high.to_bytes(2, "big")
 
 
-def _suffix_runs(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """Sorted front-coded runs of the suffixes at the anchors, by the part that their gram goes to."""
-    reach = length - gram
+def _coded(entries: list[tuple[int, bytes, bytes, int, int, int]]) -> pa.RecordBatch:
+    """One sorted front-coded run to a part, from (part, key, before, t1, t2, spot)."""
+    entries.sort()
+    out: dict[str, list] = {c.split()[0]: [] for c in _RUN.split(", ")}
+    last, previous = -1, b""
+    for part, key, before, t1, t2, spot in entries:
+        if part != last:
+            out["part"].append(part)
+            for c in _LISTS:
+                out[c].append([])
+            last, previous = part, b""
+        same = common(previous, key, 0)
+        for c, value in zip(_LISTS, (t1, t2, spot, before, same, key[same:]), strict=True):
+            out[c][-1].append(value)
+        previous = key
+    kinds = [pa.int32(), *(pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+
+
+def _suffix_runs(rows: DataFrame, length: int, reach: int, parts: int) -> DataFrame:
+    """Runs of the suffixes at the anchors of whole texts, by the part that their gram goes to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entries: list[tuple[int, bytes, bytes, int, int]] = []
-            done: set[int] = set()
-            for tid, text, spots, hashes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if tid in done:
+            entries: list[tuple[int, bytes, bytes, int, int, int]] = []
+            done: set[tuple[int, int]] = set()
+            for t1, t2, text, spots, hashes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (t1, t2) in done:
                     continue
-                done.add(tid)
+                done.add((t1, t2))
                 text = text.encode()
                 for spot, h in zip(spots, hashes, strict=True):
-                    unsigned = h & 0xFFFFFFFFFFFFFFFF
-                    key = unsigned.to_bytes(8, "big") + text[spot : spot + length]
-                    entries.append((unsigned % parts, key, text[max(0, spot - reach) : spot][::-1], tid, spot))
-            entries.sort()
-            out: dict[str, list] = {c.split()[0]: [] for c in _RUN.split(", ")}
-            last, previous = -1, b""
-            for part, key, before, tid, spot in entries:
-                if part != last:
-                    out["part"].append(part)
-                    for c in ("tids", "spots", "befores", "prefixes", "rests"):
-                        out[c].append([])
-                    last, previous = part, b""
-                same = common(previous, key, 0)
-                for c, value in (("tids", tid), ("spots", spot), ("befores", before), ("prefixes", same), ("rests", key[same:])):
-                    out[c][-1].append(value)
-                previous = key
-            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+                    entries.append(((h & 0xFFFFFFFFFFFFFFFF) % parts, _head(h, 0, 0, reach) + text[spot : spot + length], text[max(0, spot - reach) : spot][::-1], t1, t2, spot))
+            yield _coded(entries)
 
     return rows.mapInArrow(run, _RUN)
 
 
-def _merged_spans(runs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(tid, start, stop): spans of repeated strings, from merging all runs of a part."""
-    reach, same_gram = length - gram, 8 + gram
+def _band_runs(items: DataFrame, spans: tuple[int, int], parts: int) -> DataFrame:
+    """Runs of suffixes of hot grams, each for one span and a range of distances."""
 
-    def entries(row: dict) -> Iterator[tuple[int, bytes, tuple]]:
-        return zip(row["prefixes"], row["rests"], zip(row["tids"], row["spots"], row["befores"], strict=True), strict=True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entries = []
+            for k1, span, low, high, t1, t2, pos, before, following in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entries.append(((k1 & 0xFFFFFFFFFFFFFFFF) % parts, _head(k1, 1 + spans.index(span), low, high) + following, before, t1, t2, pos))
+            yield _coded(entries)
+
+    return items.select("k1", "span", "low", "high", "t1", "t2", "pos", "before", "following").mapInArrow(run, _RUN)
+
+
+_SPANS = "t1 long, t2 long, start int, stop int, full boolean"
+
+
+def _merged_spans(runs: DataFrame, spans: tuple[int, int]) -> DataFrame:
+    """Spans of repeated strings, from merging all runs of a part; ``full`` are those of the longer length."""
+
+    def entries(row: pa.RecordBatch) -> Iterator[tuple[int, bytes, tuple]]:
+        """A run's entries, few of them as Python objects at a time."""
+        t1, t2, spot, before, prefix, rest = (row.column(c)[0].values for c in _LISTS)
+        for i in range(0, len(prefix), _CHUNK):
+            part = [x.slice(i, _CHUNK).to_pylist() for x in (prefix, rest, t1, t2, spot, before)]
+            yield from ((p, r, payload) for p, r, payload in zip(part[0], part[1], zip(*part[2:], strict=True), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)]
-        found: list[tuple[int, int, int]] = []
+        found: list[tuple[int, int, int, int, bool]] = []
         group: list[tuple[int, tuple]] = []
+        head = b""
 
         def close() -> None:
             """Spans of the group; the same suffix twice is one."""
-            seen: set[tuple[int, int]] = set()
+            seen: set[tuple] = set()
             right, payloads, agree = [], [], 1 << 60
             for shared_prefix, payload in group:
-                agree = min(agree, shared_prefix - 8)
-                if payload[:2] not in seen:
-                    seen.add(payload[:2])
+                agree = min(agree, shared_prefix - _HEAD)
+                if payload[:3] not in seen:
+                    seen.add(payload[:3])
                     right.append(agree)
                     payloads.append(payload)
                     agree = 1 << 60
-            if len(payloads) > 1:
-                for (tid, spot, _), ranges in zip(payloads, repeated_offsets(right, [p[2] for p in payloads], length, reach), strict=True):
-                    for low, high in ranges:
-                        found.append((tid, spot - high, spot - low + length))
+            if len(payloads) < 2:
+                return
+            low, high = int.from_bytes(head[9:11], "big"), int.from_bytes(head[11:13], "big")
+            for nth, length in enumerate(spans):
+                if head[8] in (0, nth + 1):
+                    for (t1, t2, spot, _), ranges in zip(payloads, repeated_offsets(right, [p[3] for p in payloads], length, low, high), strict=True):
+                        if ranges:
+                            for start, stop in merged(np.array([(spot - b, spot - a + length) for a, b in ranges], np.int64)).tolist():
+                                found.append((t1, t2, start, stop, nth == 1))
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*found, strict=True)) or [(), (), ()]
+            columns = list(zip(*found, strict=True)) or [()] * 5
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], ["tid", "start", "stop"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)], ["t1", "t2", "start", "stop", "full"])
 
-        for prefix, _, payload in merge_runs([entries(r.to_pylist()[0]) for r in rows]):
-            if prefix < same_gram:
+        for prefix, key, payload in merge_runs([entries(r) for r in rows]):
+            if prefix < _HEAD:
                 close()
-                group = []
+                group, head = [], key[:_HEAD]
                 if len(found) > 10_000:
                     yield flush()
             group.append((prefix, payload))
         close()
         yield flush()
 
-    return runs.mapInArrow(run, "tid long, start int, stop int")
+    return runs.mapInArrow(run, _SPANS)
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    """Items whose range of distances holds a string inside the text, with 128 bits of what all its strings share."""
+    n, m = F.length("before"), F.length("following")
+    some = F.greatest(F.col("low"), F.col("span") - m) <= F.least(F.col("high"), n)
+    part = [F.col("h"), F.col("span"), F.col("low"), F.col("high"), F.substring(F.col("before"), F.lit(1), F.col("low")), F.substring(F.col("following"), F.lit(1), F.col("span") - F.col("high"))]
+    return items.where(some).withColumn("k1", F.xxhash64(*part)).withColumn("k2", F.xxhash64(F.lit("second"), *part))
+
+
+def _hot_spans(contexts: DataFrame, spans: tuple[int, int], reach: int, parts: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Runs of small groups, and spans that are certain, of the suffixes of hot grams (h, t1, t2, pos, before, following)."""
+    ranges = lambda *r: F.explode(F.array(*[F.struct(low.cast("int").alias("low"), high.cast("int").alias("high")) for low, high in r])).alias("range")
+    kept = ["h", "t1", "t2", "pos", "before", "following", "span"]
+    level = contexts.withColumn("span", F.explode(F.array(*map(F.lit, spans)))).withColumn("low", F.lit(0)).withColumn("high", F.lit(reach))
+    runs, certain = [], []
+    while True:
+        level = _keyed(level)
+        many = level.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        level = shared.written(level.join(many, ["k1", "k2"]), "level")
+        if level.isEmpty():
+            return runs, certain
+        runs.append(_band_runs(level.where(F.col("n") <= HOT), spans, parts))
+        large = level.where(F.col("n") > HOT)
+        at = (F.col("pos") - F.col("low")).cast("int")
+        certain.append(large.where("low = high").select("t1", "t2", at.alias("start"), (at + F.col("span")).cast("int").alias("stop"), (F.col("span") == spans[1]).alias("full")))
+        middle = F.floor((F.col("low") + F.col("high")) / 2)
+        level = large.where("low < high").select(*kept, ranges((F.col("low"), middle), (middle + 1, F.col("high")))).select(*kept, "range.low", "range.high")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
     """Disjoint, non-touching spans with the same cover, in order."""
+    if not len(spans):
+        return np.zeros((0, 2), np.int64)
     spans = spans[np.argsort(spans[:, 0], kind="stable")]
     top = np.maximum.accumulate(spans[:, 1])
     new = np.ones(len(spans), bool)
@@ -281,48 +395,86 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], top[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary; null where the text stays whole).
+def _text_id() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+
+
+def _contexts(sources: DataFrame, length: int, reach: int) -> DataFrame:
+    """(h, t1, t2, pos, before, following) of the anchors of hot grams; before is read backwards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for t1, t2, text, spots, hashes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                text = text.encode()
+                out += [(h, t1, t2, spot, text[max(0, spot - reach) : spot][::-1], text[spot : spot + length]) for spot, h in zip(spots, hashes, strict=True)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], ["h", "t1", "t2", "pos", "before", "following"])
+
+    return sources.mapInArrow(run, "h long, t1 long, t2 long, pos int, before binary, following binary").dropDuplicates(["t1", "t2", "pos"])
+
+
+def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, short: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared and kept (binary; null where the text stays whole).
 
     Removes each byte under a string of ``length`` bytes that also starts elsewhere in the corpus,
-    judged on the input. A null text is empty; repeated rows are copies, of which each byte goes
-    from ``length`` bytes on; null ids are as good as others; an empty table gives an empty result.
-    Texts are told apart by 64 bits of hash.
+    judged on the input; n_shared counts the bytes under such strings of ``short`` bytes (256
+    if ``length`` allows), which are reported and stay. A null text is empty; repeated rows are copies, of which each byte goes
+    from ``length`` bytes on; ties of equal strings have no order: all go. Null ids are as good as
+    others; other columns are not read, so their names cannot clash; an empty table gives an empty
+    result. A very long text is one row all the way; its anchors are found a megabyte at a time.
+    Texts are told apart by 128 bits of hash.
     """
-    if not 1 <= gram <= length:
-        raise ValueError("a gram must fit in the length sought")
-    parts = shared.partitions(docs.sparkSession)
+    short = min(SHORT, length) if short is None else short
+    if not 1 <= gram <= short <= length < 1 << 16:
+        raise ValueError("a gram must fit in the shorter length, and that in the longer")
+    parts, spans, reach = shared.partitions(docs.sparkSession), (short, length), short - gram
+    tid = ["t1", "t2"]
     plain = shared.texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    plain = plain.withColumn("tid", F.xxhash64("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    rows = _anchor_rows(plain.where(F.col("n_bytes") >= length).select("tid", "text"), length, gram)
-    place = Window.partitionBy("h")
-    twice = rows.repartition(parts, "h").distinct().withColumn("__n", F.count(F.lit(1)).over(place)).where("__n > 1")
-    spots = twice.groupBy("tid").agg(F.collect_list(F.struct("pos", "h")).alias("anchors"))
-    spots = spots.select("tid", F.col("anchors.pos").alias("spots"), F.col("anchors.h").alias("hashes"))
-    known = plain.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
-    known = known.join(spots, "tid", "left")
+    plain = plain.select("doc_id", "text", *_text_id(), F.octet_length("text").cast("long").alias("n_bytes"))
+    long = plain.where(F.col("n_bytes") >= short).select("t1", "t2", "text")
+    # counted before the shuffle, so a hot gram is one row a batch; the join splits hot grams' rows
+    twice = _anchor_rows(long, short, gram, False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    places = _anchor_rows(long, short, gram, True).join(twice, "h")
+    spots = places.groupBy(*tid).agg(F.collect_set(F.struct("pos", "h", (F.col("n") > HOT).alias("hot"))).alias("anchors"))
+    known = plain.groupBy(*tid).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
+    known = known.join(spots, tid, "left")
     # the whole texts move once; those that stay whole, or go as a whole, are done with here
-    staged = plain.join(known, "tid").withColumn("whole", (F.col("copies") > 1) & (F.col("n_bytes") >= length))
-    source = F.col("spots").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first_doc"))
-    open_text = F.when(source | (F.col("spots").isNotNull() & ~F.col("whole")), F.col("text"))
-    sha = F.when(F.col("whole"), F.sha2(F.lit("").cast("binary"), 256)).when(F.col("spots").isNull(), F.sha2(F.col("text").cast("binary"), 256))
-    staged = shared.written(staged.select("doc_id", "tid", "n_bytes", "whole", source.alias("source"), "spots", "hashes", open_text.alias("text"), sha.alias("sha")), "staged")
-    runs = _suffix_runs(staged.where("source").select("tid", "text", "spots", "hashes"), length, gram, parts)
-    spans = _merged_spans(runs.repartitionById(parts, F.col("part")), length, gram)
-    by_text = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    by_text = shared.written(by_text.select("tid", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops")), "spans")
-    done = staged.where("sha is not null").select("doc_id", "n_bytes", F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.lit(0)).cast("long").alias("n_removed"), F.col("whole").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.when(F.col("whole"), F.lit("").cast("binary")).alias("kept"))
-    rest = staged.where("sha is null").select("doc_id", "tid", "n_bytes", "text").join(by_text, "tid", "left").select("doc_id", "n_bytes", "text", "starts", "stops")
-    return done.unionByName(rest.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    twin = F.col("copies") > 1
+    staged = plain.join(known, tid).withColumn("whole", twin & (F.col("n_bytes") >= length)).withColumn("twin", twin & (F.col("n_bytes") >= short))
+    source = F.col("anchors").isNotNull() & F.col("doc_id").eqNullSafe(F.col("first_doc"))
+    open_text = F.when(source | (F.col("anchors").isNotNull() & ~F.col("whole")), F.col("text"))
+    sha = F.when(F.col("whole"), F.sha2(F.lit("").cast("binary"), 256)).when(F.col("anchors").isNull(), F.sha2(F.col("text").cast("binary"), 256))
+    staged = shared.written(staged.select("doc_id", *tid, "n_bytes", "whole", "twin", source.alias("source"), "anchors", open_text.alias("text"), sha.alias("sha")), "staged")
+
+    def sources(hot: bool) -> DataFrame:
+        own = staged.where("source").withColumn("anchors", F.filter("anchors", lambda a: a["hot"] == hot)).where(F.size("anchors") > 0)
+        return own.select(*tid, "text", F.col("anchors.pos").alias("spots"), F.col("anchors.h").alias("hashes"))
+
+    contexts = shared.written(_contexts(sources(True), length, reach), "contexts")
+    runs, certain = [_suffix_runs(sources(False), length, reach, parts)], []
+    if not contexts.isEmpty():
+        more, certain = _hot_spans(contexts, spans, reach, parts)
+        runs += more
+    found = _merged_spans(reduce(DataFrame.unionByName, runs).repartitionById(parts, F.col("part")), spans)
+    by_text = reduce(DataFrame.unionByName, [found, *certain]).groupBy(*tid).agg(F.collect_list(F.struct("start", "stop", "full")).alias("spans"))
+    by_text = shared.written(by_text.select(*tid, F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), F.col("spans.full").alias("fulls")), "spans")
+    number = lambda condition: F.when(condition, F.col("n_bytes")).otherwise(F.lit(0)).cast("long")
+    done = staged.where("sha is not null AND (whole OR anchors IS NULL)")
+    done = done.select("doc_id", "n_bytes", number(F.col("whole")).alias("n_removed"), F.col("whole").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), number(F.col("twin")).alias("n_shared"), F.when(F.col("whole"), F.lit("").cast("binary")).alias("kept"))
+    rest = staged.where("sha is null").join(by_text, tid, "left").select("doc_id", "n_bytes", "twin", "text", "starts", "stops", "fulls")
+    return done.unionByName(rest.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, count, sha, kept = [], [], [], []
-        for text, starts, stops in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+        removed, count, sha, kept, under = [], [], [], [], []
+        for twin, text, starts, stops, fulls in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5, 6)), strict=True):
             data = text.encode()
             out = data
-            spans = merged(np.array([starts, stops], np.int64).T) if starts else np.zeros((0, 2), np.int64)
+            every = np.array([starts or [], stops or []], np.int64).T
+            spans = merged(every[np.array(fulls or [], bool)])
             if len(spans):
                 edges = [0, *spans.ravel().tolist(), len(data)]
                 out = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
@@ -330,5 +482,6 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             count.append(len(spans))
             sha.append(hashlib.sha256(out).hexdigest())
             kept.append(out if len(spans) else None)
-        columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            under.append(len(data) if twin else int((merged(every) @ [-1, 1]).sum()))
+        columns = [batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(under, pa.int64()), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "kept"])
