@@ -90,12 +90,29 @@ def test_line_dedup_odd_tables(odd, empty):
 # 3 ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("length", "gram"), [(400, 200), (60, 30)])
-def test_substrings(docs, rows, length, gram):
-    found = by_id(substring_dedup.cut_repeats(docs, length, gram))
+@pytest.mark.parametrize(("length", "gram", "short", "hot"), [(400, 128, 256, 4096), (60, 30, 60, 4096), (60, 20, 44, 4)])
+def test_substrings(docs, rows, monkeypatch, length, gram, short, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    found = by_id(substring_dedup.cut_repeats(docs, length, gram, short))
+    under = brute.substrings(rows, short)
     for doc, wanted in brute.substrings(rows, length).items():
         r = found[doc]
-        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted and r.n_shared == under[doc][1]
+
+
+def test_a_passage_that_most_documents_share(spark, monkeypatch):
+    # whole, cut at either end, and at the edges of texts: more than a task may get of one gram
+    monkeypatch.setattr(substring_dedup, "HOT", 6)
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(150)
+    rows = [(i, word(rnd.randrange(0, 50)) + passage[rnd.choice([0, 0, 0, 30, 60]) : rnd.choice([150, 150, 120, 90])] + word(rnd.randrange(0, 50))) for i in range(60)]
+    rows += [(100, passage), (101, passage), (102, "x" * 300), (103, "y" + "x" * 200)]
+    found = by_id(substring_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 60, 20, 40))
+    under = brute.substrings(rows, 40)
+    for doc, wanted in brute.substrings(rows, 60).items():
+        r = found[doc]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted and r.n_shared == under[doc][1]
 
 
 def test_substrings_of_few_letters(spark):
@@ -132,9 +149,11 @@ def test_large_groups_equal_small_ones(monkeypatch):
     before = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(0, 5))) for _ in suffixes]
     right = [0] + [substring_dedup.common(a, b, 0) for a, b in zip(suffixes, suffixes[1:], strict=False)]
     flat = lambda found: [sorted({d for low, high in r for d in range(low, high + 1)}) for r in found]
-    one = flat(substring_dedup.repeated_offsets(right, before, 7, 4))
-    monkeypatch.setattr(substring_dedup, "PAIRWISE", 2)
-    assert flat(substring_dedup.repeated_offsets(right, before, 7, 4)) == one
+    for low, high in ((0, 4), (1, 3), (2, 2)):
+        monkeypatch.setattr(substring_dedup, "PAIRWISE", 48)
+        one = flat(substring_dedup.repeated_offsets(right, before, 7, low, high))
+        monkeypatch.setattr(substring_dedup, "PAIRWISE", 2)
+        assert flat(substring_dedup.repeated_offsets(right, before, 7, low, high)) == one
 
 
 def test_substrings_odd_tables(odd, empty):
@@ -233,6 +252,39 @@ def test_token_odd_tables(odd, empty):
         assert codec.encode(table, RANKS).count() == n and token_counts.count_tokens(table, JSON).count() == n
 
 
+def hostile_pair():
+    """Two words of 2,048 bytes that sums of powers modulo 2**64 cannot tell apart, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hostile_words(spark, encoding):
+    one, other = hostile_pair()
+    assert len(set(bpe.arrays.span_hash(np.frombuffer((one + other).encode(), np.uint8), np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+    rows = [(0, one), (1, other), (2, f"{one} {other} {one}"), (3, f"{one}\n{other}\n{one}"), (4, f"{other} {one} {other}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.fingerprint for r in fingerprints.fingerprint(table).collect()}) == 4  # 2 and 3 have the same words
+    judged = by_id(quality.judge(table))
+    assert [judged[d].n_dup_lines for d in range(5)] == [0, 0, 0, 1, 0]
+    for r in codec.encode(table, RANKS).collect():
+        assert r.ids == encoding.encode_ordinary(dict(rows)[r.doc_id])
+    tokenizer = Tokenizer.from_file(JSON)
+    for r in token_counts.count_tokens(table, JSON).collect():
+        assert r.n_tokens == len(tokenizer.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids)
+    assert {r.doc_id: r.component_id for r in jaccard_join.link_classes(table).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
+    wanted = brute.scores(rows, katz.discounts)[0]
+    for r in katz.score(table).collect():
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == wanted[r.doc_id][:4] and r.score == pytest.approx(wanted[r.doc_id][5], rel=1e-6)
+
+
+def test_pieces_that_share_a_hash(monkeypatch):
+    words = [b"one", b"two", b"six", b"one", b"seven", b"two"]
+    size = np.array(list(map(len, words)))
+    monkeypatch.setattr(bpe.arrays, "span_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    where, which = bpe.distinct_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+    assert where.tolist() == [0, 1, 2, 4] and which.tolist() == [0, 1, 2, 0, 3, 1]
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ the cost is a few numpy passes over the bytes, whatever the number of rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,34 +20,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    while have < n:
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * np.uint64(pow(base, have, 1 << 64))
-        have += take
-    return out
-
-
-class _Table:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    up = _powers(_BASE, 1)
-    down = _powers(pow(_BASE, -1, 1 << 64), 1)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = 1 << int(n - 1).bit_length()
-            cls.up = _powers(_BASE, size)
-            cls.down = _powers(pow(_BASE, -1, 1 << 64), size)
-        return cls.up, cls.down
+#: Longer spans are hashed one by one.
+_LONG = 1 << 12
+#: What of eight bytes belongs to a span that ends within them, by its length.
+_TAIL = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -101,18 +79,26 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running sums from which :func:`span_hash` takes the hash of any span."""
-    up, _ = _Table.upto(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand.
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-    _, down = _Table.upto(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    Eight bytes at a time, each step a bijection of the state: no sums of powers, for which there
+    are known pairs of strings that agree whatever the base.
+    """
+    at, left = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
+    out = mix(left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    for i in np.flatnonzero(left > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[at[i] : at[i] + left[i]], digest_size=8).digest(), "little")
+    active = np.flatnonzero((left > 0) & (left <= _LONG))
+    at, left, state = at[active], left[active], out[active]
+    while len(active):
+        state = mix((state ^ (eight[at] & _TAIL[np.minimum(left, 8)])) * np.uint64(0x9E3779B97F4A7C15))
+        more = left > 8
+        out[active[~more]] = state[~more]
+        active, at, left, state = active[more], at[more] + 8, left[more] - 8, state[more]
+    return out
 
 
 def shingles(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +130,7 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
 def text_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of lower-cased words of each row, as :func:`shingles` gives them."""
     starts, ends, first = words(data, offsets)
-    return shingles(span_hash(prefix_hash(lower(data)), starts, ends), first, width)
+    return shingles(span_hash(lower(data), starts, ends), first, width)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

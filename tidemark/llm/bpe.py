@@ -113,37 +113,38 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[cut]
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct one, and which one each span is. Hashes find them, their bytes decide."""
+    _, where, which = np.unique(arrays.span_hash(data, starts, starts + lengths), return_index=True, return_inverse=True)
+    if np.array_equal(lengths[where][which], lengths) and arrays.same_spans(data, starts, lengths, starts[where][which]):
+        return where, which
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(data[a : a + n].tobytes(), len(known)) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 class Words:
     """The distinct pieces of a slice, and which one each piece of each block is."""
 
     def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]):
         """texts: blocks of bytes and row offsets."""
-        hashes, kept, lengths, self.blocks = [], [], [], []
+        kept, lengths, self.blocks = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], []
         for data, offsets in texts:
             starts = pieces(data, offsets)
-            ends = np.append(starts[1:], len(data))
-            value = arrays.span_hash(arrays.prefix_hash(data), starts, ends)
-            distinct, where, which = np.unique(value, return_index=True, return_inverse=True)
-            size = (ends - starts)[where]
-            if not (np.array_equal(size[which], ends - starts) and arrays.same_spans(data, starts, ends - starts, starts[where][which])):
-                raise ArithmeticError("two pieces of a block share a 64-bit hash")
-            hashes.append(distinct)
-            kept.append(data[arrays.ragged(starts[where], size)])
-            lengths.append(size)
+            size = np.append(starts[1:], len(data)) - starts if len(starts) else starts
+            where, which = distinct_spans(data, starts, size)
+            kept.append(data[arrays.ragged(starts[where], size[where])])
+            lengths.append(size[where])
             self.blocks.append((which.astype(np.int32), np.searchsorted(starts, offsets)))
-        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        size = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
-        data = np.concatenate(kept) if kept else np.zeros(0, np.uint8)
+        size, data = np.concatenate(lengths), np.concatenate(kept)
         start = np.cumsum(size) - size
-        _, where, which = np.unique(every, return_index=True, return_inverse=True)
-        if not (np.array_equal(size[where][which], size) and arrays.same_spans(data, start, size, start[where][which])):
-            raise ArithmeticError("two pieces of a slice share a 64-bit hash")
+        where, which = distinct_spans(data, start, size)
         self.lengths = size[where]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = data[arrays.ragged(start[where], self.lengths)]
         at = 0
         for i, (local, rows) in enumerate(self.blocks):
-            n = len(hashes[i])
+            n = len(lengths[i + 1])
             self.blocks[i] = (which[at : at + n][local].astype(np.int32), rows)
             at += n
 

@@ -99,7 +99,7 @@ def _slices(docs: DataFrame) -> DataFrame:
                 hashes, counts = [], []
                 for _, _, data, offsets in arrays.blocks(batch.column(2).slice(start, end - start)):
                     starts, ends, first = arrays.words(data, offsets)
-                    hashes.append(np.insert(arrays.span_hash(arrays.prefix_hash(arrays.lower(data)), starts, ends), first[1:], END))
+                    hashes.append(np.insert(arrays.span_hash(arrays.lower(data), starts, ends), first[1:], END))
                     counts.append(np.diff(first) + 1)
                 vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
                 size = np.concatenate(counts)

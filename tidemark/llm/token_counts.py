@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +40,85 @@ def split_special(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -
     return parts, is_special, np.searchsorted(parts, offsets, "left")
 
 
+class Counter:
+    """Token counts of words, by merging with a heap of adjacent pairs over a linked list of symbols."""
+
+    #: Words whose counts are kept for later slices of the same worker.
+    KEPT = 1 << 18
+
+    def __init__(self, merges: bpe.Merges):
+        self.single = merges.single.tolist()
+        self.pairs = dict(zip(merges.keys.tolist(), zip(merges.ranks.tolist(), merges.product[merges.ranks].tolist(), strict=True), strict=True))
+        self.known: dict[bytes, int] = {}
+
+    def count(self, word: bytes) -> int:
+        """Initial symbols minus merges, always of the lowest rank, leftmost first."""
+        n = len(word)
+        if n < 2:
+            return n
+        pairs, symbol = self.pairs, [self.single[b] for b in word]
+        following = [*range(1, n), -1]
+        previous = [*range(-1, n - 1)]
+        heap = []
+        for i in range(n - 1):
+            found = pairs.get((symbol[i] << 20) | symbol[i + 1])
+            if found is not None:
+                heap.append((found[0], i, found[1]))
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            rank, i, product = heapq.heappop(heap)
+            j = following[i]
+            # a pair is out of date where one of its symbols has merged since
+            if j < 0 or symbol[i] < 0:
+                continue
+            found = pairs.get((symbol[i] << 20) | symbol[j])
+            if found is None or found[0] != rank:
+                continue
+            left -= 1
+            symbol[i], symbol[j] = product, -1
+            k = following[i] = following[j]
+            if k >= 0:
+                previous[k] = i
+                found = pairs.get((product << 20) | symbol[k])
+                if found is not None:
+                    heapq.heappush(heap, (found[0], i, found[1]))
+            h = previous[i]
+            if h >= 0:
+                found = pairs.get((symbol[h] << 20) | product)
+                if found is not None:
+                    heapq.heappush(heap, (found[0], h, found[1]))
+        return left
+
+    def counts(self, words: bpe.Words) -> np.ndarray:
+        """Of all distinct words; those of earlier slices are remembered, up to a bound."""
+        if len(self.known) > self.KEPT:
+            self.known.clear()
+        known, data, out = self.known, words.data.tobytes(), []
+        for a, n in zip(words.starts.tolist(), words.lengths.tolist(), strict=True):
+            word = data[a : a + n]
+            count = known.get(word)
+            if count is None:
+                count = self.count(word)
+                if n <= 64:
+                    known[word] = count
+            out.append(count)
+        return np.array(out, np.int64)
+
+
+@functools.cache
+def counter(path: str) -> tuple[list[bytes], Counter]:
+    """The special strings of a vocabulary file, and the counter of its merges."""
+    special, merges = bpe.merge_file(path)
+    return special, Counter(merges)
+
+
 def count_texts(texts: list[tuple[np.ndarray, np.ndarray]], path: str) -> Iterator[np.ndarray]:
     """For each block of texts the token count of each row; a special string is one token."""
-    special, merges = bpe.merge_file(path)
+    special, of_words = counter(path)
     cut = [(data, *split_special(data, offsets, special)) for data, offsets in texts]
     words = bpe.Words([(data, parts) for data, parts, _, _ in cut])
-    _, _, merged = merges.replay(words.data, words.starts, words.lengths)
-    left = words.lengths - merged
+    left = of_words.counts(words)
     for (which, bounds), (_, parts, is_special, first), (_, offsets) in zip(words.blocks, cut, texts, strict=True):
         total = np.zeros(len(which) + 1, np.int64)
         np.cumsum(left[which], out=total[1:])
