@@ -10,11 +10,12 @@ The merged order with its common prefixes says how far any two suffixes agree to
 stands before them is compared likewise to the left. Texts that occur as a whole more than once
 are one text here, and every byte of theirs is covered.
 
-A gram that very many suffixes share is cut by what stands around it: strings that begin between
-``low`` and ``high`` bytes before the gram hold the ``low`` bytes before it and the first
-``span - high`` from it, so only suffixes that agree in those need to meet. Where still too many
-do, the range of distances is halved; at one distance the string itself is the key, and all that
-share it are repeated. So no task gets more than ``HOT`` suffixes of a group.
+Suffixes that agree in all their bytes, before and after, are repeated everywhere; one of them goes
+on for all. A gram that very many suffixes share is cut by what stands around it: strings that
+begin between ``low`` and ``high`` bytes before the gram hold the ``low`` bytes before it and the
+first ``span - high`` from it, so only suffixes that agree in those need to meet. Where still too
+many do, the range of distances is cut; at one distance the string itself is the key, and all that
+share it are repeated. So no task gets more than ``HOT`` different suffixes of a group.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ SHORT = 256
 PAIRWISE = 48
 #: Groups of more suffixes than this are cut before they meet in a task.
 HOT = 4096
+#: A range of distances in which too many suffixes meet is cut into so many.
+PIECES = 4
 #: Bytes of a key before its suffix: the group, which span it is about (0: both), least and greatest distance.
 _HEAD = 8 + 1 + 2 + 2
 #: Entries of a run that are Python objects at a time.
@@ -313,29 +316,40 @@ def _merged_spans(runs: DataFrame, spans: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)]
         found: list[tuple[int, int, int, int, bool]] = []
-        group: list[tuple[int, tuple]] = []
+        group: list[tuple[int, int, tuple]] = []
         head = b""
 
         def close() -> None:
-            """Spans of the group; the same suffix twice is one."""
+            """Spans of the group. The same suffix twice is one; of suffixes with equal bytes around them one stands for all."""
             seen: set[tuple] = set()
-            right, payloads, agree = [], [], 1 << 60
-            for shared_prefix, payload in group:
-                agree = min(agree, shared_prefix - _HEAD)
-                if payload[:3] not in seen:
-                    seen.add(payload[:3])
+            like: dict[tuple[int, bytes], tuple[int, list[tuple]]] = {}
+            right, agree, nth_suffix, last = [], 1 << 60, 0, -1
+            for prefix, size, payload in group:
+                agree = min(agree, prefix - _HEAD)
+                nth_suffix += not (prefix == size == last)
+                last = size
+                if payload[:3] in seen:
+                    continue
+                seen.add(payload[:3])
+                if (nth_suffix, payload[3]) not in like:
+                    like[nth_suffix, payload[3]] = (size - _HEAD, [])
                     right.append(agree)
-                    payloads.append(payload)
                     agree = 1 << 60
-            if len(payloads) < 2:
+                like[nth_suffix, payload[3]][1].append(payload)
+            if len(seen) < 2:
                 return
             low, high = int.from_bytes(head[9:11], "big"), int.from_bytes(head[11:13], "big")
             for nth, length in enumerate(spans):
-                if head[8] in (0, nth + 1):
-                    for (t1, t2, spot, _), ranges in zip(payloads, repeated_offsets(right, [p[3] for p in payloads], length, low, high), strict=True):
-                        if ranges:
-                            for start, stop in merged(np.array([(spot - b, spot - a + length) for a, b in ranges], np.int64)).tolist():
-                                found.append((t1, t2, start, stop, nth == 1))
+                if head[8] not in (0, nth + 1):
+                    continue
+                for ((_, before), (size, own)), ranges in zip(like.items(), repeated_offsets(right, [b for _, b in like], length, low, high), strict=True):
+                    if len(own) > 1:
+                        first, final = max(low, length - size), min(high, len(before))
+                        ranges = [(first, final)] if first <= final else []
+                    if ranges:
+                        back = merged(np.array([(-b, length - a) for a, b in ranges], np.int64)).tolist()
+                        for t1, t2, spot, _ in own:
+                            found.extend((t1, t2, spot + start, spot + stop, nth == 1) for start, stop in back)
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) or [()] * 5
@@ -348,7 +362,7 @@ def _merged_spans(runs: DataFrame, spans: tuple[int, int]) -> DataFrame:
                 group, head = [], key[:_HEAD]
                 if len(found) > 10_000:
                     yield flush()
-            group.append((prefix, payload))
+            group.append((prefix, len(key), payload))
         close()
         yield flush()
 
@@ -356,31 +370,40 @@ def _merged_spans(runs: DataFrame, spans: tuple[int, int]) -> DataFrame:
 
 
 def _keyed(items: DataFrame) -> DataFrame:
-    """Items whose range of distances holds a string inside the text, with 128 bits of what all its strings share."""
-    n, m = F.length("before"), F.length("following")
-    some = F.greatest(F.col("low"), F.col("span") - m) <= F.least(F.col("high"), n)
-    part = [F.col("h"), F.col("span"), F.col("low"), F.col("high"), F.substring(F.col("before"), F.lit(1), F.col("low")), F.substring(F.col("following"), F.lit(1), F.col("span") - F.col("high"))]
-    return items.where(some).withColumn("k1", F.xxhash64(*part)).withColumn("k2", F.xxhash64(F.lit("second"), *part))
+    """Items whose range of distances holds a string inside the text, first to last one.
+
+    With 128 bits of what all those strings share (k1, k2), and of all their bytes (f1, f2).
+    """
+    inside = items.withColumn("first", F.greatest(F.col("low"), F.col("span") - F.length("following"))).withColumn("last", F.least(F.col("high"), F.length("before")))
+    band = [F.col("h"), F.col("span"), F.col("low"), F.col("high")]
+    around = lambda b, f: [*band, F.substring(F.col("before"), F.lit(1), b), F.substring(F.col("following"), F.lit(1), f)]
+    shared_part, whole = around(F.col("low"), F.col("span") - F.col("high")), around(F.col("high"), F.col("span") - F.col("low"))
+    hashes = {f"{k}{i + 1}": F.xxhash64(*[F.lit("second")] * i, *part) for k, part in (("k", shared_part), ("f", whole)) for i in (0, 1)}
+    return inside.where("first <= last").withColumns(hashes)
 
 
 def _hot_spans(contexts: DataFrame, spans: tuple[int, int], reach: int, parts: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Runs of small groups, and spans that are certain, of the suffixes of hot grams (h, t1, t2, pos, before, following)."""
-    ranges = lambda *r: F.explode(F.array(*[F.struct(low.cast("int").alias("low"), high.cast("int").alias("high")) for low, high in r])).alias("range")
     kept = ["h", "t1", "t2", "pos", "before", "following", "span"]
     level = contexts.withColumn("span", F.explode(F.array(*map(F.lit, spans)))).withColumn("low", F.lit(0)).withColumn("high", F.lit(reach))
     runs, certain = [], []
     while True:
-        level = _keyed(level)
-        many = level.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        level = shared.written(level.join(many, ["k1", "k2"]), "level")
+        level = shared.written(_keyed(level), "level")
         if level.isEmpty():
             return runs, certain
-        runs.append(_band_runs(level.where(F.col("n") <= HOT), spans, parts))
-        large = level.where(F.col("n") > HOT)
-        at = (F.col("pos") - F.col("low")).cast("int")
-        certain.append(large.where("low = high").select("t1", "t2", at.alias("start"), (at + F.col("span")).cast("int").alias("stop"), (F.col("span") == spans[1]).alias("full")))
-        middle = F.floor((F.col("low") + F.col("high")) / 2)
-        level = large.where("low < high").select(*kept, ranges((F.col("low"), middle), (middle + 1, F.col("high")))).select(*kept, "range.low", "range.high")
+        twice = level.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        start = F.col("pos") - F.col("last")
+        stop = F.col("pos") - F.col("first") + F.col("span")
+        certain.append(level.join(twice, ["f1", "f2"]).select("t1", "t2", start.cast("int").alias("start"), stop.cast("int").alias("stop"), (F.col("span") == spans[1]).alias("full")))
+        # one for all that agree in all bytes; at a single distance nothing is left to find
+        one = level.where("low < high").dropDuplicates(["k1", "k2", "f1", "f2"]).select(*kept, "low", "high", "k1", "k2")
+        many = level.where("low < high").select("k1", "k2", "f1", "f2").distinct().groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        meeting = shared.written(one.join(many, ["k1", "k2"]), "meeting")
+        runs.append(_band_runs(meeting.where(F.col("n") <= HOT), spans, parts))
+        large = meeting.where(F.col("n") > HOT)
+        step = F.ceil((F.col("high") - F.col("low") + 1) / PIECES).cast("int")
+        cut = large.withColumn("step", step).select(*kept, "step", F.col("high").alias("end"), F.explode(F.sequence(F.col("low"), F.col("high"), F.col("step"))).alias("low"))
+        level = cut.select(*kept, "low", F.least("end", F.col("low") + F.col("step") - 1).cast("int").alias("high"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
