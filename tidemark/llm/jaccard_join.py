@@ -41,6 +41,8 @@ FREQUENT_IN_BATCH, FREQUENT_KEPT = 8, 50_000
 BLOCK = 2048
 #: Before all pairs of a larger place are bounded, its sets are compared with so many others of it, in so many rounds.
 HUBS, ROUNDS = 3, 3
+#: Names that different sets may share before the join gives up.
+MOST_RENAMED = 10_000
 #: Pairs that a task holds back to pass each on once.
 HELD_PAIRS = 1 << 20
 
@@ -134,11 +136,19 @@ def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(hashes[a:b])
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """A 64-bit name of a set; equal sets share it (others with a probability of pairs / 2**64)."""
+def names_of(hashes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set; equal sets share both."""
     with np.errstate(over="ignore"):
-        both = np.array([arrays.mix(hashes).sum(dtype=np.uint64), np.bitwise_xor.reduce(arrays.mix(hashes * np.uint64(0x9FB21C651E98DF25))) if len(hashes) else 0], np.uint64)
-        return int(arrays.mix(arrays.mix(both[:1]) ^ both[1:])[0].astype(np.int64))
+        total = arrays.mix(hashes).sum(dtype=np.uint64)
+        folded_bits = np.bitwise_xor.reduce(arrays.mix(hashes * np.uint64(0x9FB21C651E98DF25))) if len(hashes) else np.uint64(0)
+        both = arrays.mix(np.array([total ^ (folded_bits >> np.uint64(7)), folded_bits + np.uint64(len(hashes))], np.uint64))
+        return tuple(arrays.mix(both ^ both[::-1] * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64).tolist())
+
+
+def node_of(hashes: np.ndarray, renamed: frozenset[int] = frozenset()) -> int:
+    """The name that stands for a set: its first one, or its second where different sets share the first."""
+    first, second = names_of(hashes)
+    return second if first in renamed else first
 
 
 def text_hash() -> Column:
@@ -146,15 +156,30 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, counts) of every row."""
+def _members(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
+    """(doc_id, text_hash, n_shingles, node, other, counts) of every row, and the names that different sets share.
 
+    Sets are told apart by both names, 128 bits; those whose node is shared, which hardly happens
+    below 10**9 texts, go by their second name. The list is as short as that, and its length is checked.
+    """
+    renamed: frozenset[int] = frozenset()
+    while True:
+        made = shared.written(_named(docs, renamed), "members")
+        clashes = made.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").limit(MOST_RENAMED + 1).collect()
+        if not clashes:
+            return made, renamed
+        renamed |= {r.node for r in clashes}
+        if len(renamed) > MOST_RENAMED:
+            raise ArithmeticError("too many sets share a 64-bit name")
+
+
+def _named(docs: DataFrame, renamed: frozenset[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), node_of(s), _packed(count_vector(s))) for s in text_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "text_hash", "n_shingles", "node", "counts"])
+            sets = [(len(s), node_of(s, renamed), names_of(s)[0] ^ names_of(s)[1], _packed(count_vector(s))) for s in text_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "text_hash", "n_shingles", "node", "other", "counts"])
 
-    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, counts binary")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, other long, counts binary")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +190,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             seen: set[int] = set()
             every = []
             for s in text_sets(batch.column(0)):
-                if len(s) and (node := node_of(s)) not in seen:
+                if len(s) and (node := node_of(s)) not in seen:  # a shared name only hides a count
                     seen.add(node)
                     every.append(s)
             value, count = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]), return_counts=True)
@@ -179,7 +204,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return value[order], top["n"].to_numpy().astype(np.int64)[order]
 
 
-def _prefixes(docs: DataFrame) -> DataFrame:
+def _prefixes(docs: DataFrame, renamed: frozenset[int]) -> DataFrame:
     """(h, node): the shingles of each set's prefix, frequent ones last."""
     value, count = _frequent(docs)
 
@@ -188,7 +213,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
             seen: set[int] = set()
             nodes, parts = [], []
             for s in text_sets(batch.column(0)):
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s) or (node := node_of(s, renamed)) in seen:
                     continue
                 seen.add(node)
                 n = len(s)
@@ -205,7 +230,7 @@ def _prefixes(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, node long")
 
 
-def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, renamed: frozenset[int], nodes: DataFrame) -> DataFrame:
     """(node, hashes) of the nodes, each from the text of one document that has it."""
     ids = members.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("__id")).select("__id").distinct()
     ids = shared.written(ids, "ids")
@@ -217,7 +242,7 @@ def _sets(docs: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 sets = list(text_sets(batch.column(0).slice(start, 500)))
                 rows = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sets).astype(np.int64)))], ["node", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s, renamed) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sets).astype(np.int64)))], ["node", "hashes"])
 
     made = chosen.mapInArrow(run, "node long, hashes array<long>").join(nodes, "node", "left_semi")
     return shared.written(made.dropDuplicates(["node"]), "sets")
@@ -244,10 +269,10 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, points: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, renamed: frozenset[int], points: DataFrame) -> DataFrame:
     """Of pairs (a, b) the similar ones: bounded by count vectors first, then by their sets."""
     near = shared.written(_bounded(pairs, points), "near")
-    sets = _sets(docs, members, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets(docs, members, renamed, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     whole = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     full = near.join(whole("a"), "a").join(whole("b"), "b")
     overlap = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
@@ -360,16 +385,16 @@ def _linked(docs: DataFrame) -> DataFrame:
     """
     plain = shared.texts(docs)
     spark = docs.sparkSession
-    members = shared.written(_members(plain), "members")
+    members, renamed = _members(plain)
     # one shuffle by shingle serves the distinct, the count and the smallest node; rows are two numbers wide
-    prefixes = _prefixes(plain).repartition(shared.partitions(spark), "h").groupBy("h", "node").agg(F.lit(1).alias("one"))
+    prefixes = _prefixes(plain, renamed).repartition(shared.partitions(spark), "h").groupBy("h", "node").agg(F.lit(1).alias("one"))
     place = Window.partitionBy("h")
     hubs = prefixes.withColumn("hub", F.min("node").over(place)).withColumn("__n", F.count(F.lit(1)).over(place)).where("__n > 1")
     meeting = shared.written(hubs.select("h", "hub", "node"), "meeting")
     points = members.join(meeting.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "n_shingles", "counts")
     points = shared.written(points, "points")
     stars = meeting.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    first = shared.written(_verified(stars, plain, members, points), "links")
+    first = shared.written(_verified(stars, plain, members, renamed, points), "links")
     found, links, tried = components.components(first), first, stars
     for seed in range(ROUNDS):
         apart = shared.written(_apart(meeting, found), "apart")
@@ -377,14 +402,14 @@ def _linked(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             break
         tried = tried.unionByName(pairs)
-        more = shared.written(_verified(pairs, plain, members, points), "links")
+        more = shared.written(_verified(pairs, plain, members, renamed, points), "links")
         if more.isEmpty():
             break
         links = links.unionByName(more)
         found = components.components(links)
     apart = shared.written(_apart(meeting, found), "apart")
     pairs = _leaf_pairs(apart).unionByName(_tree_pairs(apart, points)).distinct().join(tried, ["a", "b"], "left_anti")
-    more = shared.written(_verified(pairs, plain, members, points), "links")
+    more = shared.written(_verified(pairs, plain, members, renamed, points), "links")
     if not more.isEmpty():
         found = components.components(links.unionByName(more))
     labelled = members.join(found, "node", "left")
@@ -405,14 +430,16 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class of linked ones, with its own columns: the one of the smallest id.
+    """One document of each class of linked ones, with its own columns, whatever their names: the one of the smallest id.
 
     A document is an id with a text, so of an id's texts each is judged by itself. Where the
     smallest id has several linked texts, or all ids are null, the smallest hash of a text decides.
-    Documents without shingles stay. Rows that repeat the id and text of a kept document stay with it.
+    Documents without shingles (null, empty or wordless) stay. Rows that repeat the id and text of a
+    kept document stay with it. A very long text is one row. An empty table gives an empty result.
     """
     linked = _linked(docs).where("n_shingles > 0").drop("n_shingles")
     first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "text_hash")).alias("first"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    gone = linked.join(first, "component").where(~kept).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash() == F.col("__text")), "left_anti")
+    of, by = (shared.unused(docs.columns, c) for c in ("gone_id", "gone_text"))
+    gone = linked.join(first, "component").where(~kept).select(F.col("doc_id").alias(of), F.col("text_hash").alias(by)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (text_hash() == F.col(by)), "left_anti")

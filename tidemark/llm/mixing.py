@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm import shared
+
 #: Sources up to this many are broadcast (about 10 MB); beyond it the join shuffles.
 BROADCAST_SOURCES = 100_000
 
@@ -48,29 +50,48 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, epochs: fl
     return level.select("source", "source_size", "weight", target.alias("target"))
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
-    """Add size, source_size, target and copies (how often the mix takes the document).
-
-    A null text has size 0; a null source is a source of its own; a source of size 0 has rate 0;
-    repeated rows draw alike, because the draw hashes the id and the text; an empty table gives an
-    empty result. Hot sources do not matter: sizes are added up before the shuffle, and the few
-    source rows are broadcast once their number is known to be small.
-    """
-    sized = docs.withColumn("size", word_count(F.col("text")))
-    by_source = sized.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    table = targets(by_source, weights, share, epochs).select(F.col("source").alias("__source"), "source_size", "target")
+def _drawn(docs: DataFrame, weights: Sequence[float], share: float, epochs: float, seed: int, row: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies of each row, and the row itself where given."""
+    own = [F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_md5")]
+    sized = docs.select(*own, *([] if row is None else [row.alias("row")]))
+    by_source = shared.written(docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").cast("long").alias("source_size")), "sizes")
+    table = targets(by_source, weights, share, epochs).select(F.col("source").alias("of"), "source_size", "target")
     few = by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = sized.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    joined = sized.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(epochs)), F.col("target") / F.col("source_size"))).otherwise(0.0)
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).cast("binary"))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("text_md5")).cast("binary"))
     draw = (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     whole = F.floor(rate)
-    return joined.withColumn("copies", (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("int"))
+    number = (whole + F.when(draw < rate - whole, 1).otherwise(0)).cast("int")
+    return joined.select("doc_id", "source", "size", "source_size", "target", number.alias("copies"), *([] if row is None else ["row"]))
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies (how often the mix takes the document) of every row.
+
+    Each document draws by itself, so a source's taken words are off its target by chance: the
+    standard deviation is sqrt(f * (1 - f) * sum(size ** 2)), f the fraction of its rate. That is
+    a small part of the target unless few long documents carry the source.
+
+    A null or empty text has size 0; a null source is a source of its own, last in order; a source
+    of size 0 has rate 0; repeated rows draw alike, because the draw hashes the id and the text;
+    ties of sources have no effect on targets. Other columns are not read, so their names cannot
+    clash; a table without ``source`` or ``text`` is refused. A very long text is one row. An empty
+    table gives an empty result. Hot sources do not matter: sizes are added up before the shuffle,
+    and the source rows are broadcast once their number is known to be small.
+    """
+    _check(docs)
+    return _drawn(docs, weights, share, epochs, seed)
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
+    """The mix itself: each document as often as :func:`copies` says, with its own columns, whatever their names."""
+    _check(docs)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = _drawn(docs, weights, share, epochs, seed, packed).where(F.col("copies") > 0)
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as :func:`copies` says, with its own columns."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(*own).alias("__row"))
-    taken = copies(packed, **options).where(F.col("copies") > 0)
-    return taken.select(F.col("__row"), F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+def _check(docs: DataFrame) -> None:
+    if missing := {"doc_id", "text", "source"} - set(docs.columns):
+        raise ValueError(f"mixing needs the columns {', '.join(sorted(missing))}")

@@ -40,6 +40,29 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def bucketed(frame: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Write a frame to the shared folder in sorted buckets, one file each, and read it back.
+
+    Joins and aggregates by those columns then read it without a shuffle. The catalog forgets the
+    table at once; the files stay.
+    """
+    spark = frame.sparkSession
+    n, table = partitions(spark), f"{name}_{uuid.uuid4().hex}"
+    dealt = frame.repartition(n, *[F.col(c) for c in columns])
+    dealt.write.format("parquet").bucketBy(n, *columns).sortBy(*columns).option("path", folder(spark, name)).saveAsTable(table)
+    back = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return back
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of the columns has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
