@@ -93,7 +93,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return shared.texts(docs).mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
+    return shared.texts(docs).mapInArrow(arrays.lean(run), schema + (", ids array<int>" if keep_ids else ""))
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -109,4 +109,4 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
             s = starts.tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(s, s[1:], strict=False)], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(arrays.lean(run), "doc_id long, text string")

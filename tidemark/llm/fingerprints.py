@@ -84,7 +84,7 @@ def fingerprint(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(encode, sketches(batch.column(1), k, width)), pa.string())], ["doc_id", "fingerprint"])
 
-    return shared.texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return shared.texts(docs).mapInArrow(arrays.lean(run), "doc_id long, fingerprint string")
 
 
 def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
@@ -169,9 +169,9 @@ def with_next(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
                 yield from _compared(rows, pairs, after, k)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    dealt = plain.mapInArrow(deal, "part int, turn int, doc_id long, text string")
+    dealt = plain.mapInArrow(arrays.lean(deal), "part int, turn int, doc_id long, text string")
     together = dealt.repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("part", "turn", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return together.mapInArrow(walk, schema)
+    return together.mapInArrow(arrays.lean(walk), schema)
 
 
 def _compared(rows: list[tuple], pairs: list[tuple[str, str]], after: list[np.ndarray], k: int) -> Iterator[pa.RecordBatch]:

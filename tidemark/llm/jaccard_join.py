@@ -179,7 +179,7 @@ def _named(docs: DataFrame, renamed: frozenset[int]) -> DataFrame:
             sets = [(len(s), node_of(s, renamed), names_of(s)[0] ^ names_of(s)[1], _packed(count_vector(s))) for s in text_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "text_hash", "n_shingles", "node", "other", "counts"])
 
-    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, other long, counts binary")
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(arrays.lean(run), "doc_id long, text_hash long, n_shingles long, node long, other long, counts binary")
 
 
 def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             often = count >= FREQUENT_IN_BATCH
             yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], ["h", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(arrays.lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     top = rows.orderBy(F.col("n").desc(), "h").limit(FREQUENT_KEPT).toPandas()
     value = top["h"].to_numpy().astype(np.int64).astype(np.uint64)
     order = np.argsort(value)
@@ -227,7 +227,7 @@ def _prefixes(docs: DataFrame, renamed: frozenset[int]) -> DataFrame:
             h = np.concatenate([*parts, np.zeros(0, np.uint64)]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.array(nodes, np.int64), [len(p) for p in parts]))], ["h", "node"])
 
-    return docs.select("text").mapInArrow(run, "h long, node long")
+    return docs.select("text").mapInArrow(arrays.lean(run), "h long, node long")
 
 
 def _sets(docs: DataFrame, members: DataFrame, renamed: frozenset[int], nodes: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def _sets(docs: DataFrame, members: DataFrame, renamed: frozenset[int], nodes: D
                 rows = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s, renamed) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(rows), pa.array(np.concatenate(sets).astype(np.int64)))], ["node", "hashes"])
 
-    made = chosen.mapInArrow(run, "node long, hashes array<long>").join(nodes, "node", "left_semi")
+    made = chosen.mapInArrow(arrays.lean(run), "node long, hashes array<long>").join(nodes, "node", "left_semi")
     return shared.written(made.dropDuplicates(["node"]), "sets")
 
 
@@ -266,7 +266,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
             enough = bound >= least_overlap(batch.column(2).to_numpy(), batch.column(3).to_numpy())
             yield batch.select([0, 1, 2, 3]).filter(pa.array(enough))
 
-    return full.mapInArrow(run, "a long, b long, n_a long, n_b long")
+    return full.mapInArrow(arrays.lean(run), "a long, b long, n_a long, n_b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, renamed: frozenset[int], points: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def _tree_pairs(apart: DataFrame, points: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rest[0]), pa.array(rest[1])], ["a", "b"])
 
     dealt = ready.repartition(shared.partitions(apart.sparkSession), "low", "i", "j").sortWithinPartitions("h", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(arrays.lean(run), "a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -119,7 +119,7 @@ def _slices(docs: DataFrame) -> DataFrame:
                 )
                 number += 1
 
-    return docs.mapInArrow(run, "slice long, ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, trained binary")
+    return docs.mapInArrow(arrays.lean(run), "slice long, ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, trained binary")
 
 
 def _cut(values: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
@@ -139,7 +139,7 @@ def _ask_words(slices: DataFrame, parts: int) -> DataFrame:
                 part, asked, count = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(part), pa.int64()), pa.array(asked, pa.binary()), pa.array(count, pa.binary())], ["part", "slice", "words", "trained"])
 
-    return slices.select("slice", "words", "trained").mapInArrow(run, "part int, slice long, words binary, trained binary")
+    return slices.select("slice", "words", "trained").mapInArrow(arrays.lean(run), "part int, slice long, words binary, trained binary")
 
 
 _TALLIES = ["events", "distinct", *(f"n{r}" for r in range(1, CUTOFF + 2))]
@@ -170,7 +170,7 @@ def _count_words(asked: DataFrame, parts: int) -> DataFrame:
                 tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
                 yield pa.RecordBatch.from_pylist([{"slice": r["slice"], "part": part, "counts": pack(count[mine]), "numbers": pack(mine.astype(np.int64) * parts + part), **dict(zip(_TALLIES, tally, strict=True))}], _answer(["counts", "numbers"]))
 
-    return asked.repartitionById(parts, F.col("part")).mapInArrow(run, "slice long, part int, counts binary, numbers binary, " + ", ".join(f"{t} long" for t in _TALLIES))
+    return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), "slice long, part int, counts binary, numbers binary, " + ", ".join(f"{t} long" for t in _TALLIES))
 
 
 def _answer(columns: list[str]) -> pa.Schema:
@@ -232,7 +232,7 @@ def _ask_pairs(slices: DataFrame, parts: int, start: int) -> DataFrame:
                         ["part", "slice", "heads", "follow", "words", "trained", "word_counts"],
                     )
 
-    return slices.select("slice", "held", "sizes", "tokens", "words", "known").mapInArrow(run, "part int, slice long, heads binary, follow binary, words binary, trained binary, word_counts binary")
+    return slices.select("slice", "held", "sizes", "tokens", "words", "known").mapInArrow(arrays.lean(run), "part int, slice long, heads binary, follow binary, words binary, trained binary, word_counts binary")
 
 
 _HISTORY = ["totals", "seen", *(f"once{r}" for r in range(1, CUTOFF + 1))]
@@ -269,7 +269,7 @@ def _count_pairs(asked: DataFrame, parts: int, words: Words) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([answer | dict(zip(_TALLIES, tally, strict=True))], _answer(["counts", *_HISTORY]))
 
     columns = ", ".join(f"{c} binary" for c in ["counts", *_HISTORY])
-    return asked.repartitionById(parts, F.col("part")).mapInArrow(run, f"slice long, part int, {columns}, " + ", ".join(f"{t} long" for t in _TALLIES))
+    return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), f"slice long, part int, {columns}, " + ", ".join(f"{t} long" for t in _TALLIES))
 
 
 def pair_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kept: np.ndarray, word: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -326,7 +326,7 @@ def _scores(slices: DataFrame, parts: int, start: int, words: Words, factors: li
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return slices.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return slices.mapInArrow(arrays.lean(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def _totals(answers: DataFrame) -> list[int]:

@@ -197,7 +197,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
             found = measure(batch.column(1), rules)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in found.values())], ["doc_id", *found])
 
-    return shared.texts(docs).mapInArrow(run, f"doc_id long, {_SCHEMA}")
+    return shared.texts(docs).mapInArrow(arrays.lean(run), f"doc_id long, {_SCHEMA}")
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -208,4 +208,4 @@ def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(measure(batch.column(position), rules)["kept"]))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(arrays.lean(run), docs.schema)

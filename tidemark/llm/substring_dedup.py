@@ -238,7 +238,7 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int, places: bool) -> Data
                     value, count = np.unique(hashes, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int64))], ["h", "n"])
 
-    return texts.mapInArrow(run, "h long, t1 long, t2 long, pos int" if places else "h long, n long")
+    return texts.mapInArrow(arrays.lean(run), "h long, t1 long, t2 long, pos int" if places else "h long, n long")
 
 
 _RUN = "part int, t1s array<long>, t2s array<long>, spots array<int>, befores array<binary>, prefixes array<int>, rests array<binary>"
@@ -284,7 +284,7 @@ def _suffix_runs(rows: DataFrame, length: int, reach: int, parts: int) -> DataFr
                     entries.append(((h & 0xFFFFFFFFFFFFFFFF) % parts, _head(h, 0, 0, reach) + text[spot : spot + length], text[max(0, spot - reach) : spot][::-1], t1, t2, spot))
             yield _coded(entries)
 
-    return rows.mapInArrow(run, _RUN)
+    return rows.mapInArrow(arrays.lean(run), _RUN)
 
 
 def _band_runs(items: DataFrame, spans: tuple[int, int], parts: int) -> DataFrame:
@@ -297,7 +297,7 @@ def _band_runs(items: DataFrame, spans: tuple[int, int], parts: int) -> DataFram
                 entries.append(((k1 & 0xFFFFFFFFFFFFFFFF) % parts, _head(k1, 1 + spans.index(span), low, high) + following, before, t1, t2, pos))
             yield _coded(entries)
 
-    return items.select("k1", "span", "low", "high", "t1", "t2", "pos", "before", "following").mapInArrow(run, _RUN)
+    return items.select("k1", "span", "low", "high", "t1", "t2", "pos", "before", "following").mapInArrow(arrays.lean(run), _RUN)
 
 
 _SPANS = "t1 long, t2 long, start int, stop int, full boolean"
@@ -366,7 +366,7 @@ def _merged_spans(runs: DataFrame, spans: tuple[int, int]) -> DataFrame:
         close()
         yield flush()
 
-    return runs.mapInArrow(run, _SPANS)
+    return runs.mapInArrow(arrays.lean(run), _SPANS)
 
 
 def _keyed(items: DataFrame) -> DataFrame:
@@ -435,7 +435,7 @@ def _contexts(sources: DataFrame, length: int, reach: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, kinds, strict=True)], ["h", "t1", "t2", "pos", "before", "following"])
 
-    return sources.mapInArrow(run, "h long, t1 long, t2 long, pos int, before binary, following binary").dropDuplicates(["t1", "t2", "pos"])
+    return sources.mapInArrow(arrays.lean(run), "h long, t1 long, t2 long, pos int, before binary, following binary").dropDuplicates(["t1", "t2", "pos"])
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, short: int | None = None) -> DataFrame:
@@ -487,7 +487,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, short: int
     done = staged.where("sha is not null AND (whole OR anchors IS NULL)")
     done = done.select("doc_id", "n_bytes", number(F.col("whole")).alias("n_removed"), F.col("whole").cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), number(F.col("twin")).alias("n_shared"), F.when(F.col("whole"), F.lit("").cast("binary")).alias("kept"))
     rest = staged.where("sha is null").join(by_text, tid, "left").select("doc_id", "n_bytes", "twin", "text", "starts", "stops", "fulls")
-    return done.unionByName(rest.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary"))
+    return done.unionByName(rest.mapInArrow(arrays.lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, kept binary"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

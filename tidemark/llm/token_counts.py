@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm import bpe, shared
+from tidemark.llm import arrays, bpe, shared
 
 
 def split_special(data: np.ndarray, offsets: np.ndarray, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,4 +142,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             size = np.concatenate([*(np.diff(o) for _, o in texts), np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(counts), pa.array(counts > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return shared.texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return shared.texts(docs).mapInArrow(arrays.lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
