@@ -155,6 +155,22 @@ def test_substrings_of_few_letters(spark):
         assert (found[doc].n_bytes, found[doc].n_removed, found[doc].n_spans, found[doc].kept_sha256) == wanted
 
 
+def test_stretches_that_repeat_themselves(spark, monkeypatch):
+    # periodic stretches of all lengths, alone, shared, cut, inside other text, and of two periods in a row
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    periods = [word(n) for n in (1, 3, 7, 12)]
+    rows = [(i, word(rnd.randrange(0, 40)) + rnd.choice(periods) * rnd.randrange(1, 40) + rnd.choice(["", rnd.choice(periods) * rnd.randrange(1, 30)]) + word(rnd.randrange(0, 40))) for i in range(80)]
+    rows += [(90 + i, (p * 300)[:n]) for i, (p, n) in enumerate((p, n) for p in periods for n in (44, 45, 60, 61, 72, 300))]
+    for hot in (4096, 5):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        found = by_id(substring_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 60, 20, 44))
+        under = brute.substrings(rows, 44)
+        for doc, wanted in brute.substrings(rows, 60).items():
+            r = found[doc]
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == wanted and r.n_shared == under[doc][1]
+
+
 def test_merge_of_front_coded_runs():
     rnd = random.Random(8)
 

@@ -10,7 +10,7 @@ The merged order with its common prefixes says how far any two suffixes agree to
 stands before them is compared likewise to the left. Texts that occur as a whole more than once
 are one text here, and every byte of theirs is covered.
 
-Suffixes that agree in all their bytes, before and after, are repeated everywhere; one of them goes
+A stretch that repeats itself needs its ends only. Suffixes that agree in all their bytes, before and after, are repeated everywhere; one of them goes
 on for all. A gram that very many suffixes share is cut by what stands around it: strings that
 begin between ``low`` and ``high`` bytes before the gram hold the ``low`` bytes before it and the
 first ``span - high`` from it, so only suffixes that agree in those need to meet. Where still too
@@ -116,6 +116,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return spots, hashes[spots]
 
 
+def thinned(data: np.ndarray, spots: np.ndarray, hashes: np.ndarray, row: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which anchors are needed, and (anchor, start, stop) of stretches that repeat themselves.
+
+    Where a gram comes again and again at one distance, the bytes have that period, and every
+    string inside the stretch starts there twice. Needed are the first anchor, for strings that
+    begin before it, the second, to stand for the inner ones elsewhere, and those from which a
+    string of ``length`` bytes may reach beyond the end.
+    """
+    keep, found = np.ones(len(spots), bool), []
+    if len(spots) < 4:
+        return keep, found
+    gap = np.diff(spots)
+    linked = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1]) & (gap <= gram)
+    new = np.ones(len(gap), bool)
+    new[1:] = ~linked[:-1] | ~linked[1:] | (gap[1:] != gap[:-1])
+    first = np.flatnonzero(new & linked)
+    edges = np.append(np.flatnonzero(new), len(gap))
+    last = edges[np.searchsorted(edges, first, "right")]
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        period, start, stop = int(gap[a]), int(spots[a]), int(spots[b]) + gram
+        if b - a > 3 and stop - start >= length + period and np.array_equal(data[start : stop - period], data[start + period : stop]):
+            keep[a + 2 : a + np.searchsorted(spots[a : b + 1], spots[b] - (length - gram) - period)] = False
+            found.append((a, start, stop))
+    return keep, found
+
+
 def common(a: bytes, b: bytes, start: int) -> int:
     """Length of the common prefix, known to be at least ``start``."""
     end = min(len(a), len(b))
@@ -219,26 +245,34 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _anchor_rows(texts: DataFrame, length: int, gram: int, places: bool) -> DataFrame:
-    """(h, t1, t2, pos) of every anchor, equal texts of a batch once; without ``places`` (h, n) by batch."""
+def _anchor_rows(texts: DataFrame, length: int, short: int, gram: int, places: bool) -> DataFrame:
+    """(h, t1, t2, pos, stop) of every anchor, equal texts of a batch once; without ``places`` (h, n) by batch.
+
+    stop is null, or the end of a stretch from pos on that repeats itself.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end, data, offsets in arrays.blocks(batch.column(2)):
                 t1, t2 = (batch.column(i).slice(start, end - start).to_numpy() for i in (0, 1))
-                spots, hashes = anchors(data, offsets, length, gram)
+                spots, hashes = anchors(data, offsets, short, gram)
                 row = np.searchsorted(offsets, spots, "right") - 1
+                keep, stretches = thinned(data, spots, hashes, row, length, gram)
                 first = np.zeros(len(t1), bool)
                 first[np.unique(np.stack([t1, t2]), axis=1, return_index=True)[1]] = True
-                use = first[row]
-                row, spots, hashes = row[use], spots[use], hashes[use].astype(np.int64)
-                if places:
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(t1[row]), pa.array(t2[row]), pa.array((spots - offsets[row]).astype(np.int32))], ["h", "t1", "t2", "pos"])
-                else:
-                    value, count = np.unique(hashes, return_counts=True)
+                use = np.flatnonzero(keep & first[row])
+                hashes = hashes.astype(np.int64)
+                if not places:
+                    value, count = np.unique(hashes[use], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int64))], ["h", "n"])
+                    continue
+                again = [x for x in stretches if first[row[x[0]]]]
+                at = np.concatenate([use, np.array([a for a, _, _ in again], np.int64)])
+                ends = np.concatenate([np.zeros(len(use), np.int64), np.array([stop for _, _, stop in again], np.int64) - offsets[row[at[len(use) :]]]]).astype(np.int32)
+                columns = [pa.array(hashes[at]), pa.array(t1[row[at]]), pa.array(t2[row[at]]), pa.array((spots[at] - offsets[row[at]]).astype(np.int32)), pa.array(ends, mask=ends == 0)]
+                yield pa.RecordBatch.from_arrays(columns, ["h", "t1", "t2", "pos", "stop"])
 
-    return texts.mapInArrow(arrays.lean(run), "h long, t1 long, t2 long, pos int" if places else "h long, n long")
+    return texts.mapInArrow(arrays.lean(run), "h long, t1 long, t2 long, pos int, stop int" if places else "h long, n long")
 
 
 _RUN = "part int, t1s array<long>, t2s array<long>, spots array<int>, befores array<binary>, prefixes array<int>, rests array<binary>"
@@ -458,9 +492,9 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, short: int
     plain = plain.select("doc_id", "text", *_text_id(), F.octet_length("text").cast("long").alias("n_bytes"))
     long = plain.where(F.col("n_bytes") >= short).select("t1", "t2", "text")
     # counted before the shuffle, so a hot gram is one row a batch; the join splits hot grams' rows
-    twice = _anchor_rows(long, short, gram, False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    places = _anchor_rows(long, short, gram, True).join(twice, "h")
-    spots = places.groupBy(*tid).agg(F.collect_set(F.struct("pos", "h", (F.col("n") > HOT).alias("hot"))).alias("anchors"))
+    twice = _anchor_rows(long, length, short, gram, False).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    places = _anchor_rows(long, length, short, gram, True).join(twice, "h")
+    spots = places.groupBy(*tid).agg(F.collect_set(F.struct("pos", "h", (F.col("n") > HOT).alias("hot"), "stop")).alias("anchors"))
     known = plain.groupBy(*tid).agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
     known = known.join(spots, tid, "left")
     # the whole texts move once; those that stay whole, or go as a whole, are done with here
@@ -472,7 +506,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, short: int
     staged = shared.written(staged.select("doc_id", *tid, "n_bytes", "whole", "twin", source.alias("source"), "anchors", open_text.alias("text"), sha.alias("sha")), "staged")
 
     def sources(hot: bool) -> DataFrame:
-        own = staged.where("source").withColumn("anchors", F.filter("anchors", lambda a: a["hot"] == hot)).where(F.size("anchors") > 0)
+        own = staged.where("source").withColumn("anchors", F.filter("anchors", lambda a: (a["hot"] == hot) & a["stop"].isNull())).where(F.size("anchors") > 0)
         return own.select(*tid, "text", F.col("anchors.pos").alias("spots"), F.col("anchors.h").alias("hashes"))
 
     contexts = shared.written(_contexts(sources(True), length, reach), "contexts")
@@ -481,6 +515,8 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, short: int
         more, certain = _hot_spans(contexts, spans, reach, parts)
         runs += more
     found = _merged_spans(reduce(DataFrame.unionByName, runs).repartitionById(parts, F.col("part")), spans)
+    stretches = staged.where("source").select(*tid, F.explode(F.filter("anchors", lambda a: a["stop"].isNotNull())).alias("a"))
+    certain.append(stretches.select(*tid, F.col("a.pos").alias("start"), "a.stop", F.lit(True).alias("full")))
     by_text = reduce(DataFrame.unionByName, [found, *certain]).groupBy(*tid).agg(F.collect_list(F.struct("start", "stop", "full")).alias("spans"))
     by_text = shared.written(by_text.select(*tid, F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"), F.col("spans.full").alias("fulls")), "spans")
     number = lambda condition: F.when(condition, F.col("n_bytes")).otherwise(F.lit(0)).cast("long")
