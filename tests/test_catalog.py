@@ -26,11 +26,6 @@ def test_query_equals_sql(spark, duck, name):
     assert normal(found, columns) == normal(wanted, columns)
 
 
-def test_rows_only_queries(spark):
-    rows = catalog.queries()["resample"](spark, DATA).collect()
-    assert len(rows) == 500 and {len(r.signal) for r in rows} == {43}
-
-
 def test_entry_and_guard():
     import __spark_entry__
 
@@ -38,6 +33,11 @@ def test_entry_and_guard():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_labels_need_no_row_for_each_sample(spark):
+    plan = catalog.segment_stats(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan.split("Union")[0]
+
+
 def test_chain_has_few_exchanges(spark):
     plan = catalog.novelty(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

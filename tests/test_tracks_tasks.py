@@ -120,3 +120,37 @@ def test_stream_equals_batch(spark, tmp_path):
     for epoch, rows in enumerate(([(1, "a"), (2, "a")], [(1, "b")])):
         task_stream.upsert(spark.createDataFrame(rows, "task_id int, status string"), epoch, str(tmp_path / "state"))
     assert sorted(map(tuple, task_stream.read_upserts(spark, str(tmp_path / "state"), "task_id").collect())) == [(1, "b"), (2, "a")]
+
+
+def test_tracklists_round_trip(spark, tmp_path):
+    rows = [("a", 1, "T1", "A", "00:00:01", 1.0, "u", 3), ("a", 0, "T0", None, "00:00:00", 0.0, "", 1), ("b", 0, "U \"q\"", "B", "00:00:09", 9.0, "v", None)]
+    table = spark.createDataFrame(rows, "task string, seg int, title string, artist string, start_time string, start_time_seconds double, track_url string, match_count int").repartition(3)
+    files.write_tracklists(table, str(tmp_path / "json"), "task", "seg")
+    back = files.read_tracklists(spark, str(tmp_path / "json"), "*").orderBy("file", "pos").collect()
+    assert [(r.pos, r.title, r.artist, r.match_count) for r in back] == [(0, "T0", None, 1), (1, "T1", "A", 3), (0, "U \"q\"", "B", None)]
+    one_file = next((tmp_path / "json" / "task=a").glob("*.txt")).read_text()
+    assert len(json.loads(one_file)) == 2 and one_file.startswith("[") and "\n  " in one_file
+    files.write_lines(table.where("artist is not null"), str(tmp_path / "txt"), "task", "seg")
+    lines = files.read_lines(spark, str(tmp_path / "txt")).orderBy("file", "pos").collect()
+    assert [r.line for r in lines] == ["00:00:01 - T1 - A [3 matches]", "00:00:09 - U \"q\" - B"]
+
+
+def test_log_as_batch_and_stream(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "one.log").write_text("[download]  44.5% of 3MiB\nother\n")
+    batch = files.read_log(spark, str(tmp_path / "log"))
+    assert sorted(r.line for r in batch.collect()) == ["[download]  44.5% of 3MiB", "other"]
+    stream = files.read_log(spark, str(tmp_path / "log"), stream=True).select(scalars.percent(F.col("line")).alias("pct"))
+    query = stream.writeStream.format("memory").queryName("log_lines").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(str(r.pct) for r in spark.table("log_lines").collect()) == ["44.5", "None"]
+
+
+def test_entry_without_a_tokenizer_library():
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = "import sys\nsys.modules['tiktoken'] = None\nimport __spark_entry__ as e\nassert 'segments' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

@@ -35,8 +35,8 @@ def confidence(matches: Column) -> Column:
 
 
 def valid_ids(ids: Column) -> Column:
-    """Match ids that are neither null nor empty."""
-    return F.filter(ids, lambda x: x.isNotNull() & (x != ""))
+    """Match ids that count: not null, empty, zero or false (as text or as themselves)."""
+    return F.filter(ids, lambda x: x.isNotNull() & ~x.cast("string").isin("", "0", "0.0", "false"))
 
 
 def match_count(ids: Column) -> Column:
@@ -172,4 +172,46 @@ def percent_text(pct: Column) -> Column:
 
 
 def minutes(seconds: Column) -> Column:
+    """Whole minutes, rounded down."""
     return F.floor(seconds / 60).cast("int")
+
+
+def too_long_text(seconds: Column, cap: float = model.MAX_DURATION_S) -> Column:
+    """What an overlong file is told; null for others."""
+    return F.when(too_long(seconds, cap), F.format_string("Too long to analyse: %d min, at most %d min.", minutes(seconds), F.lit(int(cap // 60))))
+
+
+def url_status(url: Column, given: Column) -> Column:
+    """HTTP status of an address request: the key missing, an empty address, accepted."""
+    return F.when(~given, 422).when(F.coalesce(url, F.lit("")) == "", 400).otherwise(200)
+
+
+def upload_name(name: Column, now: Column) -> Column:
+    """The name under which an upload is stored: its time to the second, and its own name."""
+    return F.concat(F.date_format(now, "yyyyMMdd_HHmmss"), F.lit("_"), name)
+
+
+def iso_time(now: Column) -> Column:
+    """A time in ISO form; microseconds only where there are any."""
+    whole = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(now, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
+
+
+def task_id() -> Column:
+    """A random name for a task."""
+    return F.uuid()
+
+
+def served_status(exists: Column) -> Column:
+    """HTTP status of a stored file."""
+    return F.when(exists, 200).otherwise(404)
+
+
+def progress_event(kind: Column, pct: Column, current: Column, total: Column) -> Column:
+    """progress and status of a task after an event; pct and current of total count where the event has them."""
+    progress = F.when(kind == "download", download_progress(pct)).when(kind == "recognise", recognition_progress(current, total))
+    for name, value in model.PROGRESS.items():
+        progress = progress.when(kind == name, value)
+    status = F.when(kind.isin("url", "start_download", "download", "destination", "convert"), "downloading").when(kind == "done", "completed").when(kind == "failed", "error").otherwise("processing")
+    return F.struct(progress.cast("int").alias("progress"), status.alias("status"))

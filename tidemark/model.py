@@ -16,6 +16,24 @@ HOP = 512
 SIGMA = 10.0
 TERMINAL = ("completed", "error")
 OPEN_STATUS = ("pending", "downloading", "processing")
+#: Progress after each event of a task, in the usual order; downloads and recognised segments have their own rules.
+PROGRESS = {
+    "url": 0,
+    "upload": 0,
+    "start_download": 5,
+    "destination": 3,
+    "convert": 8,
+    "downloaded": 10,
+    "load": 12,
+    "signal": 14,
+    "features": 16,
+    "novelty": 18,
+    "peaks": 20,
+    "segments": 23,
+    "dedup": 95,
+    "done": 100,
+    "failed": 0,
+}
 VOLATILE_KEYS = ("filepath", "_analyzer")
 
 TRACK = T.StructType(

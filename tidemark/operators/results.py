@@ -15,6 +15,16 @@ def recent(listing: DataFrame, created: Column, tie: list[Column], n: int = mode
     return listing.withColumn("created", minute).orderBy(F.col("created").desc(), *tie).limit(n)
 
 
+def first_match(files: DataFrame, wanted: DataFrame, task: str) -> DataFrame:
+    """(task, path): of the files that start with the task's ``prefix`` and end in .mp3 the first by name; null where there is none.
+
+    The prefix is a time stamp of 16 characters, so this is an equality join on it.
+    """
+    named = files.withColumn("__name", scalars.base_name(F.col("path"))).where(F.col("__name").endswith(".mp3"))
+    keyed = named.groupBy(F.substring("__name", 1, 16).alias("__prefix")).agg(F.min_by("path", "__name").alias("path"))
+    return wanted.join(keyed, F.col("prefix") == F.col("__prefix"), "left").select(task, "path")
+
+
 def listing(results: DataFrame, texts: DataFrame) -> DataFrame:
     """(filename, track_count, created, json_path, txt_path) from readable result files and the text files there are.
 

@@ -86,8 +86,9 @@ def percentile_threshold(rows: DataFrame, series: str, column: str, threshold: C
     """Add the (1 - threshold) percentile of each series, exact, interpolated. A higher threshold is a lower bar.
 
     The values of a series are sorted once, in one row of their own; only the result is joined to
-    the rows, which are distributed by series already.
+    the rows, which are distributed by series already. A threshold outside [0, 1] is an error.
     """
+    threshold = F.when(threshold.between(0, 1), threshold).otherwise(F.raise_error(F.lit("threshold must lie in [0, 1]")).cast("double"))
     ordered = rows.groupBy(series).agg(F.sort_array(F.collect_list(column)).alias("__ordered"), F.first(F.round(1 - threshold, 12)).alias("__p"))
     place = (F.size("__ordered") - 1) * F.col("__p")
     low = F.get("__ordered", F.floor(place).cast("int"))
@@ -151,6 +152,21 @@ def parameters(samples: Column, sr: Column, min_duration: float | None, threshol
     return least, scalars.override(F.lit(threshold).cast("double"), scalars.auto_threshold(seconds))
 
 
+def label(rows: DataFrame, found: DataFrame, series: str) -> DataFrame:
+    """Rows (series, idx, ...) with the number of the segment that they lie in, if any.
+
+    Segments' starts are mixed in among the rows, in order, and each row takes the last start: one
+    exchange by series, no row for each sample of a segment.
+    """
+    own = F.struct(*[F.col(c) for c in rows.columns if c != series]).alias("__row")
+    starts = found.select(F.col(series), F.col("start").cast("long").alias("__at"), F.col("seg").alias("__seg"), F.col("stop").alias("__stop"))
+    every = rows.select(F.col(series), F.col("idx").cast("long").alias("__at"), own).unionByName(starts, allowMissingColumns=True)
+    before = Window.partitionBy(series).orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("__row").isNull(), F.struct("__seg", "__stop")), ignorenulls=True).over(before)
+    marked = every.withColumn("__last", last).where(F.col("__row").isNotNull())
+    return marked.select(series, "__row.*", F.when(F.col("__at") < F.col("__last.__stop"), F.col("__last.__seg")).alias("seg"))
+
+
 def slice_segments(chunks: DataFrame, found: DataFrame, series: str = "series_id") -> DataFrame:
     """The samples of each segment, piece by piece: (series, seg, chunk, samples).
 

@@ -70,6 +70,21 @@ def spectral_centroid(rows: DataFrame, key: str, signal: str, sr: float, size: i
     return rows.select(F.col(key).cast("long"), signal).mapInArrow(run, f"{key} long, frame int, centroid double")
 
 
+def features(rows: DataFrame, key: str, signal: str, sr: float, size: int, hop: int) -> DataFrame:
+    """(key, frame, centroid, rms) of short signals held in one row, from one pass over them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, values in enumerate(batch.column(1)):
+                if values.is_valid and len(values):
+                    whole = _padded(values, size)
+                    c = centroid(magnitudes(whole, size, hop), sr, size)
+                    e = np.sqrt((np.lib.stride_tricks.sliding_window_view(whole, size)[::hop] ** 2).mean(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), batch.column(0)[i].as_py())), pa.array(np.arange(len(c), dtype=np.int32)), pa.array(c), pa.array(e)], [key, "frame", "centroid", "rms"])
+
+    return rows.select(F.col(key).cast("long"), signal).mapInArrow(run, f"{key} long, frame int, centroid double, rms double")
+
+
 def chunk_features(chunks: DataFrame, n_fft: int, hop: int, rms_size: int = 2048) -> DataFrame:
     """(series_id, idx, centroid, rms, samples) of signals held in chunks of whole hops.
 

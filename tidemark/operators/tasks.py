@@ -38,6 +38,11 @@ def stale(files: DataFrame, modified: Column, now: Column, hours: int = model.ST
     return files.where(modified < now - F.expr(f"INTERVAL {int(hours)} HOURS"))
 
 
+def swept_count(files: DataFrame, modified: Column, now: Column, hours: int = model.STALE_HOURS) -> DataFrame:
+    """How many files a sweep removes."""
+    return stale(files, modified, now, hours).agg(F.count(F.lit(1)).alias("swept"))
+
+
 def lookup(asked: DataFrame, memory: DataFrame, disk: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Each asked key's state, from memory, else from disk, with the HTTP status: 404 where neither has it."""
     m = memory.select(F.col(key), F.struct(*columns).alias("__memory"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.operators import results, signal, spectral, tasks, tracks
+from tidemark.sources import audio
 from tidemark.streaming import tasks as task_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,10 +207,7 @@ def segments(spark, sf_dir):
 
 
 def segment_stats(spark, sf_dir):
-    found = _segments(spark, sf_dir)
-    # each sample looks for its segment among those of its own series
-    touched = found.withColumn("idx", F.explode(F.sequence(F.col("start"), F.col("stop") - 1))).withColumn("idx", F.col("idx").cast("int"))
-    joined = touched.join(_series(spark, sf_dir), ["user_id", "idx"])
+    joined = signal.label(_series(spark, sf_dir), _segments(spark, sf_dir), "user_id").where("seg is not null")
     return joined.groupBy("user_id", "seg").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
@@ -276,9 +274,7 @@ _GAP2 = 12
 
 def boundaries_2feature(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    c = spectral.spectral_centroid(e, "vec_id", "embedding", RATE, N_FFT, HOP)
-    r = _frames(spark, sf_dir).select("vec_id", "frame", spectral.rms(F.col("f")).alias("rms"))
-    rows = c.join(r, ["vec_id", "frame"]).withColumnRenamed("frame", "idx")
+    rows = spectral.features(e, "vec_id", "embedding", RATE, N_FFT, HOP).withColumnRenamed("frame", "idx")
     smooth = signal.gaussian_smooth(signal.novelty(rows, "vec_id", ["centroid", "rms"]), "vec_id", "novelty", SIGMA_SHORT, "smooth")
     smooth = smooth.withColumn("smooth", F.round("smooth", 9))
     found = signal.peaks_of(smooth, "vec_id", "smooth", F.lit(THRESHOLD), F.lit(_GAP2 // HOP), F.lit(64).cast("long"))
@@ -311,23 +307,25 @@ _TWO = (
 
 def downmix(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    d = lambda x: x.cast("double")
-    mono = F.zip_with(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32), lambda a, b: (d(a) + d(b)) / 2)
-    return e.select("vec_id", F.posexplode(mono).alias("pos", "x")).select("vec_id", "pos", _r("x"))
+    # two channels of 32 samples, one after the other
+    mono = audio.mapped(e, "vec_id", "embedding", lambda x: audio.downmix(x.reshape(2, -1).T))
+    return mono.select("vec_id", F.posexplode("signal").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def resample(spark, sf_dir):
-    import numpy as np
-    import pyarrow as pa
-
-    from tidemark.sources import audio
+    out = audio.mapped(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda x: audio.resample(x, 48, 32))
+    return out.select("vec_id", F.posexplode("signal").alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("x"))
 
-    def run(batches):
-        for batch in batches:
-            out = [audio.resample(np.asarray(v.values, np.float32), 48, 32).tolist() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], ["vec_id", "signal"])
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, signal array<float>")
+# weights of 48 inputs on either side of each output, a raised cosine times a sinc at two thirds of the band
+_RESAMPLE = """WITH outs AS (SELECT i, i * 1.5::DOUBLE AS place FROM range(0, 43) t(i)
+), raw AS (
+    SELECT i, floor(place)::INT + r AS j, (place - floor(place)) - r AS d FROM outs, range(-47, 49) u(r)
+), weighted AS (
+    SELECT i, j, 2.0::DOUBLE / 3 * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * d * 2 / 3) / (pi() * d * 2 / 3) END * cos(pi() * d / 98) ** 2 AS w FROM raw
+), normed AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM weighted
+), samples AS (SELECT vec_id, unnest(range(0, 64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, i::INT AS pos, round((sum(x * w)::FLOAT)::DOUBLE, 6) AS x FROM samples JOIN normed USING (j) GROUP BY vec_id, i"""
 
 
 # --- scalars and tracks ------------------------------------------------------------------------
@@ -353,18 +351,18 @@ _IDS = """ids AS (
 
 
 def match_count(spark, sf_dir):
-    valid = F.when(F.col("id") != "", F.col("id"))
-    return _ids(spark, sf_dir).groupBy("user_id").agg(F.count_distinct(valid).alias("match_count"))
+    ids = _ids(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("id")).alias("ids"))
+    return ids.select("user_id", scalars.match_count(F.col("ids.id")).alias("match_count"))
 
 
 def duplicate_ids(spark, sf_dir):
-    valid = F.when(F.col("id") != "", F.col("id"))
-    return _ids(spark, sf_dir).groupBy("user_id").agg((F.count(valid) - F.count_distinct(valid)).alias("duplicates"))
+    ids = _ids(spark, sf_dir).groupBy("user_id").agg(F.collect_list(F.struct("id")).alias("ids"))
+    return ids.select("user_id", scalars.duplicate_ids(F.col("ids.id")).alias("duplicates"))
 
 
 def confidence_tier(spark, sf_dir):
-    n = table(spark, sf_dir, "events").where(F.col("event_type") == "click").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    return n.select("user_id", "n", scalars.confidence(F.col("n")).alias("tier"))
+    n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("user_id", "event_type", "n", scalars.confidence(F.col("n")).alias("tier"))
 
 
 def json_get_default(spark, sf_dir):
@@ -600,11 +598,96 @@ def task_state_stream(spark, sf_dir):
     return task_stream.run_available(states, "task_id", task_stream.state_root(spark))
 
 
+# --- requests, files and events -----------------------------------------------------------------
+
+
+def url_status(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    url = F.when(F.pmod("page_id", F.lit(4)) == 0, "").otherwise(F.col("url"))
+    return p.select("page_id", scalars.url_status(url, F.pmod("page_id", F.lit(5)) != 0).alias("http_status"))
+
+
+def upload_status(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    kinds = F.array(*[F.lit(x) for x in ("a.mp3", "b.WAV", "c.txt", "", "noext")])
+    name = F.get(kinds, F.pmod("p_partkey", F.lit(5)).cast("int"))
+    return p.select("p_partkey", scalars.upload_status(name, F.col("p_size").cast("long") * 20_000_000).alias("http_status"))
+
+
+def view_status(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    name = F.concat("p_name", F.when(F.pmod("p_partkey", F.lit(2)) == 0, ".txt").otherwise(".json"))
+    there = F.pmod("p_partkey", F.lit(3)) != 0
+    return p.select("p_partkey", scalars.view_status(there, name).alias("view"), scalars.served_status(there).alias("served"))
+
+
+def stored_name(spark, sf_dir):
+    name = F.concat("event_type", F.lit(".mp3"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.upload_name(name, F.col("ts")).alias("name"), scalars.iso_time(F.date_trunc("second", "ts")).alias("at"))
+
+
+def path_names(spark, sf_dir):
+    path = F.concat(F.lit("out/"), "p_name", F.lit("_tracklist.json"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.txt_path(path).alias("txt"), scalars.display_name(path).alias("name"))
+
+
+def too_long_text(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", scalars.too_long_text(F.col("value") * 50).alias("text"))
+
+
+def first_match(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    prefix = F.format_string("20240101_%06d_", F.pmod("doc_id", F.lit(50)))
+    files = d.select(F.concat(F.lit("in/"), prefix, F.col("doc_id").cast("string"), F.when(F.pmod("doc_id", F.lit(3)) == 0, ".webm").otherwise(".mp3")).alias("path"))
+    wanted = d.select("doc_id", F.format_string("20240101_%06d_", F.pmod("doc_id", F.lit(60))).alias("prefix"))
+    return results.first_match(files, wanted, "doc_id")
+
+
+def swept_count(spark, sf_dir):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    return tasks.swept_count(table(spark, sf_dir, "events"), F.col("ts"), now)
+
+
+_KINDS = ["url", "upload", "start_download", "download", "destination", "convert", "downloaded", "load", "signal", "features", "novelty", "peaks", "segments", "recognise", "dedup", "done", "failed"]
+
+
+def progress_events(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, _KINDS)), F.pmod("event_id", F.lit(len(_KINDS))).cast("int"))
+    after = scalars.progress_event(kind, F.pmod("event_id", F.lit(101)).cast("double"), F.pmod("event_id", F.lit(9)), F.lit(9))
+    return table(spark, sf_dir, "events").select("event_id", kind.alias("kind"), after["progress"].alias("progress"), after["status"].alias("status"))
+
+
+def parsed_responses(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    track = F.format_string('{"track": {"title": "%s", "url": "u%d"}, "matches": [{"id": "%d"}, {"id": ""}, {"id": "%d"}]}', "event_type", "event_id", F.pmod("event_id", F.lit(3)), F.pmod("event_id", F.lit(2)))
+    body = F.when(F.pmod("event_id", F.lit(4)) == 0, '{"track": null}').otherwise(track)
+    parsed = tracks.parse_responses(e.select("event_id", body.alias("response"), F.col("value").alias("start_s")))
+    return parsed.select("event_id", "title", "artist", "track_url", "match_count", "start_time", "found")
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
 
 _SQL = {
+    "resample": _RESAMPLE,
+    "url_status": "SELECT page_id, (CASE WHEN page_id % 5 = 0 THEN 422 WHEN page_id % 4 = 0 THEN 400 ELSE 200 END)::INT AS http_status FROM pages",
+    "upload_status": "SELECT p_partkey, (CASE WHEN p_partkey % 5 >= 2 THEN 400 WHEN p_size * 20000000 > 500 * 1024 * 1024 THEN 413 ELSE 200 END)::INT AS http_status FROM part",
+    "view_status": "SELECT p_partkey, (CASE WHEN p_partkey % 3 = 0 THEN 404 WHEN p_partkey % 2 = 1 THEN 400 ELSE 200 END)::INT AS view, (CASE WHEN p_partkey % 3 = 0 THEN 404 ELSE 200 END)::INT AS served FROM part",
+    "stored_name": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_type || '.mp3' AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events",
+    "path_names": "SELECT p_partkey, 'out/' || p_name || '_tracklist.txt' AS txt, p_name AS name FROM part",
+    "too_long_text": "SELECT event_id, CASE WHEN value * 50 > 7200 THEN printf('Too long to analyse: %d min, at most 120 min.', floor(value * 50 / 60)::BIGINT) END AS text FROM events",
+    "first_match": "WITH f AS (SELECT doc_id % 50 AS k, min('in/' || printf('20240101_%06d_', doc_id % 50) || doc_id || '.mp3') AS path FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT doc_id, path FROM documents LEFT JOIN f ON k = doc_id % 60",
+    "swept_count": "SELECT count(*)::BIGINT AS swept FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOURS",
+    "progress_events": f"""WITH k AS (SELECT event_id, {_KINDS}[event_id % {len(_KINDS)} + 1] AS kind FROM events)
+        SELECT event_id, kind, (CASE kind WHEN 'download' THEN 2 + trunc((event_id % 101) * 0.05) WHEN 'recognise' THEN 25 + trunc((event_id % 9) * 65 / 9)
+            WHEN 'start_download' THEN 5 WHEN 'destination' THEN 3 WHEN 'convert' THEN 8 WHEN 'downloaded' THEN 10 WHEN 'load' THEN 12 WHEN 'signal' THEN 14 WHEN 'features' THEN 16
+            WHEN 'novelty' THEN 18 WHEN 'peaks' THEN 20 WHEN 'segments' THEN 23 WHEN 'dedup' THEN 95 WHEN 'done' THEN 100 ELSE 0 END)::INT AS progress,
+            CASE WHEN kind IN ('url', 'start_download', 'download', 'destination', 'convert') THEN 'downloading' WHEN kind = 'done' THEN 'completed' WHEN kind = 'failed' THEN 'error' ELSE 'processing' END AS status FROM k""",
+    "parsed_responses": """SELECT event_id, CASE WHEN t THEN event_type END AS title, CASE WHEN t THEN 'Unknown' END AS artist, CASE WHEN t THEN 'u' || event_id END AS track_url,
+            CASE WHEN t THEN len(list_distinct(list_filter([event_id % 3, event_id % 2], lambda x: x <> 0)))::INT END AS match_count,
+            CASE WHEN t THEN printf('%02d:%02d:%02d', floor(value)::BIGINT // 3600, (floor(value)::BIGINT % 3600) // 60, floor(value)::BIGINT % 60) END AS start_time, t AS found
+        FROM (SELECT *, event_id % 4 <> 0 AS t FROM events)""",
     "signal_series": _with(_SERIES, "SELECT user_id, idx, value FROM series"),
     "duration": "SELECT user_id, count(*)::BIGINT AS samples, count(*)::DOUBLE AS seconds FROM events GROUP BY user_id",
     "auto_params": f"SELECT event_id, ({_AUTO})::INT AS min_duration, ({_AUTO_T})::DOUBLE AS threshold FROM events",
@@ -626,12 +709,12 @@ _SQL = {
     "stft_magnitude": _with(_STFT, "SELECT vec_id, frame, bin, round(magnitude, 6) AS magnitude FROM bins"),
     "spectral_centroid": _with(_CENTROID, "SELECT vec_id, frame, round(centroid, 6) AS centroid FROM centroids"),
     "boundaries_2feature": _with(_TWO, "SELECT vec_id, (i - 1)::INT AS pos, bounds[i] AS boundary FROM (SELECT vec_id, bounds, unnest(range(1, len(bounds) + 1)) AS i FROM bounds)"),
-    "downmix": "SELECT vec_id, (i - 1)::INT AS pos, round((embedding[i]::DOUBLE + embedding[i + 32]::DOUBLE) / 2, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 33)) AS i FROM embeddings)",
+    "downmix": "SELECT vec_id, (i - 1)::INT AS pos, round(((embedding[i] + embedding[i + 32])::FLOAT)::DOUBLE / 2, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 33)) AS i FROM embeddings)",
     "hms_format": "SELECT event_id, printf('%02d:%02d:%02d', floor(value * 500)::BIGINT // 3600, (floor(value * 500)::BIGINT % 3600) // 60, floor(value * 500)::BIGINT % 60) AS time FROM events",
     "frame_to_seconds": _with(_SERIES, "SELECT user_id, idx, round(idx * 512 / 22050, 6) AS seconds FROM series"),
-    "match_count": _with(_IDS, "SELECT user_id, count(DISTINCT CASE WHEN id <> '' THEN id END)::BIGINT AS match_count FROM ids GROUP BY user_id"),
-    "duplicate_ids": _with(_IDS, "SELECT user_id, (count(CASE WHEN id <> '' THEN id END) - count(DISTINCT CASE WHEN id <> '' THEN id END))::BIGINT AS duplicates FROM ids GROUP BY user_id"),
-    "confidence_tier": "SELECT user_id, count(*)::BIGINT AS n, CASE WHEN count(*) <= 5 THEN 'high' WHEN count(*) <= 15 THEN 'medium' ELSE 'low' END AS tier FROM events WHERE event_type = 'click' GROUP BY user_id",
+    "match_count": _with(_IDS, "SELECT user_id, count(DISTINCT CASE WHEN id <> '' THEN id END)::INT AS match_count FROM ids GROUP BY user_id"),
+    "duplicate_ids": _with(_IDS, "SELECT user_id, (count(CASE WHEN id <> '' THEN id END) - count(DISTINCT CASE WHEN id <> '' THEN id END))::INT AS duplicates FROM ids GROUP BY user_id"),
+    "confidence_tier": "SELECT user_id, event_type, count(*)::BIGINT AS n, CASE WHEN count(*) <= 5 THEN 'high' WHEN count(*) <= 15 THEN 'medium' ELSE 'low' END AS tier FROM events GROUP BY user_id, event_type",
     "json_get_default": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Unknown' WHEN 1 THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events",
     "recognized_segments": _with(_SEG_EVENTS, "SELECT user_id, seg, start_s, CASE WHEN (user_id + seg) % 3 <> 0 THEN 't' || ((user_id * 7 + seg) % 5) END AS title FROM segments"),
     "dedup_tracks": _with(_PART, "SELECT arg_min(pos, pos) AS pos, arg_min(artist, pos) AS artist, arg_min(title, pos) AS title FROM tracks GROUP BY lower(artist) || '_' || lower(title)"),
@@ -669,7 +752,7 @@ _SQL = {
     "drop_volatile": _with(_LOG, "SELECT event_id, task_id, ts, status, progress FROM log"),
 }
 
-_ROWS_ONLY = ("resample",)
+_ROWS_ONLY = ()
 
 
 def queries() -> dict[str, Query]:

@@ -18,7 +18,8 @@ def detect(chunks: DataFrame, how: model.Detection = model.Detection()) -> DataF
     if how.digits is not None:
         smooth = smooth.withColumn("smooth", F.round("smooth", how.digits))
     least, threshold = signal.parameters(F.col("samples"), F.col("sr"), how.min_duration, how.threshold)
-    distance = F.greatest(F.floor(least * F.col("sr") / how.hop).cast("int"), F.lit(1))
+    distance = F.floor(least * F.col("sr") / how.hop).cast("int")
+    distance = F.when(distance >= 1, distance).otherwise(F.raise_error(F.lit("the least duration is below one hop")).cast("int"))
     rates = smooth.groupBy("series_id").agg(F.first("sr").alias("sr"))
     peaks = signal.peaks_of(smooth, "series_id", "smooth", threshold, distance, F.col("samples")).join(rates, "series_id")
     least, _ = signal.parameters(F.col("samples"), F.col("sr"), how.min_duration, how.threshold)

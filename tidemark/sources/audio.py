@@ -65,6 +65,17 @@ def resample(signal: np.ndarray, rate: int, target: int | None, taps: int = 32)
     return out
 
 
+def mapped(rows: DataFrame, key: str, signal: str, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(key, signal) of short signals held in one row, each changed; a null or empty one stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [change(np.asarray(v.values, np.float32)).tolist() if v.is_valid and len(v) else v.as_py() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], [key, "signal"])
+
+    return rows.select(key, signal).mapInArrow(run, f"{key} long, signal array<float>")
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """path, modificationTime, length and content; a query that leaves content out does not read it."""
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

@@ -40,15 +40,28 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return rows.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
 
-def write_tracklists(tracks: DataFrame, path: str, partition: str) -> None:
-    """Tracks as JSON lines, a folder to each value of the partition column."""
-    tracks.write.partitionBy(partition).json(path)
+def write_tracklists(tracks: DataFrame, path: str, task: str, order: str) -> None:
+    """Each task's tracks in order as one indented JSON array, in a file of its own in the folder ``task=...``.
 
+    A tracklist is small, so it is one row; tasks are spread.
+    """
+    fields = F.struct(F.col(order).alias("__order"), F.struct(*[F.col(f.name) for f in model.TRACK]).alias("__track"))
+    lists = tracks.groupBy(task).agg(F.sort_array(F.collect_list(fields)).alias("__all"))
+    text = F.to_json(F.transform("__all", lambda x: x["__track"]), {"pretty": "true", "ignoreNullFields": "false"})
+    lists.select(task, text.alias("value")).write.partitionBy(task).text(path)
 
-def write_lines(tracks: DataFrame, path: str) -> None:
-    """Tracks as text lines in segment order within each task."""
+
+def write_lines(tracks: DataFrame, path: str, task: str, order: str) -> None:
+    """Each task's tracks in order as text lines, in a file of its own in the folder ``task=...``."""
     line = scalars.txt_line(F.col("start_time"), F.col("title"), F.col("artist"), F.col("match_count"))
-    tracks.select(line.alias("value")).write.text(path)
+    dealt = tracks.select(task, order, line.alias("value")).repartition(F.col(task)).sortWithinPartitions(task, order)
+    dealt.select(task, "value").write.partitionBy(task).text(path)
+
+
+def read_log(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(file, line) of a downloader's log files: those there are, or as a stream also those to come."""
+    reader = spark.readStream if stream else spark.read
+    return reader.format("text").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
 def append_events(events: DataFrame, path: str) -> None:
