@@ -272,7 +272,7 @@ def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, renamed: frozenset[int], points: DataFrame) -> DataFrame:
     """Of pairs (a, b) the similar ones: bounded by count vectors first, then by their sets."""
     near = shared.written(_bounded(pairs, points), "near")
-    sets = _sets(docs, members, renamed, near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = _sets(docs, members, renamed, near.select(F.col("a").alias("node")).distinct().unionByName(near.select(F.col("b").alias("node")).distinct()).distinct())
     whole = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     full = near.join(whole("a"), "a").join(whole("b"), "b")
     overlap = F.size(F.array_intersect("hashes_a", "hashes_b")).cast("long")
@@ -419,9 +419,10 @@ def _linked(docs: DataFrame) -> DataFrame:
 def link_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest linked doc_id, itself included) of every row.
 
-    A null or wordless text has no shingles and links with nothing; null ids link like others but
-    never name a component; rows that repeat an id and a text share a component. An empty table
-    gives an empty result.
+    A null, empty or wordless text has no shingles and links with nothing; null ids link like
+    others but never name a component; rows that repeat an id and a text share a component; ties of
+    size or hash have no effect on links. A very long text is one row and one set. Other columns
+    are not read, so their names cannot clash. An empty table gives an empty result.
     """
     linked = _linked(docs)
     least = linked.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
