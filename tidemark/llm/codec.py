@@ -68,7 +68,9 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
 
     Encoding depends on a text alone, so each task replays the merges over the distinct words of
     its own slice of the corpus. The ids are decoded again, and the bytes' hash is returned. A null
-    text is empty: no ids. Repeated rows encode alike; an empty table gives an empty result. The
+    text is empty: no ids. Repeated rows encode alike; of equal ranks the leftmost pair merges first.
+    Other columns are not read, so
+    their names cannot clash. A very long text is one row, handled alone. An empty table gives an empty result. The
     vocabulary file must be at ``path`` on every executor.
     """
 

@@ -13,7 +13,6 @@ sorted, packed arrays; the slices themselves lie in a table bucketed by slice an
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,6 +163,8 @@ def _count_words(asked: DataFrame, parts: int) -> DataFrame:
             table, which = np.unique(np.concatenate(words), return_inverse=True)
             count = np.zeros(len(table), np.int64)
             np.add.at(count, which, np.concatenate([unpack(r["trained"]) for r in own]).astype(np.int64))
+            if (len(table) + 1) * parts >= 1 << 32:
+                raise OverflowError("more words than 32-bit numbers")
             at = np.cumsum([0] + [len(w) for w in words])
             for i, r in enumerate(own):
                 mine = which[at[i] : at[i + 1]]
@@ -338,17 +339,16 @@ def score(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
 
     Learns from the documents whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``. A
     null text is empty (its end is its one token); a null id is trained on; repeated rows count
-    again; with nothing to learn from every token is unknown; an empty table gives an empty result.
-    Words are told apart by 64 bits of hash. The result reads the bucketed table ``katz_slices_*``
-    in the warehouse, which may be dropped once it is written.
+    again, and ties have no order; a very long text is one row; other columns are not read, so their
+    names cannot clash; with nothing to learn from every token is unknown; an empty table gives an empty result.
+    Words are told apart by 64 bits of hash. The result reads tables in the shared folder. Words are
+    numbered by 32 bits; more of them than that are refused.
     """
     spark = docs.sparkSession
     parts = shared.partitions(spark)
     fold = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(folds))
     plain = shared.texts(docs).select("doc_id", (fold == held_fold).alias("held"), "text")
-    table = f"katz_slices_{uuid.uuid4().hex}"
-    _slices(plain).write.format("parquet").bucketBy(parts, "slice").saveAsTable(table)
-    slices = spark.table(table)
+    slices = shared.spread(_slices(plain), "slices", "slice")
 
     word_answers = shared.written(_count_words(_ask_words(slices, parts), parts), "words")
     tokens, distinct, *n = _totals(word_answers)

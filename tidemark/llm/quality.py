@@ -189,7 +189,8 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the measures, base_failed and kept of every document: a map without shuffle.
 
     A null or empty text has no words and fails; repeated rows are judged alike; an empty table
-    gives an empty result. Columns other than doc_id and text are not read.
+    gives an empty result; ties of repeats of equal length count once. A very long text is one row,
+    handled alone. Columns other than doc_id and text are not read, so their names cannot clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns, whatever their names, by the rules of :func:`judge`."""
     position = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,16 @@ def bucketed(frame: DataFrame, name: str, *columns: str) -> DataFrame:
     return back
 
 
+def spread(frame: DataFrame, name: str, column: str) -> DataFrame:
+    """Write a frame to the shared folder in buckets of a column without a shuffle, and read it back."""
+    spark = frame.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    frame.write.format("parquet").bucketBy(partitions(spark), column).option("path", folder(spark, name)).saveAsTable(table)
+    back = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return back
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of the columns has, whatever the case."""
     taken = {c.lower() for c in columns}

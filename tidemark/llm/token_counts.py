@@ -132,8 +132,10 @@ def count_texts(texts: list[tuple[np.ndarray, np.ndarray]], path: str) -> Iterat
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document: a map without shuffle.
 
-    A null text is empty and has no tokens; repeated rows count alike; an empty table gives an
-    empty result. The vocabulary file must be at ``path`` on every executor.
+    A null text is empty and has no tokens; repeated rows count alike; of equal ranks the leftmost
+    pair merges first. Other columns are not read, so
+    their names cannot clash. A very long text is one row, handled alone. An empty table
+    gives an empty result. The vocabulary file must be at ``path`` on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
