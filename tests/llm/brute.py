@@ -85,7 +85,7 @@ def longest_repeats(symbols):
     return out
 
 
-def quality(text, long_repeat=10, covered=0.20, longest=50, fraction=0.08):
+def quality(text, long_repeat=20, covered=0.10, longest=50, fraction=0.04):
     w = WORD.findall(text or "")
     windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
     repeated = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}

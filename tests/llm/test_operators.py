@@ -229,11 +229,23 @@ def test_suffix_repeats():
         assert found.tolist() == [x for line in lines for x in brute.longest_repeats(line)]
 
 
-def test_method_rejects_beyond_the_base():
-    passage = [f"w{i}" for i in range(60)]
-    text = " ".join(passage + [f"x{i}" for i in range(500)] + passage)
-    m = quality.measure(pa.array([text]), quality.Rules())
-    assert not m["base_failed"][0] and not m["kept"][0] and m["repeat_longest"][0] == 60
+def twice(repeats, length, rest):
+    """A text of so many passages, each twice, and other words between."""
+    passages = [[f"p{k}w{i}" for i in range(length)] for k in range(repeats)]
+    words = [w for k, p in enumerate(passages) for w in [*p, f"between{k}"]]
+    return " ".join([*words, *[f"x{i}" for i in range(rest)], *[w for k, p in enumerate(passages) for w in [*p, f"after{k}"]]])
+
+
+def test_each_limit_rejects_by_itself():
+    texts = [twice(1, 60, 1200), twice(4, 30, 1500), twice(1, 1500, 17000), twice(1, 13, 200), twice(1, 30, 1500), twice(0, 0, 300)]
+    m = quality.measure(pa.array(texts), quality.Rules())
+    assert not m["base_failed"].any()
+    n, covered, longest = m["n_words"], m["repeat_covered"], m["repeat_longest"]
+    assert (covered > 0.10 * n).tolist() == [False, True, True, False, False, False]
+    assert (longest > np.maximum(50, 0.04 * n)).tolist() == [True, False, True, False, False, False]
+    assert m["kept"].tolist() == [False, False, False, True, True, True]
+    brief = [0, 1, 3, 4, 5]
+    assert [bool(m["kept"][i]) for i in brief] == [brute.quality(texts[i])[-1] for i in brief]
 
 
 def test_quality_odd_tables(odd, empty):

@@ -107,12 +107,12 @@ _COVERED = """(
 
 _OP4_SQL = f"""
 WITH docs AS (SELECT doc_id, text, {_WORDS} AS w FROM documents
-), five AS {_COVERED.format(k=5)}, ten AS {_COVERED.format(k=10)}
+), five AS {_COVERED.format(k=5)}, long_repeat AS {_COVERED.format(k=20)}
 , too_long AS (
     SELECT DISTINCT doc_id FROM (
         SELECT doc_id, count(*) OVER (PARTITION BY doc_id, win) AS c
         FROM (SELECT doc_id, w[i:i + k - 1] AS win FROM (
-            SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, w, floor(greatest(50, 0.08 * len(w)))::BIGINT + 1 AS k FROM docs))))
+            SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, w, floor(greatest(50, 0.04 * len(w)))::BIGINT + 1 AS k FROM docs))))
     WHERE c > 1
 ), line AS (
     SELECT doc_id, sum(n - 1)::BIGINT AS dup FROM (
@@ -121,13 +121,13 @@ WITH docs AS (SELECT doc_id, text, {_WORDS} AS w FROM documents
 ), base AS (
     SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
            (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
-           coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(five.n, 0)::BIGINT AS n_repeat_words, coalesce(ten.n, 0)::BIGINT AS repeat_covered,
+           coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(five.n, 0)::BIGINT AS n_repeat_words, coalesce(long_repeat.n, 0)::BIGINT AS repeat_covered,
            too_long.doc_id IS NOT NULL AS long
-    FROM docs d LEFT JOIN five USING (doc_id) LEFT JOIN ten USING (doc_id) LEFT JOIN line USING (doc_id) LEFT JOIN too_long USING (doc_id)
+    FROM docs d LEFT JOIN five USING (doc_id) LEFT JOIN long_repeat USING (doc_id) LEFT JOIN line USING (doc_id) LEFT JOIN too_long USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_covered,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND repeat_covered <= 0.2 * n_words AND NOT long AS kept
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND repeat_covered <= 0.1 * n_words AND NOT long AS kept
 FROM base
 """
 

@@ -33,12 +33,14 @@ class Rules:
     #: Words of a window that counts as repeated, and the percentage of words that such windows may cover.
     window: int = 5
     window_percent: int = 20
-    #: Words of a repeat that counts as long, and the fraction of words that long repeats may cover.
-    long_repeat: int = 10
-    covered: float = 0.20
-    #: Longest repeat allowed: so many words, or this fraction of a longer text.
+    #: Words of a repeat that counts as long, and the fraction of words that long repeats may cover:
+    #: less than windows may, or the limit would be idle. A sentence said twice is no long repeat.
+    long_repeat: int = 20
+    covered: float = 0.10
+    #: Longest repeat allowed: so many words, or this fraction of a longer text, which is less than
+    #: half of the cover allowed, as two copies cover twice their length.
     longest: int = 50
-    longest_fraction: float = 0.08
+    longest_fraction: float = 0.04
 
 
 def repeats(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
