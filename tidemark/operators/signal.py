@@ -85,15 +85,17 @@ def gaussian_smooth(rows: DataFrame, series: str, column: str, sigma: float, int
 def percentile_threshold(rows: DataFrame, series: str, column: str, threshold: Column, into: str = "height") -> DataFrame:
     """Add the (1 - threshold) percentile of each series, exact, interpolated. A higher threshold is a lower bar.
 
-    The values of a series are sorted once, in one row of their own; only the result is joined to
-    the rows, which are distributed by series already. A threshold outside [0, 1] is an error.
+    Values are ranked by a window, which spills, so that no row holds a series; only the two values
+    around the percentile go on. Their join meets rows that are distributed by series already. Nulls
+    do not count. A threshold outside [0, 1] is an error.
     """
     threshold = F.when(threshold.between(0, 1), threshold).otherwise(F.raise_error(F.lit("threshold must lie in [0, 1]")).cast("double"))
-    ordered = rows.groupBy(series).agg(F.sort_array(F.collect_list(column)).alias("__ordered"), F.first(F.round(1 - threshold, 12)).alias("__p"))
-    place = (F.size("__ordered") - 1) * F.col("__p")
-    low = F.get("__ordered", F.floor(place).cast("int"))
-    high = F.get("__ordered", F.ceil(place).cast("int"))
-    heights = ordered.select(F.col(series).alias("__of"), (low + (high - low) * (place - F.floor(place))).alias(into))
+    values = rows.select(series, F.col(column).alias("__value"), F.round(1 - threshold, 12).alias("__p")).where(F.col("__value").isNotNull())
+    rank = F.row_number().over(_ordered(series, "__value")) - 1
+    ranked = values.withColumn("__rank", rank).withColumn("__place", (F.count(F.lit(1)).over(_of(series)) - 1) * F.col("__p"))
+    at = lambda nth: F.max(F.when(F.col("__rank") == nth("__place"), F.col("__value")))
+    around = ranked.groupBy(series).agg(at(F.floor).alias("__low"), at(F.ceil).alias("__high"), F.max(F.col("__place") - F.floor("__place")).alias("__part"))
+    heights = around.select(F.col(series).alias("__of"), (F.col("__low") + (F.col("__high") - F.col("__low")) * F.col("__part")).alias(into))
     return rows.join(heights, F.col(series) == F.col("__of"), "left").drop("__of")
 
 
