@@ -100,38 +100,50 @@ def quality(text, long_repeat=20, covered=0.10, longest=50, fraction=0.04):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(repeated), failed, good
 
 
-def scores(rows, discounts):
+def scores(rows, discounts, order=3):
     held = lambda doc: doc is not None and zlib.crc32(str(doc).encode()) % 5 == 1
     texts = [(doc, held(doc), [*WORD.findall(low(t or "")), None]) for doc, t in rows]
-    one, two = Counter(), Counter()
+    grams = [Counter() for _ in range(order)]  # by length less one: history and word
     for _, h, w in texts:
         if not h:
-            one.update(w)
-            two.update(zip([0, *w[:-1]], w, strict=True))
+            for k in range(order):
+                padded = [0] * k + w
+                grams[k].update((tuple(padded[i : i + k]), x) for i, x in enumerate(w))
+    one = Counter({w: c for (_, w), c in grams[0].items()})
     total, distinct = sum(one.values()), len(one)
-    factors = [discounts([0, *(sum(v == r for v in c.values()) for r in range(1, 7))]) for c in (one, two)]
+    factors = [discounts([0, *(sum(v == r for v in c.values()) for r in range(1, 7))]) for c in grams]
     less = lambda d, c: (d[c] if c <= 5 else 1.0) * c
     word = {w: less(factors[0], c) / total for w, c in one.items()}
     unknown = 1 - sum(word.values()) if total else 1.0
-    after = defaultdict(dict)
-    for (h, w), c in two.items():
-        after[h][w] = c
+    after = [defaultdict(dict) for _ in range(order)]
+    for k in range(1, order):
+        for (h, w), c in grams[k].items():
+            after[k][h][w] = c
+    kept_weights = {}
+
+    def history(h):
+        if h not in kept_weights:
+            own, all_ = after[len(h)][h], sum(after[len(h)][h].values())
+            kept = sum(less(factors[len(h)], c) for c in own.values())
+            all_ += kept >= all_ * (1 - 1e-12)
+            kept_weights[h] = all_, (1 - kept / all_) / (1 - sum(chance(h[1:], x) for x in own))
+        return kept_weights[h]
 
     def chance(h, w):
-        p = word.get(w, unknown)
-        if h not in after:
-            return p
-        own, all_ = after[h], sum(after[h].values())
-        kept = sum(less(factors[1], c) for c in own.values())
-        all_ += kept >= all_ * (1 - 1e-12)
-        if w in own:
-            return less(factors[1], own[w]) / all_
-        return (1 - kept / all_) / (1 - sum(word[x] for x in own)) * p
+        if not h:
+            return word.get(w, unknown)
+        if h not in after[len(h)]:
+            return chance(h[1:], w)
+        all_, weight = history(h)
+        own = after[len(h)][h]
+        return less(factors[len(h)], own[w]) / all_ if w in own else weight * chance(h[1:], w)
 
     out = {}
     for doc, h, w in texts:
         base = sum(math.log10((one[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
-        out[doc] = (h, len(w), sum(one[x] > 0 for x in w), total, base, sum(math.log10(chance(a, b)) for a, b in zip([0, *w[:-1]], w, strict=True)))
+        padded = [0] * (order - 1) + w
+        score = sum(math.log10(chance(tuple(padded[i : i + order - 1]), x)) for i, x in enumerate(w))
+        out[doc] = (h, len(w), sum(one[x] > 0 for x in w), total, base, score)
     return out, word, unknown, after, chance
 
 

@@ -348,15 +348,42 @@ def test_pieces_that_share_a_hash(monkeypatch):
 # 6 ---------------------------------------------------------------------------------------------
 
 
-def test_katz(docs, rows):
-    found = by_id(katz.score(docs))
-    wanted, word, unknown, after, chance = brute.scores(rows, katz.discounts)
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(docs, rows, order):
+    found = by_id(katz.score(docs, order=order))
+    wanted, word, unknown, after, chance = brute.scores(rows, katz.discounts, order)
     for doc, (held, n, known, total, base, score) in wanted.items():
         r = found[doc]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-6) and r.score == pytest.approx(score, rel=1e-6)
-    for history in list(after)[:40]:  # each distribution adds up to one
-        assert sum(chance(history, w) for w in word) + chance(history, "\x00") == pytest.approx(1, abs=1e-9)
+    for longer in after[1:]:
+        for history in list(longer)[:20]:  # each distribution adds up to one
+            assert sum(chance(history, w) for w in word) + chance(history, "\x00") == pytest.approx(1, abs=1e-9)
+
+
+def test_katz_by_hand(spark):
+    # learnt from: a b a b a c (doc ids of the training fold), too few for Good-Turing, so half an event goes from each count
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5 != 1][:1] + [next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)]
+    table = spark.createDataFrame([(ids[0], "a b a b a c"), (ids[1], "a b b")], "doc_id long, text string")
+    # P(a) = 2.5/7, P(b) = 1.5/7, P(c) = P(end) = 0.5/7, unknown 2/7; pairs: start-a 1, a-b 2, b-a 2, a-c 1, c-end 1
+    a, b, end = 2.5 / 7, 1.5 / 7, 0.5 / 7
+    b_after_b, end_after_b = 0.5 / 2 / (1 - a) * b, 0.5 / 2 / (1 - a) * end
+    held = by_id(katz.score(table, order=2))[ids[1]]
+    assert 10**held.score == pytest.approx(0.5 / 1 * (1.5 / 3) * b_after_b * end_after_b)
+    # triples: start-start-a 1, start-a-b 1, a-b-a 2, b-a-b 1, b-a-c 1, a-c-end 1; a b has only a after it, b b nothing
+    held = by_id(katz.score(table, order=3))[ids[1]]
+    a_after_b = 1.5 / 2
+    assert 10**held.score == pytest.approx(0.5 * 0.5 * (0.5 / 2) / (1 - a_after_b) * b_after_b * end_after_b)
+    with pytest.raises(ValueError, match="order"):
+        katz.score(table, order=0)
+
+
+def test_distinct_beyond_32_bits():
+    rows = np.array([[5, 1 << 40, 5, 7, 1 << 40], [2, 3, 2, 1 << 33, 3]])
+    first, which = katz._distinct(*rows)
+    assert first.tolist() == [0, 3, 1] and which.tolist() == [0, 2, 0, 1, 2]
+    small = np.array([[5, 9, 5, 7, 9], [2, 3, 2, 4, 3]])
+    assert [x.tolist() for x in katz._distinct(*small)] == [[0, 3, 1], [0, 2, 0, 1, 2]]
 
 
 def test_katz_beats_words_alone_on_held_out_text(spark):

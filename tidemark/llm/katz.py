@@ -1,14 +1,16 @@
-"""Language-model scores by Katz backoff over words.
-
-P(w | h) is the Good-Turing discounted relative frequency of the pair where training has it, and
-backoff(h) * P(w) elsewhere; P(w) is the discounted relative frequency of the word, and what the
-discount frees goes to the one class of unknown words. backoff(h) is what the discount of h's
-pairs frees, divided by the P of all words not seen after h, so each distribution adds up to 1.
-
-Counts live in tables cut by hash of the word, and by number of the history. A slice of the
-corpus (the texts of one batch) asks each table about its distinct words, then about its distinct
-pairs, and scores its texts from the answers. Only distinct words and pairs of a slice move, as
-sorted, packed arrays; the slices themselves lie in a table bucketed by slice and never move.
+"""Language-model scores by Katz backoff over words, of any order.
+
+P(w | h) is the Good-Turing discounted relative frequency of the n-gram h w where training has it,
+and backoff(h) * P(w | h without its first word) elsewhere. At the end of that recursion P(w) is the
+discounted relative frequency of the word, and what the discount frees goes to the one class of
+unknown words. backoff(h) is what the discount of h's n-grams frees, divided by the lower order's
+P of all words not seen after h, so each distribution adds up to 1.
+
+Counts lie in one table for each order, cut by hash of the word or of the history. A slice of the
+corpus (the texts of one batch) asks each table about its distinct words, then order by order about
+its distinct n-grams, and scores its texts from the answers. Only distinct words and n-grams of a
+slice move, as sorted, packed arrays; the slices themselves lie in a table bucketed by slice and
+never move.
 """
 
 from __future__ import annotations
@@ -26,11 +28,17 @@ from tidemark.llm import arrays, shared
 
 #: Counts up to this are discounted.
 CUTOFF = 5
+#: Words of the longest n-gram.
+ORDER = 3
 #: Bytes of text of a slice.
 SLICE_BYTES = 4 << 20
 
 #: Stands for the end of a text as a token.
 END = np.uint64(0x51ED270B7F4A7C15)
+#: Stands before a text's first word; words have larger numbers.
+START = 0
+#: Units of a probability in an answer.
+_UNIT = 2.0**40
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -152,7 +160,8 @@ def _tally(counts: np.ndarray) -> list[int]:
 def _count_words(asked: DataFrame, parts: int) -> DataFrame:
     """Each part's table of words, answered to the slices: count and number of each word asked for.
 
-    A word's number is its place in its part times the parts, plus the part: unique, and dense.
+    A word's number is its place in its part, from 1 on and frequent words first, times the parts,
+    plus the part: unique, dense, and short for most tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,13 +172,13 @@ def _count_words(asked: DataFrame, parts: int) -> DataFrame:
             table, which = np.unique(np.concatenate(words), return_inverse=True)
             count = np.zeros(len(table), np.int64)
             np.add.at(count, which, np.concatenate([unpack(r["trained"]) for r in own]).astype(np.int64))
-            if (len(table) + 1) * parts >= 1 << 32:
-                raise OverflowError("more words than 32-bit numbers")
+            number = np.empty(len(table), np.int64)
+            number[np.argsort(-count, kind="stable")] = np.arange(1, len(table) + 1) * parts + part
             at = np.cumsum([0] + [len(w) for w in words])
             for i, r in enumerate(own):
                 mine = which[at[i] : at[i + 1]]
                 tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
-                yield pa.RecordBatch.from_pylist([{"slice": r["slice"], "part": part, "counts": pack(count[mine]), "numbers": pack(mine.astype(np.int64) * parts + part), **dict(zip(_TALLIES, tally, strict=True))}], _answer(["counts", "numbers"]))
+                yield pa.RecordBatch.from_pylist([{"slice": r["slice"], "part": part, "counts": pack(count[mine]), "numbers": pack(number[mine]), **dict(zip(_TALLIES, tally, strict=True))}], _answer(["counts", "numbers"]))
 
     return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), "slice long, part int, counts binary, numbers binary, " + ", ".join(f"{t} long" for t in _TALLIES))
 
@@ -193,78 +202,164 @@ def _known(words: np.ndarray, answers: list[dict], parts: int) -> tuple[np.ndarr
     return count, number
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, number: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """History and word of each token, as numbers; a text begins after the start sign."""
-    word = number[tokens]
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[np.cumsum(sizes) - sizes] = start
-    return history, word
+def _after(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each token the value of the one before it; START at the beginning of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[np.cumsum(sizes) - sizes] = START
+    return out
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct combination, ordered by the columns, and which one each row is."""
+    if len(columns) == 2 and len(columns[0]) and max(int(c.max()) for c in columns) < 1 << 32:
+        _, first, which = np.unique((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1].astype(np.uint64), return_index=True, return_inverse=True)
+        return first, which
+    if len(columns) == 1:
+        _, first, which = np.unique(columns[0], return_index=True, return_inverse=True)
+        return first, which
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= np.diff(c[order]) != 0
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
-def _distinct_pairs(history: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs ordered by history and word, and which one each token is."""
-    pairs, which = np.unique((history.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64), return_inverse=True)
-    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), which
+_HISTORY = ["totals", "seen", *(f"once{r}" for r in range(1, CUTOFF + 1))]
 
 
-def _by_part(history: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """The pairs of each part, in the order of the pairs."""
-    order, at = _cut(history, parts)
-    return [(p, order[at[p] : at[p + 1]]) for p in range(parts) if at[p] < at[p + 1]]
+@dataclass(frozen=True)
+class Grams:
+    """A slice's distinct n-grams of one order, ordered by history and word."""
+
+    first: np.ndarray  # a token that ends each
+    which: np.ndarray  # the one that each token ends
+    heads: list[np.ndarray]  # the words of the history of each, by number
+    shares: list[tuple[int, np.ndarray, np.ndarray]]  # part, its n-grams, which of those begin a history
+
+    @classmethod
+    def of(cls, context: np.ndarray, word: np.ndarray, before: list[np.ndarray], parts: int) -> Grams:
+        first, which = _distinct(context, word)
+        heads = [b[first] for b in reversed(before)]
+        mixed = np.zeros(len(first), np.uint64)
+        for h in heads:
+            mixed = arrays.mix(mixed + h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        order, at = _cut(mixed, np.uint64(parts))
+        shares = []
+        for p in range(parts):
+            if at[p] < at[p + 1]:
+                own = order[at[p] : at[p + 1]]
+                new = np.ones(len(own), bool)
+                new[1:] = np.diff(context[first[own]]) != 0
+                shares.append((p, own, new))
+        return cls(first, which, heads, shares)
 
 
-def _ask_pairs(slices: DataFrame, parts: int, start: int) -> DataFrame:
-    """Ask for each distinct pair of a slice: histories and how many words follow each, words, training counts, word counts."""
+@dataclass(frozen=True)
+class Tokens:
+    """A slice, token by token, with what the answers so far say of each."""
+
+    sizes: np.ndarray
+    word: np.ndarray
+    word_count: np.ndarray
+    p: np.ndarray  # by the highest order that has been answered
+    context: np.ndarray  # which history of the next order, within the slice
+    before: list[np.ndarray]  # the words of that history, the nearest first
+
+    @classmethod
+    def of(cls, row: dict, parts: int, words: Words, factors: list[list[float]]) -> Tokens:
+        """factors: of the orders from 2 on that have been answered, in columns order2, order3 .."""
+        sizes, tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["tokens"]).astype(np.int64)
+        count, number = _known(unpack(row["words"]), row["known"], parts)
+        word, word_count = number[tokens], count[tokens]
+        p, context = words.probability(word_count), _after(word, sizes)
+        before = [context]
+        for order, d in enumerate(factors, 2):
+            grams = Grams.of(context, word, before, parts)
+            p = _backed_off(grams, row[f"order{order}"], p, np.array(d))
+            context = _after(grams.which + 1, sizes)
+            before = [*before, _after(before[-1], sizes)]
+        return cls(sizes, word, word_count, p, context, before)
+
+
+def _backed_off(grams: Grams, answers: list[dict], lower: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """P of each token by this order, from its answers and the P of the order below."""
+    count = np.zeros(len(grams.first), np.int64)
+    history = {c: np.zeros(len(grams.first), np.int64) for c in _HISTORY}
+    by_part = {a["part"]: a for a in answers}
+    for part, own, new in grams.shares:
+        a, place = by_part[part], np.cumsum(new) - 1
+        count[own] = unpack(a["counts"]).astype(np.int64)
+        for c in _HISTORY:
+            history[c][own] = unpack(a[c]).astype(np.int64)[place]
+    small = sum(r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
+    kept = history["totals"] - small + sum(factors[r] * r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
+    t = grams.which
+    return gram_probability(count[t], history["totals"][t], history["seen"][t] / _UNIT, kept[t], lower, factors)
+
+
+def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
+    """Ask for each distinct n-gram of a slice.
+
+    By part: the histories' words and how many words follow each; those words, training counts, and
+    what the lower order gives the n-grams seen in training: of pairs the word's count, beyond
+    that its P in units.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                sizes, tokens, words = (unpack(row[c]).astype(np.int64) if c != "words" else unpack(row[c]) for c in ("sizes", "tokens", "words"))
-                count, number = _known(words, row["known"], parts)
-                history, word, which = _distinct_pairs(*_pairs(tokens, sizes, number, start))
-                trained = np.bincount(which[np.repeat(~np.array(row["held"], bool), sizes)], minlength=len(history))
-                by_number = np.argsort(number)
-                word_count = count[by_number[np.searchsorted(number, word, sorter=by_number)]]
-                for part, own in _by_part(history, parts):
-                    heads, follow = np.unique(history[own], return_counts=True)
+                tokens = Tokens.of(row, parts, words, factors)
+                grams = Grams.of(tokens.context, tokens.word, tokens.before, parts)
+                trained = np.bincount(grams.which[np.repeat(~np.array(row["held"], bool), tokens.sizes)], minlength=len(grams.first))
+                lower = tokens.word_count[grams.first] if order == 2 else np.rint(tokens.p[grams.first] * _UNIT).astype(np.int64)
+                lower = np.where(trained > 0, lower, 0)
+                for part, own, new in grams.shares:
+                    follow = np.diff(np.append(np.flatnonzero(new), len(own)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([part], pa.int32()), pa.array([row["slice"]], pa.int64()), *(pa.array([pack(x)], pa.binary()) for x in (heads // parts, follow, word[own], trained[own], word_count[own]))],
-                        ["part", "slice", "heads", "follow", "words", "trained", "word_counts"],
+                        [
+                            pa.array([part], pa.int32()),
+                            pa.array([row["slice"]], pa.int64()),
+                            pa.array([[pack(h[own[new]]) for h in grams.heads]], pa.list_(pa.binary())),
+                            *(pa.array([pack(x)], pa.binary()) for x in (follow, tokens.word[grams.first[own]], trained[own], lower[own])),
+                        ],
+                        ["part", "slice", "heads", "follow", "words", "trained", "lower"],
                     )
 
-    return slices.select("slice", "held", "sizes", "tokens", "words", "known").mapInArrow(arrays.lean(run), "part int, slice long, heads binary, follow binary, words binary, trained binary, word_counts binary")
-
-
-_HISTORY = ["totals", "seen", *(f"once{r}" for r in range(1, CUTOFF + 1))]
+    return slices.drop("ids").mapInArrow(arrays.lean(run), "part int, slice long, heads array<binary>, follow binary, words binary, trained binary, lower binary")
 
 
-def _count_pairs(asked: DataFrame, parts: int, words: Words) -> DataFrame:
-    """Each part's table of pairs, answered to the slices.
+def _count_grams(asked: DataFrame, order: int, parts: int, words: Words) -> DataFrame:
+    """Each part's table of n-grams, answered to the slices.
 
-    For each pair its count; for each history its count, the P of all words seen after it (in
-    units of 2**-40), and how many pairs of it occur 1 .. cutoff times.
+    For each n-gram its count; for each history its count, the lower order's P of all words seen
+    after it (in units), and how many n-grams of it occur 1 .. cutoff times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         for part in sorted({r["part"] for r in rows}):
             own = [r for r in rows if r["part"] == part]
-            heads, follow, word, trained, word_counts = ([unpack(r[c]).astype(np.int64) for r in own] for c in ("heads", "follow", "words", "trained", "word_counts"))
-            history = np.concatenate([np.repeat(h, f) for h, f in zip(heads, follow, strict=True)])
-            pairs, first, which = np.unique((history << 32) | np.concatenate(word), return_index=True, return_inverse=True)
-            count = np.zeros(len(pairs), np.int64)
+            follow, word, trained, lower = ([unpack(r[c]).astype(np.int64) for r in own] for c in ("follow", "words", "trained", "lower"))
+            first, head = _distinct(*(np.concatenate([unpack(r["heads"][j]) for r in own]).astype(np.int64) for j in range(order - 1)))
+            histories = len(first)
+            first, which = _distinct(np.repeat(head, np.concatenate(follow)), np.concatenate(word))
+            count, below = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
             np.add.at(count, which, np.concatenate(trained))
-            chance = np.where(count > 0, words.probability(np.concatenate(word_counts)[first]), 0.0)
-            table, group = np.unique(pairs >> 32, return_inverse=True)
-            of_history = {"totals": np.zeros(len(table), np.int64)}
+            np.maximum.at(below, which, np.concatenate(lower))
+            chance = np.where(count > 0, words.probability(below) if order == 2 else below / _UNIT, 0.0)
+            group = np.repeat(head, np.concatenate(follow))[first]
+            of_history = {"totals": np.zeros(histories, np.int64)}
             np.add.at(of_history["totals"], group, count)
-            of_history["seen"] = np.minimum(np.rint(np.bincount(group, chance, len(table)) * 2.0**40), 2.0**40).astype(np.int64)
+            of_history["seen"] = np.minimum(np.rint(np.bincount(group, chance, histories) * _UNIT), _UNIT).astype(np.int64)
             for r in range(1, CUTOFF + 1):
-                of_history[f"once{r}"] = np.bincount(group[count == r], minlength=len(table))
-            at = np.cumsum([0] + [len(w) for w in word])
+                of_history[f"once{r}"] = np.bincount(group[count == r], minlength=histories)
+            at, head_at = np.cumsum([0] + [len(w) for w in word]), np.cumsum([0] + [len(f) for f in follow])
             for i, r in enumerate(own):
-                mine = np.searchsorted(table, heads[i])
+                mine = head[head_at[i] : head_at[i + 1]]
                 tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
                 answer = {"slice": r["slice"], "part": part, "counts": pack(count[which[at[i] : at[i + 1]]]), **{c: pack(v[mine]) for c, v in of_history.items()}}
                 yield pa.RecordBatch.from_pylist([answer | dict(zip(_TALLIES, tally, strict=True))], _answer(["counts", *_HISTORY]))
@@ -273,13 +368,13 @@ def _count_pairs(asked: DataFrame, parts: int, words: Words) -> DataFrame:
     return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), f"slice long, part int, {columns}, " + ", ".join(f"{t} long" for t in _TALLIES))
 
 
-def pair_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kept: np.ndarray, word: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """P(word | history) of pairs, by arrays.
+def gram_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kept: np.ndarray, word: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """P(word | history) of n-grams, by arrays.
 
-    count: of the pair; total: of the history; seen: P of all words seen after it; kept: the
-    discounted counts of its pairs, added up; word: P(word). A history that training lacks leaves
-    P(word). Where no pair of a history is discounted, one event is added to its total, so that
-    something is left for other words.
+    count: of the n-gram; total: of the history; seen: the lower order's P of all words seen after
+    it; kept: the discounted counts of its n-grams, added up; word: the lower order's P of the word.
+    A history that training lacks leaves that. Where no n-gram of a history is discounted, one event
+    is added to its total, so that something is left for other words.
     """
     nothing_free = kept >= total * (1 - 1e-12)
     whole = np.where(nothing_free, total + 1.0, np.maximum(total, 1))
@@ -290,39 +385,23 @@ def pair_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kep
     return np.where(total == 0, word, np.where(count > 0, d * count / whole, backoff * word))
 
 
-def _scores(slices: DataFrame, parts: int, start: int, words: Words, factors: list[float]) -> DataFrame:
+def _scores(slices: DataFrame, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = np.array(factors)
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                sizes, tokens, own_words = (unpack(row[c]).astype(np.int64) if c != "words" else unpack(row[c]) for c in ("sizes", "tokens", "words"))
-                count, number = _known(own_words, row["known"], parts)
-                history, _, which = _distinct_pairs(*_pairs(tokens, sizes, number, start))
-                pair_count = np.zeros(len(history), np.int64)
-                of_history = {c: np.zeros(len(history), np.int64) for c in _HISTORY}
-                answers = {a["part"]: a for a in row["answers"]}
-                for part, own in _by_part(history, parts):
-                    a = answers[part]
-                    pair_count[own] = unpack(a["counts"]).astype(np.int64)
-                    _, place = np.unique(history[own], return_inverse=True)
-                    for c in _HISTORY:
-                        of_history[c][own] = unpack(a[c]).astype(np.int64)[place]
-                small = sum(r * of_history[f"once{r}"] for r in range(1, CUTOFF + 1))
-                kept = of_history["totals"] - small + sum(d[r] * r * of_history[f"once{r}"] for r in range(1, CUTOFF + 1))
-                # by token: its pair's numbers and its word's P
-                t, word_count = which, count[tokens]
-                p = pair_probability(pair_count[t], of_history["totals"][t], of_history["seen"][t] / 2.0**40, kept[t], words.probability(word_count), d)
-                base = (word_count + 0.5) / (words.tokens + 0.5 * (words.distinct + 1))
+                tokens = Tokens.of(row, parts, words, factors)
+                sizes, count = tokens.sizes, tokens.word_count
+                base = (count + 0.5) / (words.tokens + 0.5 * (words.distinct + 1))
                 at = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["ids"], pa.int64()),
                         pa.array(row["held"], pa.bool_()),
                         pa.array(sizes),
-                        pa.array(np.add.reduceat((word_count > 0).astype(np.int64), at)),
+                        pa.array(np.add.reduceat((count > 0).astype(np.int64), at)),
                         pa.array(np.full(len(sizes), words.tokens, np.int64)),
                         pa.array(np.add.reduceat(np.log10(base), at)),
-                        pa.array(np.add.reduceat(np.log10(p), at)),
+                        pa.array(np.add.reduceat(np.log10(tokens.p), at)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
@@ -334,16 +413,18 @@ def _totals(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in answers.agg(*[F.sum(t).alias(t) for t in _TALLIES]).first()]
 
 
-def score(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held_fold: int = 1, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    Learns from the documents whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``. A
-    null text is empty (its end is its one token); a null id is trained on; repeated rows count
-    again, and ties have no order; a very long text is one row; other columns are not read, so their
-    names cannot clash; with nothing to learn from every token is unknown; an empty table gives an empty result.
-    Words are told apart by 64 bits of hash. The result reads tables in the shared folder. Words are
-    numbered by 32 bits; more of them than that are refused.
+    Learns from the documents whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``, with
+    n-grams of up to ``order`` words. A null text is empty (its end is its one token); a null id is
+    trained on; repeated rows count again, and ties have no order; a very long text is one row; other
+    columns are not read, so their names cannot clash; with nothing to learn from every token is
+    unknown; an empty table gives an empty result. Words are told apart by 64 bits of hash. The
+    result reads tables in the shared folder.
     """
+    if order < 1:
+        raise ValueError("order: 1 or more")
     spark = docs.sparkSession
     parts = shared.partitions(spark)
     fold = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(folds))
@@ -352,14 +433,15 @@ def score(docs: DataFrame, folds: int = 5, held_fold: int = 1) -> DataFrame:
 
     word_answers = shared.written(_count_words(_ask_words(slices, parts), parts), "words")
     tokens, distinct, *n = _totals(word_answers)
-    factors = discounts([0, *n])
-    small = sum(r * c * (1 - factors[r]) for r, c in enumerate(n[:CUTOFF], 1))
-    words = Words(tokens, distinct, tuple(factors), small / tokens if tokens else 1.0)
-    known = slices.join(_together(word_answers, ["counts", "numbers"], "known"), "slice")
-
-    # the start sign gets a number that no word has
-    start = (1 << 32) - 1
-    pair_answers = shared.written(_count_pairs(_ask_pairs(known, parts, start), parts, words), "pairs")
-    _, _, *m = _totals(pair_answers)
-    answered = known.join(_together(pair_answers, ["counts", *_HISTORY], "answers"), "slice")
-    return _scores(answered, parts, start, words, discounts([0, *m]))
+    d = discounts([0, *n])
+    small = sum(r * c * (1 - d[r]) for r, c in enumerate(n[:CUTOFF], 1))
+    words = Words(tokens, distinct, tuple(d), small / tokens if tokens else 1.0)
+    answered = slices.drop("trained").join(_together(word_answers, ["counts", "numbers"], "known"), "slice")
+
+    factors: list[list[float]] = []
+    for k in range(2, order + 1):
+        answers = shared.written(_count_grams(_ask_grams(answered, k, parts, words, list(factors)), k, parts, words), f"order{k}")
+        _, _, *n = _totals(answers)
+        factors.append(discounts([0, *n]))
+        answered = answered.join(_together(answers, ["counts", *_HISTORY], f"order{k}"), "slice")
+    return _scores(answered, parts, words, factors)
