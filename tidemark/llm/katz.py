@@ -108,7 +108,11 @@ def _slices(docs: DataFrame) -> DataFrame:
                     starts, ends, first = arrays.words(data, offsets)
                     hashes.append(np.insert(arrays.span_hash(arrays.lower(data), starts, ends), first[1:], END))
                     counts.append(np.diff(first) + 1)
-                vocabulary, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+                vocabulary, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+                order = np.argsort(-often, kind="stable")  # small numbers for most tokens
+                rank = np.empty_like(order)
+                rank[order] = np.arange(len(order))
+                vocabulary, tokens = vocabulary[order], rank[tokens]
                 size = np.concatenate(counts)
                 trained = np.bincount(tokens[np.repeat(~held[start:end], size)], minlength=len(vocabulary))
                 ids = batch.column(0).slice(start, end - start)
@@ -188,8 +192,11 @@ def _answer(columns: list[str]) -> pa.Schema:
 
 
 def _together(answers: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """All answers to a slice in one row; they are as many as the slice's words or pairs."""
-    return answers.groupBy("slice").agg(F.collect_list(F.struct("part", *columns)).alias(name))
+    """All answers to a slice in one row, in a table bucketed by slice; they are as many as the slice's words or n-grams."""
+    parts = shared.partitions(answers.sparkSession)
+    tallies = [F.sum(t).alias(t) for t in _TALLIES]
+    rows = answers.repartition(parts, "slice").groupBy("slice").agg(F.collect_list(F.struct("part", *columns)).alias(name), *tallies)
+    return shared.spread(rows, name, "slice")
 
 
 def _known(words: np.ndarray, answers: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +272,9 @@ class Tokens:
     sizes: np.ndarray
     word: np.ndarray
     word_count: np.ndarray
-    p: np.ndarray  # by the highest order that has been answered
+    count: np.ndarray  # of the n-gram of the highest order that has been answered
+    whole: np.ndarray  # what that count is divided by
+    p: np.ndarray  # by that order
     context: np.ndarray  # which history of the next order, within the slice
     before: list[np.ndarray]  # the words of that history, the nearest first
 
@@ -276,17 +285,18 @@ class Tokens:
         count, number = _known(unpack(row["words"]), row["known"], parts)
         word, word_count = number[tokens], count[tokens]
         p, context = words.probability(word_count), _after(word, sizes)
+        gram_count, whole = word_count, np.full(len(word), max(words.tokens, 1), np.int64)
         before = [context]
         for order, d in enumerate(factors, 2):
             grams = Grams.of(context, word, before, parts)
-            p = _backed_off(grams, row[f"order{order}"], p, np.array(d))
+            gram_count, whole, p = _backed_off(grams, row[f"order{order}"], p, np.array(d))
             context = _after(grams.which + 1, sizes)
             before = [*before, _after(before[-1], sizes)]
-        return cls(sizes, word, word_count, p, context, before)
+        return cls(sizes, word, word_count, gram_count, whole, p, context, before)
 
 
-def _backed_off(grams: Grams, answers: list[dict], lower: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """P of each token by this order, from its answers and the P of the order below."""
+def _backed_off(grams: Grams, answers: list[dict], lower: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's count, what it is divided by, and P by this order, from its answers and the P of the order below."""
     count = np.zeros(len(grams.first), np.int64)
     history = {c: np.zeros(len(grams.first), np.int64) for c in _HISTORY}
     by_part = {a["part"]: a for a in answers}
@@ -298,15 +308,17 @@ def _backed_off(grams: Grams, answers: list[dict], lower: np.ndarray, factors: n
     small = sum(r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
     kept = history["totals"] - small + sum(factors[r] * r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
     t = grams.which
-    return gram_probability(count[t], history["totals"][t], history["seen"][t] / _UNIT, kept[t], lower, factors)
+    whole = divisor(history["totals"], kept)
+    return count[t], whole[t], gram_probability(count[t], history["totals"][t], history["seen"][t] / _UNIT, kept[t], lower, factors)
 
 
 def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
     """Ask for each distinct n-gram of a slice.
 
-    By part: the histories' words and how many words follow each; those words, training counts, and
-    what the lower order gives the n-grams seen in training: of pairs the word's count, beyond
-    that its P in units.
+    By part: the histories' words and how many words follow each; those words and training counts;
+    and what P of the lower order follows from. For pairs that is each distinct word's count. Beyond,
+    the lower order has all that training has here, so it is the n-gram's count without its first
+    word, and for each distinct history without its first word what such counts are divided by.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,43 +327,52 @@ def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors:
                 tokens = Tokens.of(row, parts, words, factors)
                 grams = Grams.of(tokens.context, tokens.word, tokens.before, parts)
                 trained = np.bincount(grams.which[np.repeat(~np.array(row["held"], bool), tokens.sizes)], minlength=len(grams.first))
-                lower = tokens.word_count[grams.first] if order == 2 else np.rint(tokens.p[grams.first] * _UNIT).astype(np.int64)
-                lower = np.where(trained > 0, lower, 0)
                 for part, own, new in grams.shares:
                     follow = np.diff(np.append(np.flatnonzero(new), len(own)))
+                    last = grams.first[own]
+                    if order == 2:
+                        lower, whole = tokens.count[last[_distinct(tokens.word[last])[0]]], np.zeros(0, np.int64)
+                    else:
+                        heads = own[new]
+                        lower, whole = tokens.count[last], tokens.whole[grams.first[heads[_distinct(*(h[heads] for h in grams.heads[1:]))[0]]]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([part], pa.int32()),
                             pa.array([row["slice"]], pa.int64()),
                             pa.array([[pack(h[own[new]]) for h in grams.heads]], pa.list_(pa.binary())),
-                            *(pa.array([pack(x)], pa.binary()) for x in (follow, tokens.word[grams.first[own]], trained[own], lower[own])),
+                            *(pa.array([pack(x)], pa.binary()) for x in (follow, tokens.word[last], trained[own], lower, whole)),
                         ],
-                        ["part", "slice", "heads", "follow", "words", "trained", "lower"],
+                        ["part", "slice", "heads", "follow", "words", "trained", "lower", "whole"],
                     )
 
-    return slices.drop("ids").mapInArrow(arrays.lean(run), "part int, slice long, heads array<binary>, follow binary, words binary, trained binary, lower binary")
+    return slices.drop("ids").mapInArrow(arrays.lean(run), "part int, slice long, heads array<binary>, follow binary, words binary, trained binary, lower binary, whole binary")
 
 
-def _count_grams(asked: DataFrame, order: int, parts: int, words: Words) -> DataFrame:
+def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
     """Each part's table of n-grams, answered to the slices.
 
-    For each n-gram its count; for each history its count, the lower order's P of all words seen
-    after it (in units), and how many n-grams of it occur 1 .. cutoff times.
+    For each n-gram its count; for each history its count, how many n-grams of it occur 1 .. cutoff
+    times and, where a slice asks for one that training lacks, the lower order's P of all words
+    seen after it (in units).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         for part in sorted({r["part"] for r in rows}):
             own = [r for r in rows if r["part"] == part]
-            follow, word, trained, lower = ([unpack(r[c]).astype(np.int64) for r in own] for c in ("follow", "words", "trained", "lower"))
-            first, head = _distinct(*(np.concatenate([unpack(r["heads"][j]) for r in own]).astype(np.int64) for j in range(order - 1)))
-            histories = len(first)
-            first, which = _distinct(np.repeat(head, np.concatenate(follow)), np.concatenate(word))
-            count, below = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+            follow, word, trained, lower, whole = ([unpack(r[c]).astype(np.int64) for r in own] for c in ("follow", "words", "trained", "lower", "whole"))
+            heads = [[unpack(h).astype(np.int64) for h in r["heads"]] for r in own]
+            first, head = _distinct(*(np.concatenate(column) for column in zip(*heads, strict=True)))
+            histories, group = len(first), np.repeat(head, np.concatenate(follow))
+            first, which = _distinct(group, np.concatenate(word))
+            count, group = np.zeros(len(first), np.int64), group[first]
             np.add.at(count, which, np.concatenate(trained))
-            np.maximum.at(below, which, np.concatenate(lower))
-            chance = np.where(count > 0, words.probability(below) if order == 2 else below / _UNIT, 0.0)
-            group = np.repeat(head, np.concatenate(follow))[first]
+            if order == 2:
+                below = words.probability(np.concatenate([x[_distinct(w)[1]] for x, w in zip(lower, word, strict=True)])[first])
+            else:
+                divided_by = np.concatenate([np.repeat(x[_distinct(*h[1:])[1]], f) for x, h, f in zip(whole, heads, follow, strict=True)])[first]
+                below = discounted(np.concatenate(lower)[first], np.array(factors[-1])) / divided_by
+            chance = np.where(count > 0, below, 0.0)
             of_history = {"totals": np.zeros(histories, np.int64)}
             np.add.at(of_history["totals"], group, count)
             of_history["seen"] = np.minimum(np.rint(np.bincount(group, chance, histories) * _UNIT), _UNIT).astype(np.int64)
@@ -359,15 +380,26 @@ def _count_grams(asked: DataFrame, order: int, parts: int, words: Words) -> Data
                 of_history[f"once{r}"] = np.bincount(group[count == r], minlength=histories)
             at, head_at = np.cumsum([0] + [len(w) for w in word]), np.cumsum([0] + [len(f) for f in follow])
             for i, r in enumerate(own):
-                mine = head[head_at[i] : head_at[i + 1]]
+                mine, counts = head[head_at[i] : head_at[i + 1]], count[which[at[i] : at[i + 1]]]
+                lacking = np.add.reduceat(counts == 0, np.cumsum(follow[i]) - follow[i], dtype=np.int64) > 0
                 tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
-                answer = {"slice": r["slice"], "part": part, "counts": pack(count[which[at[i] : at[i + 1]]]), **{c: pack(v[mine]) for c, v in of_history.items()}}
+                answer = {"slice": r["slice"], "part": part, "counts": pack(counts), **{c: pack(v[mine] * lacking if c == "seen" else v[mine]) for c, v in of_history.items()}}
                 yield pa.RecordBatch.from_pylist([answer | dict(zip(_TALLIES, tally, strict=True))], _answer(["counts", *_HISTORY]))
 
     columns = ", ".join(f"{c} binary" for c in ["counts", *_HISTORY])
     return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), f"slice long, part int, {columns}, " + ", ".join(f"{t} long" for t in _TALLIES))
 
 
+def divisor(total: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """What a history's counts are divided by: its total, and one event more where no n-gram of it is discounted."""
+    return np.where(kept >= total * (1 - 1e-12), total + 1, np.maximum(total, 1))
+
+
+def discounted(count: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Counts times their factors."""
+    return np.where(count > CUTOFF, 1.0, factors[np.minimum(count, CUTOFF)]) * count
+
+
 def gram_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kept: np.ndarray, word: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """P(word | history) of n-grams, by arrays.
 
@@ -376,13 +408,9 @@ def gram_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kep
     A history that training lacks leaves that. Where no n-gram of a history is discounted, one event
     is added to its total, so that something is left for other words.
     """
-    nothing_free = kept >= total * (1 - 1e-12)
-    whole = np.where(nothing_free, total + 1.0, np.maximum(total, 1))
-    free = 1.0 - kept / whole
-    backoff = free / np.maximum(1.0 - seen, 1e-12)
-    d = factors[np.minimum(count, CUTOFF)]
-    d = np.where(count > CUTOFF, 1.0, d)
-    return np.where(total == 0, word, np.where(count > 0, d * count / whole, backoff * word))
+    whole = divisor(total, kept)
+    backoff = (1.0 - kept / whole) / np.maximum(1.0 - seen, 1e-12)
+    return np.where(total == 0, word, np.where(count > 0, discounted(count, factors) / whole, backoff * word))
 
 
 def _scores(slices: DataFrame, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
@@ -431,17 +459,18 @@ def score(docs: DataFrame, folds: int = 5, held_fold: int = 1, order: int = ORDE
     plain = shared.texts(docs).select("doc_id", (fold == held_fold).alias("held"), "text")
     slices = shared.spread(_slices(plain), "slices", "slice")
 
-    word_answers = shared.written(_count_words(_ask_words(slices, parts), parts), "words")
+    word_answers = _together(_count_words(_ask_words(slices, parts), parts), ["counts", "numbers"], "known")
     tokens, distinct, *n = _totals(word_answers)
     d = discounts([0, *n])
     small = sum(r * c * (1 - d[r]) for r, c in enumerate(n[:CUTOFF], 1))
     words = Words(tokens, distinct, tuple(d), small / tokens if tokens else 1.0)
-    answered = slices.drop("trained").join(_together(word_answers, ["counts", "numbers"], "known"), "slice")
+    answered = slices.drop("trained").join(word_answers.drop(*_TALLIES), "slice")
 
     factors: list[list[float]] = []
     for k in range(2, order + 1):
-        answers = shared.written(_count_grams(_ask_grams(answered, k, parts, words, list(factors)), k, parts, words), f"order{k}")
+        asked = _ask_grams(answered, k, parts, words, list(factors))
+        answers = _together(_count_grams(asked, k, parts, words, list(factors)), ["counts", *_HISTORY], f"order{k}")
         _, _, *n = _totals(answers)
         factors.append(discounts([0, *n]))
-        answered = answered.join(_together(answers, ["counts", *_HISTORY], f"order{k}"), "slice")
+        answered = answered.join(answers.drop(*_TALLIES), "slice")
     return _scores(answered, parts, words, factors)
