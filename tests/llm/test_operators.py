@@ -312,15 +312,63 @@ def test_token_odd_tables(odd, empty):
         assert codec.encode(table, RANKS).count() == n and token_counts.count_tokens(table, JSON).count() == n
 
 
-def hostile_pair():
+def thue_morse():
     """Two words of 2,048 bytes that sums of powers modulo 2**64 cannot tell apart, whatever the base."""
     bits = [bin(i).count("1") & 1 for i in range(2048)]
     return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
 
 
-def test_hostile_words(spark, encoding):
-    one, other = hostile_pair()
-    assert len(set(bpe.arrays.span_hash(np.frombuffer((one + other).encode(), np.uint8), np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+def undone_step():
+    """Two words of 16 letters with one key: the second eight bytes undo what differs after the first eight."""
+    key = lambda x: bpe.arrays._span_key(x.ravel(), np.arange(0, x.size, x.shape[1]), np.arange(0, x.size, x.shape[1]) + x.shape[1])
+    rnd = np.random.default_rng(5)
+    first = rnd.integers(97, 123, (1 << 20, 8), np.uint8)
+    # the state after eight bytes, in a word of 16
+    length = bpe.arrays.mix(np.array([16], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    state = bpe.arrays.mix((length ^ first.view("<u8").ravel()) * np.uint64(0x9E3779B97F4A7C15))
+    second = np.frombuffer(b"poumzgdh", "<u8") ^ state[0] ^ state
+    letters = second.view(np.uint8).reshape(-1, 8)
+    other = next(i for i in np.flatnonzero((letters > 32).all(1) & (letters < 127).all(1)).tolist() if i and not ((letters[i] > 64) & (letters[i] < 91)).any())
+    words = np.array([[*first[0], *letters[0]], [*first[other], *letters[other]]], np.uint8)
+    assert len(set(key(words).tolist())) == 1
+    return words[0].tobytes().decode(), words[1].tobytes().decode()
+
+
+def test_sip_hash():
+    """Against the rounds written out on Python's integers."""
+    mask = (1 << 64) - 1
+    turn = lambda x, n: ((x << n) | (x >> (64 - n))) & mask
+
+    def rounds(a, b, c, d, n):
+        for _ in range(n):
+            a = (a + b) & mask
+            b = turn(b, 13) ^ a
+            a = turn(a, 32)
+            c = (c + d) & mask
+            d = turn(d, 16) ^ c
+            a = (a + d) & mask
+            d = turn(d, 21) ^ a
+            c = (c + b) & mask
+            b = turn(b, 17) ^ c
+            c = turn(c, 32)
+        return a, b, c, d
+
+    rows = np.random.default_rng(3).integers(0, 2**64, (5, 9000), np.uint64)
+    found = bpe.arrays.sip_hash(list(rows))
+    for i in (0, 1, 8191, 8192, 8999):
+        a, b, c, d = 0x736F6D6570736575, 0x646F72616E646F6D ^ 1, 0x6C7967656E657261, 0x7465646279746573 ^ 1
+        for m in [*rows[:, i].tolist(), 40 << 56]:
+            a, b, c, d = rounds(a, b, c, d ^ m, 1)
+            a ^= m
+        a, b, c, d = rounds(a, b, c ^ 255, d, 3)
+        assert int(found[i]) == a ^ b ^ c ^ d
+
+
+@pytest.mark.parametrize("pair", [thue_morse, undone_step])
+def test_hostile_words(spark, encoding, pair):
+    one, other = pair()
+    size = len(one)
+    assert len(set(bpe.arrays.span_hash(np.frombuffer((one + other).encode(), np.uint8), np.array([0, size]), np.array([size, 2 * size])).tolist())) == 2
     rows = [(0, one), (1, other), (2, f"{one} {other} {one}"), (3, f"{one}\n{other}\n{one}"), (4, f"{other} {one} {other}")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     assert len({r.fingerprint for r in fingerprints.fingerprint(table).collect()}) == 4  # 2 and 3 have the same words
@@ -332,6 +380,8 @@ def test_hostile_words(spark, encoding):
     for r in token_counts.count_tokens(table, JSON).collect():
         assert r.n_tokens == len(tokenizer.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids)
     assert {r.doc_id: r.component_id for r in jaccard_join.link_classes(table).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
+    long = spark.createDataFrame([(0, " ".join([one] * 7)), (1, " ".join([other] * 7))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.link_classes(long).collect()} == {0: 0, 1: 1} and jaccard_join.keep_one(long).count() == 2
     wanted = brute.scores(rows, katz.discounts)[0]
     for r in katz.score(table).collect():
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == wanted[r.doc_id][:4] and r.score == pytest.approx(wanted[r.doc_id][5], rel=1e-6)
@@ -340,8 +390,8 @@ def test_hostile_words(spark, encoding):
 def test_pieces_that_share_a_hash(monkeypatch):
     words = [b"one", b"two", b"six", b"one", b"seven", b"two"]
     size = np.array(list(map(len, words)))
-    monkeypatch.setattr(bpe.arrays, "span_hash", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
-    where, which = bpe.distinct_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+    monkeypatch.setattr(bpe.arrays, "_span_key", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    where, which = bpe.arrays.distinct_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
     assert where.tolist() == [0, 1, 2, 4] and which.tolist() == [0, 1, 2, 0, 3, 1]
 
 

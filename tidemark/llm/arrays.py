@@ -17,12 +17,15 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 20
 
+#: Spans whose hashes a worker remembers.
+HASHES_KEPT = 1 << 17
+_hashed: dict[bytes, bytes] = {}
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_MASK = (1 << 64) - 1
 #: Longer spans are hashed one by one.
 _LONG = 1 << 12
 #: What of eight bytes belongs to a span that ends within them, by its length.
@@ -101,12 +104,8 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand.
-
-    Eight bytes at a time, each step a bijection of the state: no sums of powers, for which there
-    are known pairs of strings that agree whatever the base.
-    """
+def _span_key(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit keys by which equal spans are found fast. Not for identity: unequal spans with one key can be made at will."""
     at, left = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
     out = mix(left.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -123,6 +122,76 @@ def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of each distinct one, and which one each span is. Keys find them, their bytes decide."""
+    _, where, which = np.unique(_span_key(data, starts, starts + lengths), return_index=True, return_inverse=True)
+    if np.array_equal(lengths[where][which], lengths) and same_spans(data, starts, lengths, starts[where][which]):
+        return where, which
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(data[a : a + n].tobytes(), len(known)) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2b of each span; each distinct span is hashed once, and short ones are remembered, up to a bound."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    if len(_hashed) > HASHES_KEPT:
+        _hashed.clear()
+    where, which = distinct_spans(data, starts, ends - starts)
+    raw, out = data.tobytes(), []
+    for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True):
+        span = raw[a:b]
+        digest = _hashed.get(span)
+        if digest is None:
+            digest = hashlib.blake2b(span, digest_size=8).digest()
+            if b - a <= 32:
+                _hashed[span] = digest
+        out.append(digest)
+    return np.frombuffer(b"".join(out), "<u8")[which]
+
+
+def _sip_round(v: list[np.ndarray], spare: np.ndarray) -> None:
+    """One round of SipHash, in place."""
+    a, b, c, d = v
+
+    def turn(x: np.ndarray, bits: int) -> None:
+        np.right_shift(x, np.uint64(64 - bits), out=spare)
+        np.left_shift(x, np.uint64(bits), out=x)
+        np.bitwise_or(x, spare, out=x)
+
+    def half(x: np.ndarray, y: np.ndarray, bits: int) -> None:
+        x += y
+        turn(y, bits)
+        y ^= x
+
+    half(a, b, 13)
+    turn(a, 32)
+    half(c, d, 16)
+    half(a, d, 21)
+    half(c, b, 17)
+    turn(c, 32)
+
+
+def sip_hash(parts: list[np.ndarray]) -> np.ndarray:
+    """SipHash-1-3, with the key 0, 1, of rows of as many 64-bit numbers as there are parts."""
+    out = np.empty(len(parts[0]), np.uint64)
+    for at in range(0, len(out), 1 << 13):  # what fits the cache
+        blocks = [p[at : at + (1 << 13)] for p in parts]
+        # fixed values of SipHash
+        v = [np.full(len(blocks[0]), x, np.uint64) for x in (0x736F6D6570736575, 0x646F72616E646F6D ^ 1, 0x6C7967656E657261, 0x7465646279746573 ^ 1)]
+        spare = np.empty_like(v[0])
+        for block in [*blocks, np.uint64((8 * len(parts) & 255) << 56)]:
+            v[3] ^= block
+            _sip_round(v, spare)
+            v[0] ^= block
+        v[2] ^= np.uint64(255)
+        for _ in range(3):
+            _sip_round(v, spare)
+        out[at : at + (1 << 13)] = v[0] ^ v[1] ^ v[2] ^ v[3]
+    return out
+
+
 def shingles(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of ``width`` consecutive words and, by row, the first one's index.
 
@@ -132,20 +201,15 @@ def shingles(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     whole = np.zeros(len(word_hashes) + 1, np.uint64)
     if len(word_hashes) >= width:
         n = len(word_hashes) - width + 1
-        acc = np.zeros(n, np.uint64)
-        for j in range(width):
-            acc = acc * np.uint64(0xA24BAED4963EE407) + word_hashes[j : j + n]
-        whole[:n] = mix(acc)
+        whole[:n] = sip_hash([word_hashes[j : j + n] for j in range(width)])
     number = np.where(counts >= width, counts - width + 1, (counts > 0).astype(counts.dtype))
     at = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(number, out=at[1:])
     take = np.repeat(first[:-1] - at[:-1], number) + np.arange(at[-1])
     out = whole[take]
-    for row in np.flatnonzero((counts > 0) & (counts < width)):
-        acc = int(counts[row])
-        for h in word_hashes[first[row] : first[row + 1]].tolist():
-            acc = (acc * 0xC2B2AE3D27D4EB4F + h) & _MASK
-        out[at[row]] = mix(np.array([acc], np.uint64))[0]
+    for row in np.flatnonzero((counts > 0) & (counts < width)).tolist():
+        own = hashlib.blake2b(word_hashes[first[row] : first[row + 1]].astype("<u8").tobytes(), digest_size=8)
+        out[at[row]] = int.from_bytes(own.digest(), "little")
     return out, at
 
 

@@ -113,16 +113,6 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[cut]
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first span of each distinct one, and which one each span is. Hashes find them, their bytes decide."""
-    _, where, which = np.unique(arrays.span_hash(data, starts, starts + lengths), return_index=True, return_inverse=True)
-    if np.array_equal(lengths[where][which], lengths) and arrays.same_spans(data, starts, lengths, starts[where][which]):
-        return where, which
-    known: dict[bytes, int] = {}
-    which = np.array([known.setdefault(data[a : a + n].tobytes(), len(known)) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], np.int64)
-    return np.unique(which, return_index=True)[1], which
-
-
 class Words:
     """The distinct pieces of a slice, and which one each piece of each block is."""
 
@@ -132,13 +122,13 @@ class Words:
         for data, offsets in texts:
             starts = pieces(data, offsets)
             size = np.append(starts[1:], len(data)) - starts if len(starts) else starts
-            where, which = distinct_spans(data, starts, size)
+            where, which = arrays.distinct_spans(data, starts, size)
             kept.append(data[arrays.ragged(starts[where], size[where])])
             lengths.append(size[where])
             self.blocks.append((which.astype(np.int32), np.searchsorted(starts, offsets)))
         size, data = np.concatenate(lengths), np.concatenate(kept)
         start = np.cumsum(size) - size
-        where, which = distinct_spans(data, start, size)
+        where, which = arrays.distinct_spans(data, start, size)
         self.lengths = size[where]
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.data = data[arrays.ragged(start[where], self.lengths)]

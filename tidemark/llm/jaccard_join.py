@@ -13,6 +13,7 @@ n - ceil(t n) + 1 of each. Trees are built over those that meet.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,12 +138,9 @@ def text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
 
 
 def names_of(hashes: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit names of a set; equal sets share both."""
-    with np.errstate(over="ignore"):
-        total = arrays.mix(hashes).sum(dtype=np.uint64)
-        folded_bits = np.bitwise_xor.reduce(arrays.mix(hashes * np.uint64(0x9FB21C651E98DF25))) if len(hashes) else np.uint64(0)
-        both = arrays.mix(np.array([total ^ (folded_bits >> np.uint64(7)), folded_bits + np.uint64(len(hashes))], np.uint64))
-        return tuple(arrays.mix(both ^ both[::-1] * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64).tolist())
+    """Two 64-bit names of a set of sorted hashes, of BLAKE2b; equal sets share both."""
+    both = hashlib.blake2b(hashes.astype("<u8").tobytes(), digest_size=16).digest()
+    return tuple(np.frombuffer(both, "<i8").tolist())
 
 
 def node_of(hashes: np.ndarray, renamed: frozenset[int] = frozenset()) -> int:

@@ -139,9 +139,9 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray,
     line_end = np.where(data[line_end - 1] == 10, line_end - 1, line_end)
     has_word = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, row = line_start[has_word], line_end[has_word], row[has_word]
-    hashes = arrays.span_hash(data, line_start, line_end)
-    order = np.lexsort((hashes, row))
-    same = (hashes[order][1:] == hashes[order][:-1]) & (row[order][1:] == row[order][:-1])
+    _, line = arrays.distinct_spans(data, line_start, line_end - line_start)
+    order = np.lexsort((line, row))
+    same = (line[order][1:] == line[order][:-1]) & (row[order][1:] == row[order][:-1])
     return np.bincount(row[order][1:][same], minlength=row_count)
 
 
@@ -158,7 +158,7 @@ def measure(texts: pa.Array, rules: Rules) -> dict[str, np.ndarray]:
         np.cumsum(_IS_SYMBOL[data], out=symbols[1:])
         chars = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(leads[ends] - leads[starts], out=chars[1:])
-        lengths = repeats(arrays.span_hash(data, starts, ends), first)
+        lengths = repeats(arrays.distinct_spans(data, starts, ends - starts)[1], first)
         longest = np.zeros(rows, np.int64)
         np.maximum.at(longest, np.repeat(np.arange(rows), n_words), lengths)
         # every window of five that repeats lies in a longest repeat, and every such repeat of five or more is made of them
