@@ -17,9 +17,6 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 20
 
-#: Spans whose hashes a worker remembers.
-HASHES_KEPT = 1 << 17
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -131,58 +128,23 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return np.unique(which, return_index=True)[1], which
 
 
-class _Known:
-    """Short spans that a worker has hashed: sorted keys, one span to each, and its hash."""
-
-    def __init__(self) -> None:
-        self.keys, self.hashes = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.data, self.starts, self.lengths = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def lookup(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of spans, and which spans are known, by their bytes."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        known = (self.keys[at] == keys) & (self.lengths[at] == lengths)
-        i = np.flatnonzero(known)
-        mine, theirs = ragged(starts[i], lengths[i]), ragged(self.starts[at[i]], lengths[i])
-        unlike = data[mine] != self.data[theirs]
-        if unlike.any():
-            known[i[np.unique(np.searchsorted(np.cumsum(lengths[i]), np.flatnonzero(unlike), "right"))]] = False
-        return self.hashes[at], known
-
-    def add(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, hashes: np.ndarray) -> None:
-        """More spans; of those that share a key the first one stays."""
-        size = np.concatenate([self.lengths, lengths])
-        data = np.concatenate([self.data, data[ragged(starts, lengths)]])
-        starts = np.cumsum(size) - size
-        self.keys, first = np.unique(np.concatenate([self.keys, keys]), return_index=True)
-        self.hashes = np.concatenate([self.hashes, hashes])[first]
-        self.data, self.starts, self.lengths = data, starts[first], size[first]
-
-
-_known = _Known()
-
-
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of BLAKE2b of each span; short ones are remembered, up to a bound."""
-    global _known
-    lengths = ends - starts
-    keys = _span_key(data, starts, ends)
-    out, known = _known.lookup(data, starts, lengths, keys)
-    new = np.flatnonzero(~known)
-    if len(new):
-        where, which = distinct_spans(data, starts[new], lengths[new])
-        first = new[where]
-        raw = data.tobytes()
-        digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    """64 bits for each span: up to seven bytes as they are, with their number; BLAKE2b of longer ones, each distinct one once.
+
+    The highest byte keeps the two apart; both are spread by a bijection.
+    """
+    starts, lengths = np.asarray(starts, np.int64), np.asarray(ends - starts, np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    out = (eight[starts] & _TAIL[np.minimum(lengths, 7)]) | (np.minimum(lengths, 7).astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(lengths > 7)
+    if len(long):
+        where, which = distinct_spans(data, starts[long], lengths[long])
+        first, raw = long[where], data.tobytes()
+        digests = [hashlib.blake2b(raw[a : a + n], digest_size=8).digest() for a, n in zip(starts[first].tolist(), lengths[first].tolist(), strict=True)]
         hashes = np.frombuffer(b"".join(digests), "<u8")
-        out[new] = hashes[which]
-        if len(_known.keys) > HASHES_KEPT:
-            _known = _Known()
-        short = lengths[first] <= 32
-        _known.add(data, starts[first[short]], lengths[first[short]], keys[first[short]], hashes[short])
-    return out
+        out[long] = np.where(hashes < np.uint64(8 << 56), hashes | np.uint64(8 << 56), hashes)[which]
+    return mix(out)
 
 
 def _sip_round(v: list[np.ndarray], spare: np.ndarray) -> None:
