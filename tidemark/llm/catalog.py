@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
+from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts, word_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_classes(documents(spark, sf_dir))
 
 
+def op13_word_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_codec.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": op1_document_fingerprints,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_rendezvous_shards": op9_rendezvous_shards,
         "op10_jaccard_join": op10_jaccard_join,
+        "op13_word_bpe_codec": op13_word_bpe_codec,
     }
 
 
