@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts, word_codec
+from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts, vector_codes, word_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_classes(documents(spark, sf_dir))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_word_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_codec.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_rendezvous_shards": op9_rendezvous_shards,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_vector_codes": op11_vector_codes,
         "op13_word_bpe_codec": op13_word_bpe_codec,
     }
 
@@ -175,6 +180,35 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN reach r ON r.a = d.doc_id
 """
 
 
+_OP11_ROUND = """
+, near{r} AS (
+    SELECT key, label, p, any_value(x) AS x, min(d * 64 + e) AS best FROM (
+        SELECT a.key, a.label, a.p, b.e, a.x, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(a.x, b.x)])::BIGINT AS d FROM parts a JOIN book{r} b ON a.p = b.p)
+    GROUP BY key, label, p
+), sums{r} AS (
+    SELECT p, best % 64 AS e, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT p, best, x, unnest(range(1, len(x) + 1)) AS j FROM near{r}) GROUP BY ALL
+), book{next} AS (
+    SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{r} b
+    LEFT JOIN (SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS x FROM sums{r} GROUP BY p, e) m ON m.p = b.p AND m.e = b.e
+)"""
+
+_OP11_SQL = f"""
+WITH kept AS (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS key, vec_id, label, [floor(256::DOUBLE * x::DOUBLE)::BIGINT FOR x IN embedding] AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+    SELECT key, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS x FROM (SELECT key, label, v, unnest(range(16)) AS p FROM kept)
+), book0 AS (SELECT p, key - 1 AS e, x FROM parts WHERE key <= 64
+){_OP11_ROUND.format(r=0, next=1)}{_OP11_ROUND.format(r=1, next=2)}{_OP11_ROUND.format(r=2, next=3)}
+, coded AS (
+    SELECT key, string_agg(printf('%02x', best % 64), '' ORDER BY p) AS code, sum(best // 64)::BIGINT AS error FROM near2 GROUP BY key
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM kept JOIN coded USING (key)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against brute force."""
-    return {"op2_line_dedup": _OP2_SQL, "op4_suffix_array_quality": _OP4_SQL, "op7_mix_sources": _OP7_SQL, "op10_jaccard_join": _OP10_SQL}
+    return {"op2_line_dedup": _OP2_SQL, "op4_suffix_array_quality": _OP4_SQL, "op7_mix_sources": _OP7_SQL, "op10_jaccard_join": _OP10_SQL, "op11_vector_codes": _OP11_SQL}

@@ -65,6 +65,25 @@ def spread(frame: DataFrame, name: str, column: str) -> DataFrame:
     return back
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Rows with the other columns of a table that has each of their keys once, null keys too, and in ``count`` the number of rows that have it.
+
+    Keys of more than a partition's share of the rows are fewer than the partitions: they are
+    broadcast. The others are joined by a shuffle, where none has more rows than that share. Rows
+    are read twice and the table three times, so both should be written ones.
+    """
+    share = (table.agg(F.sum(count)).first()[0] or 0) // partitions(rows.sparkSession)
+    named = {k: f"__key_{i}" for i, k in enumerate(keys)}
+    table = table.withColumnsRenamed(named)
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(right, functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]), how)
+
+    hot = table.where(F.col(count) > share)
+    rest = joined(rows, F.broadcast(hot.select(*named.values())), "left_anti")
+    return joined(rows, F.broadcast(hot), "inner").unionByName(joined(rest, table.where(F.col(count) <= share), "inner")).drop(*named.values())
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that none of the columns has, whatever the case."""
     taken = {c.lower() for c in columns}
