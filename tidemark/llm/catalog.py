@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts, vector_codes, word_codec
+from tidemark.llm import codec, fingerprints, jaccard_join, katz, line_dedup, mixing, prefix_trie, quality, sharding, substring_dedup, token_counts, vector_codes, word_codec
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_word_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_codec.encode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), keep_ids=False)
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op9_rendezvous_shards": op9_rendezvous_shards,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_vector_codes": op11_vector_codes,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_word_bpe_codec": op13_word_bpe_codec,
     }
 
@@ -209,6 +214,33 @@ FROM kept JOIN coded USING (key)
 """
 
 
+# crc32 of a short text, bit by bit
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, [ascii(z)::UBIGINT FOR z IN string_split({text}, '')]),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, z: xor(a >> 1, (a & 1::UBIGINT) * 3988292384::UBIGINT))))"""
+
+_OP12_SQL = f"""
+WITH own AS (
+    SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), heirs AS (
+    SELECT *, ({_CRC32.format(text="conv_id::VARCHAR")} % 4)::BIGINT AS h FROM own
+), rebuilt AS (
+    SELECT a.conv_id, list_concat(coalesce(b.ts[1:h], []), a.ts[h + 1:]) AS s FROM heirs a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20
+), members AS (
+    SELECT conv_id, d, s[1:d] AS k, len(s) = d AS ended FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+    SELECT d, k, min(conv_id) AS conv_id, count(*) AS m, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ended), '') AS ends,
+           CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(k[d].text, '[^\\x20\\x09-\\x0D]+')) END AS saved
+    FROM members GROUP BY d, k
+), kids AS (SELECT d - 1 AS d, k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), above AS (SELECT a AS d, k[1:a] AS k, saved, leaf FROM (
+    SELECT n.k, n.saved, kids.n IS NULL AS leaf, unnest(range(n.d + 1)) AS a FROM nodes n LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k)
+), sums AS (SELECT d, k, sum(saved) AS saved, count(*) FILTER (WHERE leaf) AS leaves FROM above GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.m AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, sums.leaves AS n_leaves,
+       sums.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN sums ON sums.d = n.d AND sums.k = n.k LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; the others are tested against brute force."""
-    return {"op2_line_dedup": _OP2_SQL, "op4_suffix_array_quality": _OP4_SQL, "op7_mix_sources": _OP7_SQL, "op10_jaccard_join": _OP10_SQL, "op11_vector_codes": _OP11_SQL}
+    return {"op2_line_dedup": _OP2_SQL, "op4_suffix_array_quality": _OP4_SQL, "op7_mix_sources": _OP7_SQL, "op10_jaccard_join": _OP10_SQL, "op11_vector_codes": _OP11_SQL, "op12_prefix_trie": _OP12_SQL}
