@@ -178,7 +178,7 @@ def minutes(seconds: Column) -> Column:
 
 def too_long_text(seconds: Column, cap: float = model.MAX_DURATION_S) -> Column:
     """What an overlong file is told; null for others."""
-    return F.when(too_long(seconds, cap), F.format_string("Too long to analyse: %d min, at most %d min.", minutes(seconds), F.lit(int(cap // 60))))
+    return F.when(too_long(seconds, cap), F.format_string(model.TOO_LONG, minutes(seconds), F.lit(int(cap // 60))))
 
 
 def url_status(url: Column, given: Column) -> Column:

@@ -35,6 +35,9 @@ PROGRESS = {
     "failed": 0,
 }
 VOLATILE_KEYS = ("filepath", "_analyzer")
+INTERRUPTED = "Analysis interrupted"
+INTERRUPTED_ERROR = "The analysis was interrupted because the server restarted (likely an out-of-memory on a very long audio). Please retry with a shorter file."
+TOO_LONG = "Audio too long for analysis: %d min (max %d min). Please trim the file and retry."
 
 TRACK = T.StructType(
     [

@@ -7,11 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 
-#: What an interrupted task says.
-INTERRUPTED = "Analysis interrupted"
-INTERRUPTED_ERROR = "The service restarted before the analysis ended; run it again with a shorter file."
-
-
 def latest(events: DataFrame, task: str, order: list[str], columns: list[str]) -> DataFrame:
     """The last event of each task: an aggregate with partial states, so no task's history is gathered."""
     state = F.max_by(F.struct(*columns), F.struct(*order)).alias("__state")
@@ -23,8 +18,8 @@ def interrupt(tasks: DataFrame) -> DataFrame:
     open_task = F.col("status").isin(*model.OPEN_STATUS)
     return (
         tasks.withColumn("progress", F.when(open_task, 0).otherwise(F.col("progress")))
-        .withColumn("message", F.when(open_task, INTERRUPTED).otherwise(F.col("message")))
-        .withColumn("error", F.when(open_task, INTERRUPTED_ERROR).otherwise(F.col("error")))
+        .withColumn("message", F.when(open_task, model.INTERRUPTED).otherwise(F.col("message")))
+        .withColumn("error", F.when(open_task, model.INTERRUPTED_ERROR).otherwise(F.col("error")))
         .withColumn("status", F.when(open_task, "error").otherwise(F.col("status")))
     )
 

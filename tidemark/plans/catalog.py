@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark import model
 from tidemark.functions import scalars
 from tidemark.operators import results, signal, spectral, tasks, tracks
+from tidemark.plans import media
 from tidemark.sources import audio
 from tidemark.streaming import tasks as task_stream
 
@@ -676,7 +678,7 @@ _SQL = {
     "view_status": "SELECT p_partkey, (CASE WHEN p_partkey % 3 = 0 THEN 404 WHEN p_partkey % 2 = 1 THEN 400 ELSE 200 END)::INT AS view, (CASE WHEN p_partkey % 3 = 0 THEN 404 ELSE 200 END)::INT AS served FROM part",
     "stored_name": "SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S') || '_' || event_type || '.mp3' AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM events",
     "path_names": "SELECT p_partkey, 'out/' || p_name || '_tracklist.txt' AS txt, p_name AS name FROM part",
-    "too_long_text": "SELECT event_id, CASE WHEN value * 50 > 7200 THEN printf('Too long to analyse: %d min, at most 120 min.', floor(value * 50 / 60)::BIGINT) END AS text FROM events",
+    "too_long_text": "SELECT event_id, CASE WHEN value * 50 > 7200 THEN printf('Audio too long for analysis: %d min (max 120 min). Please trim the file and retry.', floor(value * 50 / 60)::BIGINT) END AS text FROM events",
     "first_match": "WITH f AS (SELECT doc_id % 50 AS k, min('in/' || printf('20240101_%06d_', doc_id % 50) || doc_id || '.mp3') AS path FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT doc_id, path FROM documents LEFT JOIN f ON k = doc_id % 60",
     "swept_count": "SELECT count(*)::BIGINT AS swept FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOURS",
     "progress_events": f"""WITH k AS (SELECT event_id, {_KINDS}[event_id % {len(_KINDS)} + 1] AS kind FROM events)
@@ -737,7 +739,7 @@ _SQL = {
     "task_state_stream": _with(_LOG, "SELECT task_id, status, progress FROM latest"),
     "task_interrupted": _with(
         _LOG,
-        f"SELECT task_id, CASE WHEN o THEN 'error' ELSE status END AS status, CASE WHEN o THEN 0 ELSE progress END::INT AS progress, CASE WHEN o THEN '{tasks.INTERRUPTED}' ELSE 'm' END AS message, CASE WHEN o THEN '{tasks.INTERRUPTED_ERROR}' END AS error FROM (SELECT *, status IN ('pending', 'downloading', 'processing') AS o FROM latest)",
+        f"SELECT task_id, CASE WHEN o THEN 'error' ELSE status END AS status, CASE WHEN o THEN 0 ELSE progress END::INT AS progress, CASE WHEN o THEN '{model.INTERRUPTED}' ELSE 'm' END AS message, CASE WHEN o THEN '{model.INTERRUPTED_ERROR}' END AS error FROM (SELECT *, status IN ('pending', 'downloading', 'processing') AS o FROM latest)",
     ),
     "interrupted_count": _with(_LOG, "SELECT count(*) FILTER (WHERE status IN ('pending', 'downloading', 'processing'))::BIGINT AS interrupted FROM latest"),
     "stale_sweep": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 24 HOURS",
@@ -756,8 +758,8 @@ _ROWS_ONLY = ()
 
 
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in [*_SQL, *_ROWS_ONLY]}
+    return {name: globals()[name] for name in [*_SQL, *_ROWS_ONLY]} | media.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | media.SQL

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.operators import signal, spectral
+from tidemark.sources import audio
 
 
 def detect(chunks: DataFrame, how: model.Detection = model.Detection()) -> DataFrame:
@@ -29,3 +30,14 @@ def detect(chunks: DataFrame, how: model.Detection = model.Detection()) -> DataF
 def segments(chunks: DataFrame, how: model.Detection = model.Detection()) -> DataFrame:
     """(series_id, seg, start, stop, start_s) of every signal held in chunks."""
     return signal.segments(detect(chunks, how), "series_id", "bounds", F.col("sr"))
+
+
+def analyse(files: DataFrame, how: model.Detection = model.Detection(), target_sr: int | None = 22050, max_seconds: float | None = model.MAX_DURATION_S, decoder: audio.Decoder | None = None) -> DataFrame:
+    """Segments of files (path, length, and content for a decoder); files over the cap are not decoded."""
+    return segments(audio.chunks(files, target_sr, decoder, max_seconds=max_seconds), how)
+
+
+def refused(files: DataFrame, max_seconds: float = model.MAX_DURATION_S) -> DataFrame:
+    """(path, error) of WAV files that :func:`analyse` leaves out: too long, or headers that can't be read."""
+    found = audio.guarded(audio.headers(files), max_seconds)
+    return found.select("path", F.coalesce("refused", "error").alias("error")).where(F.col("error").isNotNull())
