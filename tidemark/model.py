@@ -16,6 +16,16 @@ HOP = 512
 SIGMA = 10.0
 TERMINAL = ("completed", "error")
 OPEN_STATUS = ("pending", "downloading", "processing")
+START_STATUS = ("pending", "downloading")
+#: From each status (none before the first) the statuses that may follow; repeated ones report progress.
+TRANSITIONS = {
+    None: ("pending", "downloading"),
+    "pending": ("pending", "processing", "error"),
+    "downloading": ("downloading", "processing", "error"),
+    "processing": ("processing", "completed", "error"),
+    "completed": (),
+    "error": (),
+}
 #: Progress after each event of a task, in the usual order; downloads and recognised segments have their own rules.
 PROGRESS = {
     "url": 0,

@@ -62,3 +62,34 @@ def error_text(lines: DataFrame, task: str, order: str, line: str) -> DataFrame:
     kept = tail(lines, task, order).groupBy(task).agg(F.sort_array(F.collect_list(F.struct(order, line))).alias("__lines"))
     text = F.array_join(F.transform("__lines", lambda x: x[line]), "\n")
     return kept.select(task, F.coalesce(F.nullif(text, F.lit("")), F.lit("Unknown error")).alias("error"))
+
+
+def lifecycle(events: DataFrame, task: str, now: Column | None = None, stale_hours: int = model.STALE_HOURS) -> DataFrame:
+    """(task, status, progress, message, at, seq, accepted, refused) from (task, at, seq, status, progress, message): each task's events in order through its state machine.
+
+    Events that TRANSITIONS does not allow are refused and change nothing. A task that stays open for
+    longer than so many hours is swept: it becomes an error at that moment, and later events are
+    refused; ``now`` sweeps those that are still open. Repeated events (one task, at and seq) count
+    once. A task without an accepted event has a null status. Windows run over one order of a
+    task's events, row by row; no row holds a task's history.
+    """
+    once = events.groupBy(task, "at", "seq").agg(F.min(F.struct("status", "progress", "message")).alias("__e")).select(task, "at", "seq", "__e.*")
+    line = Window.partitionBy(task).orderBy("at", "seq")
+    upto, before = line.rowsBetween(Window.unboundedPreceding, Window.currentRow), line.rowsBetween(Window.unboundedPreceding, -1)
+    ever = lambda c, w: F.coalesce(F.max(c).over(w), F.lit(False))
+    status = F.coalesce("status", F.lit(""))
+    rows = once.withColumn("__start", F.first(F.when(status.isin(*model.START_STATUS), F.col("status")), ignorenulls=True).over(upto))
+    started = F.col("__start").isNotNull()
+    rows = rows.withColumn("__under_way", ever((status == "processing") & started, before))
+    rows = rows.withColumn("__ends", ((status == "error") & started) | ((status == "completed") & F.col("__under_way")))
+    moves = ((status == F.coalesce("__start", F.lit("-"))) & ~F.col("__under_way")) | ((status == "processing") & started) | F.col("__ends")
+    rows = rows.withColumn("__moves", moves & ~ever(F.col("__ends"), before))
+    held = F.last(F.when(F.col("__moves"), F.col("at")), ignorenulls=True).over(before)
+    rows = rows.withColumn("__late", F.col("__moves") & F.coalesce(F.col("at") > held + F.expr(f"INTERVAL {int(stale_hours)} HOURS"), F.lit(False)))
+    rows = rows.withColumn("__moves", F.col("__moves") & ~ever(F.col("__late"), upto))
+    state = F.max_by(F.struct("status", "progress", "message", "at", "seq"), F.when(F.col("__moves"), F.struct("at", "seq")))
+    found = rows.groupBy(task).agg(state.alias("__s"), F.max("__late").alias("__swept"), F.count(F.when(F.col("__moves"), 1)).alias("accepted"), F.count(F.when(~F.col("__moves"), 1)).alias("refused"))
+    ends = F.col("__s.at") + F.expr(f"INTERVAL {int(stale_hours)} HOURS")
+    swept = F.col("__s.status").isin(*model.OPEN_STATUS) & (F.col("__swept") | (F.lit(False) if now is None else now > ends))
+    pick = lambda name, other: F.when(swept, other).otherwise(F.when(F.col("accepted") > 0, F.col(f"__s.{name}"))).alias(name)
+    return found.select(task, pick("status", F.lit("error")), pick("progress", F.lit(0)), pick("message", F.lit(model.INTERRUPTED)), pick("at", ends), pick("seq", F.col("__s.seq")), "accepted", "refused")

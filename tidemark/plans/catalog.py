@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark import model
 from tidemark.functions import scalars
 from tidemark.operators import results, signal, spectral, tasks, tracks
-from tidemark.plans import media
+from tidemark.plans import media, streams
 from tidemark.sources import audio
 from tidemark.streaming import tasks as task_stream
 
@@ -758,8 +758,8 @@ _ROWS_ONLY = ()
 
 
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in [*_SQL, *_ROWS_ONLY]} | media.QUERIES
+    return {name: globals()[name] for name in [*_SQL, *_ROWS_ONLY]} | media.QUERIES | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL | media.SQL
+    return _SQL | media.SQL | streams.SQL

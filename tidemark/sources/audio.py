@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import scalars
+from tidemark.sources import stores
 
 #: bytes -> (samples as frames x channels in [-1, 1), rate)
 Decoder = Callable[[bytes], tuple[np.ndarray, int]]
@@ -41,10 +41,7 @@ def open_input(path: str) -> io.IOBase:
     """A file that can seek: of the local system, of a store that Arrow reads, or the data URL of a short one."""
     if path.startswith("data:"):
         return io.BytesIO(base64.b64decode(path.partition(",")[2]))
-    if path.startswith("file:") or "://" not in path:
-        return pa.OSFile("/" + path.removeprefix("file:").lstrip("/"))
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    return stores.open_input(path)
 
 
 @dataclass(frozen=True)
