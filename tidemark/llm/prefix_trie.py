@@ -26,7 +26,7 @@ from tidemark.llm import arrays, shared
 #: Turns of the first round's digit; later rounds double it, up to the most.
 DIGIT, MOST_DIGIT = 4, 64
 #: Buckets with no more turns and conversations than this are local, whatever a partition's share.
-LOCAL = 4096
+LOCAL = 256
 #: Turns that a task sorts at once (and what is left of the last bucket).
 SLICE_ROWS = 1 << 15
 #: Ids that are joined to one piece of text before the pieces of a node meet.
