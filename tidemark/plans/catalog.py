@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import scalars
-from tidemark.operators import results, signal, spectral, tasks, tracks
+from tidemark.operators import long_series, results, signal, spectral, tasks, tracks
+from tidemark.operators.tables import Scratch
 from tidemark.plans import media, streams
 from tidemark.sources import audio
 from tidemark.streaming import tasks as task_stream
@@ -208,6 +209,50 @@ def segments(spark, sf_dir):
     return _segments(spark, sf_dir)
 
 
+# --- all events as one series, which no task has whole -----------------------------------------
+
+#: Indices of a block of the long series.
+LONG_BLOCK = 4096
+
+
+def _long_curve(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("user_id"), F.col("event_id").cast("int").alias("idx"), "value")
+    smooth = long_series.smoothed_novelty(rows, "user_id", ["value"], SIGMA_SHORT, LONG_BLOCK)
+    return smooth.withColumn("smooth", F.round("smooth", 9))
+
+
+def long_smooth(spark, sf_dir):
+    return _long_curve(spark, sf_dir).select("idx", _r("novelty"), _r("smooth"))
+
+
+def _long(spark, sf_dir):
+    scratch = Scratch(spark, "long-series")
+    curve = scratch.written(_long_curve(spark, sf_dir), "curve")
+    facts = curve.groupBy("user_id").agg(F.max("n").alias("samples")).withColumns({"threshold": F.lit(THRESHOLD), "distance": F.lit(DISTANCE).cast("long")})
+    return scratch, curve, scratch.written(facts, "facts")
+
+
+def long_threshold(spark, sf_dir):
+    scratch, curve, facts = _long(spark, sf_dir)
+    return scratch.result(long_series.percentiles(curve, "user_id", "smooth", facts, scratch, LONG_BLOCK).select(_r("height")))
+
+
+def long_peaks(spark, sf_dir):
+    scratch, curve, facts = _long(spark, sf_dir)
+    return scratch.result(long_series.peaks(curve, "user_id", "smooth", facts, scratch, LONG_BLOCK).select("idx"))
+
+
+def long_segments(spark, sf_dir):
+    scratch, curve, facts = _long(spark, sf_dir)
+    found = long_series.peaks(curve, "user_id", "smooth", facts, scratch, LONG_BLOCK)
+    bounds = long_series.boundaries(found, facts, "user_id", 1, F.lit(1), F.lit(float(GAP)), scratch)
+    rates = facts.select("user_id", F.lit(1).alias("sr"))
+    return scratch.result(long_series.segments(bounds, "user_id", rates).drop("user_id"))
+
+
+_ALL = "series AS (SELECT 0::BIGINT AS user_id, event_id::INT AS idx, value FROM events)"
+
+
 def segment_stats(spark, sf_dir):
     joined = signal.label(_series(spark, sf_dir), _segments(spark, sf_dir), "user_id").where("seg is not null")
     return joined.groupBy("user_id", "seg").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
@@ -705,6 +750,10 @@ _SQL = {
     "segments": _with(_SEG_EVENTS, "SELECT user_id, seg, start, stop, start_s FROM segments"),
     "segment_stats": _with(_SEG_EVENTS, "SELECT g.user_id, g.seg, count(*)::BIGINT AS n, round(avg(s.value), 6) AS mean, min(s.value) AS low, max(s.value) AS high FROM segments g JOIN series s ON s.user_id = g.user_id AND s.idx >= g.start AND s.idx < g.stop GROUP BY ALL"),
     "short_series_quirk": _with(_PEAKS + ", " + _bounds_sql("user_id", 1, 1000), "SELECT user_id, bounds[1] AS first, (len(bounds) - 1)::INT AS segments FROM bounds"),
+    "long_smooth": _with(_CURVE, "SELECT idx, round(novelty, 6) AS novelty, round(c.smooth, 6) AS smooth FROM nov JOIN curve c USING (idx)").replace(_SERIES, _ALL),
+    "long_threshold": _with(_HIGH, "SELECT round(height, 6) AS height FROM high").replace(_SERIES, _ALL),
+    "long_peaks": _with(_PEAKS, "SELECT unnest(peaks)::BIGINT AS idx FROM peaks").replace(_SERIES, _ALL),
+    "long_segments": _with(_SEG_EVENTS, "SELECT seg, start, stop, start_s FROM segments").replace(_SERIES, _ALL),
     "running_segment": _with(_SEG_EVENTS, "SELECT user_id, seg, (row_number() OVER (PARTITION BY user_id ORDER BY seg))::INT AS current FROM segments"),
     "frames": _with(_FRAMES, f"SELECT vec_id, frame, (i - 1)::INT AS pos, round(f[i], 6) AS x FROM (SELECT vec_id, frame, f, unnest(range(1, {N_FFT + 1})) AS i FROM frames)"),
     "frame_rms": _with(_FRAMES, "SELECT vec_id, frame, round(sqrt(list_sum(list_transform(f, lambda x: x * x)) / len(f)), 6) AS rms FROM frames"),
