@@ -41,3 +41,9 @@ def test_labels_need_no_row_for_each_sample(spark):
 def test_chain_has_few_exchanges(spark):
     plan = catalog.novelty(spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["segments", "boundaries", "peaks_distance", "boundaries_2feature"])
+def test_peaks_need_no_join(spark, name):
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and plan.count("Scan parquet") == 1

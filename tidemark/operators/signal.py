@@ -119,14 +119,27 @@ def suppress(peaks: Column, distance: Column) -> Column:
 
 
 def peaks_of(rows: DataFrame, series: str, column: str, threshold: Column, distance: Column, samples: Column) -> DataFrame:
-    """(series, samples, distance, peaks): the peak indices of each series; also of series without any."""
-    high = percentile_threshold(rows.withColumn("samples", samples).withColumn("distance", distance), series, column, threshold)
-    maxima = local_maxima(high, series, column, ["height"]).where(F.col(column) >= F.col("height"))
-    every = high.groupBy(series).agg(F.first("samples").alias("samples"), F.first("distance").alias("distance"))
-    found = maxima.groupBy(series).agg(F.collect_list(F.struct(F.col(column).alias("height"), F.col("idx"))).alias("__found"))
-    joined = every.join(found, series, "left")
-    none = F.array().cast("array<int>")
-    return joined.select(series, "samples", "distance", F.when(F.col("__found").isNull(), none).otherwise(suppress(F.col("__found"), F.col("distance"))).alias("peaks"))
+    """(series, samples, distance, peaks): the peak indices of each series; also of series without any.
+
+    Percentile and maxima come from windows over the rows as they lie by series, and one aggregate
+    takes all: no join, and no exchange beyond the one that brought a series together.
+    """
+    threshold = F.when(threshold.between(0, 1), threshold).otherwise(F.raise_error(F.lit("threshold must lie in [0, 1]")).cast("double"))
+    v, known = F.col(column), F.col(column).isNotNull()
+    marked = rows.withColumns({"__samples": samples, "__distance": distance, "__p": F.round(1 - threshold, 12)})
+    marked = marked.withColumns({"__rank": F.row_number().over(Window.partitionBy(series).orderBy(v.asc_nulls_last())) - 1, "__place": (F.count(v).over(_of(series)) - 1) * F.col("__p")})
+    at = lambda nth: F.max(F.when(known & (F.col("__rank") == nth("__place")), v)).over(_of(series))
+    marked = marked.withColumns({"__low": at(F.floor), "__high": at(F.ceil), "__before": F.lag(column).over(_ordered(series)), "__after": F.lead(column).over(_ordered(series))})
+    begins = known & (F.col("__before").isNull() | (F.col("__before") != v))
+    marked = marked.withColumn("__run", F.sum(begins.cast("int")).over(_ordered(series)))
+    run = Window.partitionBy(series, "__run")
+    ends = known & (F.col("__after").isNull() | (F.col("__after") != v))
+    marked = marked.withColumns({"__to": F.max(F.when(ends, F.col("idx"))).over(run), "__beyond": F.max(F.when(ends, F.col("__after"))).over(run)})
+    height = F.col("__low") + (F.col("__high") - F.col("__low")) * (F.col("__place") - F.floor("__place"))
+    is_peak = begins & (v > F.col("__before")) & (v > F.col("__beyond")) & (v >= height)
+    middle = F.floor((F.col("idx") + F.col("__to")) / 2).cast("int")
+    found = marked.groupBy(series).agg(F.first("__samples").alias("samples"), F.first("__distance").alias("distance"), F.collect_list(F.when(is_peak, F.struct(v.cast("double").alias("height"), middle.alias("idx")))).alias("__found"))
+    return found.select(series, "samples", "distance", suppress(F.col("__found"), F.col("distance")).alias("peaks"))
 
 
 def boundaries(peaks: Column, samples: Column, hop: int, sr: Column, min_duration: Column) -> Column:
