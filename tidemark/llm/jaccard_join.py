@@ -154,8 +154,12 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def _members(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
-    """(doc_id, text_hash, n_shingles, node, other, counts) of every row, and the names that different sets share.
+#: A row of a text, or of a shingle that many texts of a batch hold.
+_MADE = "doc_id long, text_hash long, n_shingles long, node long, other long, counts binary, h long, n long"
+
+
+def _members(docs: DataFrame) -> tuple[DataFrame, frozenset[int], tuple[np.ndarray, np.ndarray]]:
+    """(doc_id, text_hash, n_shingles, node, other, counts) of every row, the names that different sets share, and the frequent shingles: one pass over the texts.
 
     Sets are told apart by both names, 128 bits; those whose node is shared, which hardly happens
     below 10**9 texts, go by their second name. The list is as short as that, and its length is checked.
@@ -163,48 +167,49 @@ def _members(docs: DataFrame) -> tuple[DataFrame, frozenset[int]]:
     renamed: frozenset[int] = frozenset()
     while True:
         made = shared.written(_named(docs, renamed), "members")
-        clashes = made.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").limit(MOST_RENAMED + 1).collect()
+        members = made.where(F.col("h").isNull()).drop("h", "n")
+        clashes = members.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").limit(MOST_RENAMED + 1).collect()
         if not clashes:
-            return made, renamed
+            return members, renamed, _frequent(made.where(F.col("h").isNotNull()).select("h", "n"))
         renamed |= {r.node for r in clashes}
         if len(renamed) > MOST_RENAMED:
             raise ArithmeticError("too many sets share a 64-bit name")
 
 
 def _named(docs: DataFrame, renamed: frozenset[int]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [(len(s), node_of(s, renamed), names_of(s)[0] ^ names_of(s)[1], _packed(count_vector(s))) for s in text_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([s[i] for s in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "text_hash", "n_shingles", "node", "other", "counts"])
-
-    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(arrays.lean(run), "doc_id long, text_hash long, n_shingles long, node long, other long, counts binary")
-
-
-def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts share, sorted, and how frequent: an ordering hint of bounded size."""
+    names = [f.split(" ")[0] for f in _MADE.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.binary()] + [pa.int64()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            every = []
-            for s in text_sets(batch.column(0)):
-                if len(s) and (node := node_of(s)) not in seen:  # a shared name only hides a count
-                    seen.add(node)
+            rows, seen, every = [], set(), [np.zeros(0, np.uint64)]
+            for s in text_sets(batch.column(1)):
+                first, second = names_of(s)
+                rows.append((len(s), second if first in renamed else first, first ^ second, _packed(count_vector(s))))
+                if len(s) and first not in seen:  # a shared name only hides a count
+                    seen.add(first)
                     every.append(s)
-            value, count = np.unique(np.concatenate([*every, np.zeros(0, np.uint64)]), return_counts=True)
+            own = [batch.column(0), batch.column(2), *(pa.array([r[i] for r in rows], kinds[2 + i]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(rows), pa.int64()) for _ in range(2))], names)
+            value, count = np.unique(np.concatenate(every), return_counts=True)
             often = count >= FREQUENT_IN_BATCH
-            yield pa.RecordBatch.from_arrays([pa.array(value[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], ["h", "n"])
+            hints = [value[often].astype(np.int64), count[often].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(hints[0]), k) for k in kinds[:6]), *map(pa.array, hints)], names)
 
-    rows = docs.select("text").mapInArrow(arrays.lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.col("n").desc(), "h").limit(FREQUENT_KEPT).toPandas()
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(arrays.lean(run), _MADE)
+
+
+def _frequent(hints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts share, sorted, and how frequent: an ordering hint of bounded size."""
+    top = hints.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "h").limit(FREQUENT_KEPT).toPandas()
     value = top["h"].to_numpy().astype(np.int64).astype(np.uint64)
     order = np.argsort(value)
     return value[order], top["n"].to_numpy().astype(np.int64)[order]
 
 
-def _prefixes(docs: DataFrame, renamed: frozenset[int]) -> DataFrame:
+def _prefixes(docs: DataFrame, renamed: frozenset[int], frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(h, node): the shingles of each set's prefix, frequent ones last."""
-    value, count = _frequent(docs)
+    value, count = frequent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,9 +388,9 @@ def _linked(docs: DataFrame) -> DataFrame:
     """
     plain = shared.texts(docs)
     spark = docs.sparkSession
-    members, renamed = _members(plain)
+    members, renamed, frequent = _members(plain)
     # one shuffle by shingle serves the distinct, the count and the smallest node; rows are two numbers wide
-    prefixes = _prefixes(plain, renamed).repartition(shared.partitions(spark), "h").groupBy("h", "node").agg(F.lit(1).alias("one"))
+    prefixes = _prefixes(plain, renamed, frequent).repartition(shared.partitions(spark), "h").groupBy("h", "node").agg(F.lit(1).alias("one"))
     place = Window.partitionBy("h")
     hubs = prefixes.withColumn("hub", F.min("node").over(place)).withColumn("__n", F.count(F.lit(1)).over(place)).where("__n > 1")
     meeting = shared.written(hubs.select("h", "hub", "node"), "meeting")
