@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @functools.cache
 def _local_folder() -> str:
     path = tempfile.mkdtemp(prefix="tidemark-")
@@ -55,11 +60,23 @@ def bucketed(frame: DataFrame, name: str, *columns: str) -> DataFrame:
     return back
 
 
+@contextlib.contextmanager
+def shuffles_end_with_writes(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write that ends inside go with it: its table is what is left to read."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def spread(frame: DataFrame, name: str, column: str) -> DataFrame:
     """Write a frame to the shared folder in buckets of a column without a shuffle, and read it back."""
     spark = frame.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    frame.write.format("parquet").bucketBy(partitions(spark), column).option("path", folder(spark, name)).saveAsTable(table)
+    with shuffles_end_with_writes(spark):
+        frame.write.format("parquet").bucketBy(partitions(spark), column).option("path", folder(spark, name)).saveAsTable(table)
     back = spark.table(table)
     spark.sql(f"DROP TABLE {table}")
     return back
