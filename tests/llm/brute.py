@@ -100,6 +100,20 @@ def quality(text, long_repeat=20, covered=0.10, longest=50, fraction=0.04):
     return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), dup, len(repeated), failed, good
 
 
+def quality_by_windows(text, long_repeat=20, covered=0.10, longest=50, fraction=0.04):
+    """The same from counted windows alone: for texts of any length."""
+    w = WORD.findall(text or "")
+
+    def under(k):
+        count = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        return {j for i in range(len(w) - k + 1) if count[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
+
+    five, lines = under(5), [x for x in (text or "").split("\n") if WORD.search(x)]
+    failed = len(w) < 10 or 100 * len(five) > 20 * len(w)
+    good = not failed and len(under(long_repeat)) <= covered * len(w) and not under(int(max(longest, fraction * len(w))) + 1)
+    return len(w), sum(map(len, w)), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(five), failed, good
+
+
 def scores(rows, discounts, order=3):
     held = lambda doc: doc is not None and zlib.crc32(str(doc).encode()) % 5 == 1
     texts = [(doc, held(doc), [*WORD.findall(low(t or "")), None]) for doc, t in rows]

@@ -46,6 +46,19 @@ def test_lines_words_and_sizes(table, texts):
         assert judged[d].kept and placed[d].size == len(text.encode()) + 1 and sketched[d].n_chars == len(text)
 
 
+def test_long_text_that_repeats(spark):
+    """40,000 words: with a passage of 2,500 words twice it goes by the longest repeat, with one of 900 it stays."""
+    rnd = random.Random(8)
+    own = [f"{rnd.randrange(10**7)}é" for _ in range(40_000)]
+    texts = {0: own, 1: [*own[:37_000], *own[:2_500]], 2: [*own[:38_000], *own[:900]]}
+    made = {d: " ".join(w) for d, w in texts.items()}
+    found = by_id(quality.judge(spark.createDataFrame(list(made.items()), "doc_id long, text string")))
+    for d, t in made.items():
+        r = found[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == brute.quality_by_windows(t)
+    assert [found[d].kept for d in range(3)] == [True, False, True] and not found[1].base_failed
+
+
 def test_links(table, texts):
     found = by_id(jaccard_join.link_classes(table))
     for d, text in texts.items():

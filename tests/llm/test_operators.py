@@ -1,7 +1,9 @@
 """Each operator against its contract by brute force, over copies, nulls, ties, odd and empty tables."""
 
 import base64
+import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -9,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -214,9 +217,9 @@ def test_substrings_odd_tables(odd, empty):
 def test_quality(docs, rows):
     found = by_id(quality.judge(docs))
     for doc, text in rows:
-        if len(text or "") < 4000:
-            r = found[doc]
-            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == brute.quality(text)
+        r = found[doc]
+        own = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept)
+        assert own == brute.quality_by_windows(text) and (len(text or "") >= 4000 or own == brute.quality(text))
     assert quality.keep(docs).columns == docs.columns
     assert {r.doc_id for r in quality.keep(docs).collect()} == {d for d, r in found.items() if r.kept}
 
@@ -244,8 +247,7 @@ def test_each_limit_rejects_by_itself():
     assert (covered > 0.10 * n).tolist() == [False, True, True, False, False, False]
     assert (longest > np.maximum(50, 0.04 * n)).tolist() == [True, False, True, False, False, False]
     assert m["kept"].tolist() == [False, False, False, True, True, True]
-    brief = [0, 1, 3, 4, 5]
-    assert [bool(m["kept"][i]) for i in brief] == [brute.quality(texts[i])[-1] for i in brief]
+    assert m["kept"].tolist() == [brute.quality_by_windows(t)[-1] for t in texts]
 
 
 def test_quality_odd_tables(odd, empty):
@@ -451,7 +453,8 @@ def test_katz_odd_tables(odd, empty, spark):
 
 def test_discounts():
     d = katz.discounts([0, 1000, 300, 150, 90, 60, 45])
-    assert all(0 < x < 1 for x in d[1:]) and katz.discounts([0, 5, 0, 0, 0, 0, 0])[1] == 0.5
+    # worked out by hand: (k + 1) n[k + 1] / n[1] is 0.27
+    assert d[1:] == pytest.approx([0.33 / 0.73, 0.48 / 0.73, 0.53 / 0.73, (5 / 6 - 0.27) / 0.73, 0.63 / 0.73]) and katz.discounts([0, 5, 0, 0, 0, 0, 0])[1] == 0.5
     assert np.array_equal(katz.unpack(katz.pack(np.array([0, 1, 2**63, 255]))), np.array([0, 1, 2**63, 255], np.uint64)) and len(katz.unpack(katz.pack(np.zeros(0)))) == 0
 
 
@@ -519,6 +522,34 @@ def test_shards(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_rendezvous_winner(spark):
+    """The shard of the highest score, every score computed here."""
+
+    def score(shard, key, weight):
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", shard), 42)
+        bits = xxhash.xxh64_intdigest(struct.pack("<q", key), seed) >> 12
+        return -weight / math.log((bits + 0.5) / 2**52)
+
+    keys = [*range(-50, 300), 2**62, -(2**63)]
+    table = spark.createDataFrame([(k,) for k in keys], "doc_id long")
+    for weights in ([1.0] * 16, [1.0] * 17, [1.0, 2.5, 0.5]):
+        found = {r.doc_id: r.shard for r in sharding.assign(table, ["doc_id"], len(weights), weights).collect()}
+        assert found == {k: max(range(len(weights)), key=lambda s: (score(s, k, weights[s]), -s)) for k in keys}
+    whole = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard_documents(table.withColumn("text", F.lit("x"))).collect()}
+    best = lambda k, n: max(range(n), key=lambda s: (score(s, k, 1.0), -s))
+    assert whole == {k: (best(k, 16), best(k, 17)) for k in keys}
+
+
+def test_large_ids_do_not_run_into_each_other():
+    """Pairs of ids beyond 20 bits."""
+    big = 1 << 20
+    single = np.arange(256, dtype=np.int32)
+    single[ord("b")], single[ord("c")] = big, 1
+    merges = bpe.Merges(single, np.array([0, ord("a")]), np.array([5, big]), np.array([0, 1]), np.array([7, 8], np.int32))
+    assert merges.lookup(np.array([ord("a"), ord("a") + 1]), np.array([big, 0])).tolist() == [1, -1]
+    assert token_counts.Counter(merges).count(b"ab") == 1 and token_counts.Counter(merges).count(b"ac") == 2
+
+
 def test_shard_weights(spark, tmp_path):
     keys = spark.range(20_000).withColumnRenamed("id", "k")
     count = {r.shard: r["count"] for r in sharding.assign(keys, ["k"], 3, [1, 2, 1]).groupBy("shard").count().collect()}

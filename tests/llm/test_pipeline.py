@@ -46,6 +46,17 @@ def test_stages_one_by_one(spark, docs, rows, encoding, tmp_path):  # noqa: F811
     assert sorted((r.doc_id, r.ids_sha256) for r in whole) == sorted((r.doc_id, r.ids_sha256) for r in found)
 
 
+def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    for name, table, ids in (("odd", odd, {1, None}), ("empty", empty, set())):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        found = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"] and {r.doc_id for r in found.collect()} <= ids
+        at = table
+        for stage, step in corpus_pipeline.STAGES[:-1]:
+            at = step(spark, at, str(tmp_path))
+            assert at.columns == table.columns, stage
+
+
 def test_rest_works_without_this_subpackage(tmp_path):
     code = (
         "import sys\n"

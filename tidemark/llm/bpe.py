@@ -150,13 +150,13 @@ class Merges:
 
     def __init__(self, single: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray, product: np.ndarray):
         """single: the symbol of each byte; product: by rank, the symbol it makes."""
-        keys = (left.astype(np.int64) << 20) | right
+        keys = (left.astype(np.int64) << 32) | right
         order = np.argsort(keys)
         self.single, self.keys, self.ranks, self.product = single, keys[order], rank[order].astype(np.int32), product
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for none."""
-        keys = (left.astype(np.int64) << 20) | right
+        keys = (left.astype(np.int64) << 32) | right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], -1).astype(np.int32)
 
@@ -249,7 +249,7 @@ class Merges:
         for w in words.tolist():
             line = self.single[data[starts[w] : starts[w] + lengths[w]]].tolist()
             while len(line) > 1:
-                best, i = min((table.get((a << 20) | b, 1 << 40), i) for i, (a, b) in enumerate(zip(line, line[1:], strict=False)))
+                best, i = min((table.get((a << 32) | b, 1 << 40), i) for i, (a, b) in enumerate(zip(line, line[1:], strict=False)))
                 if best == 1 << 40:
                     break
                 line[i : i + 2] = [int(self.product[best])]

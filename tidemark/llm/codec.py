@@ -99,7 +99,11 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); bytes that are not UTF-8 become the replacement sign; null ids are empty."""
+    """(doc_id, text) from (doc_id, ids); bytes that are not UTF-8 become the replacement sign; null ids are empty.
+
+    Rows are independent, so repeated ones and null doc_ids do no harm; other columns are not read; a
+    very long row is one row; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

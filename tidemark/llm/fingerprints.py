@@ -91,7 +91,10 @@ def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:
     """(key, fingerprint) over the fingerprints of each key's parts.
 
     Only the k smallest distinct hashes of a key leave a task: the rank limit applies before the
-    shuffle, so a key that holds most parts is no heavier than another.
+    shuffle, so a key that holds most parts is no heavier than another. A null fingerprint is empty,
+    and a key of empty ones has an empty one; null keys are left without hashes. Repeated parts add
+    nothing, and equal hashes are one. Other columns are not read, so their names cannot clash; no
+    text is read. An empty table gives an empty result.
     """
     hashes = parts.select(key, F.explode(_hashes(F.col("fingerprint"))).alias("__hash")).distinct()
     smallest = Window.partitionBy(key).orderBy("__hash")
@@ -127,7 +130,9 @@ def with_next(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
     range also goes to the range before it, and the first of all to the last. So the whole texts
     move once, and no range needs another. Null ids come first; equal ids are ordered by text; a
     single document is its own next one. A null text is empty; empty texts have an empty
-    fingerprint and resemble each other fully. An empty table gives an empty result.
+    fingerprint and resemble each other fully. Repeated rows are documents of their own, one next to
+    the other. Other columns are not read, so their names cannot clash. A very long text is one row,
+    which is hashed in blocks. An empty table gives an empty result.
     """
     plain = shared.texts(docs)
     ranges = shared.partitions(docs.sparkSession)

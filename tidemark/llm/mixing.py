@@ -85,7 +85,12 @@ def copies(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: f
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: float = 2.0, seed: int = 7) -> DataFrame:
-    """The mix itself: each document as often as :func:`copies` says, with its own columns, whatever their names."""
+    """The mix itself: each document as often as :func:`copies` says, with its own columns, whatever their names.
+
+    A null source is one source, the last; a null or wordless text has size 0 and is drawn like
+    others; a null id draws by its text. Rows that repeat id and text are drawn alike. A very long
+    text is one row, moved with its copies. An empty table gives an empty result.
+    """
     _check(docs)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     taken = _drawn(docs, weights, share, epochs, seed, packed).where(F.col("copies") > 0)

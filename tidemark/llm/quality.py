@@ -204,7 +204,12 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The documents that pass, with their own columns, whatever their names, by the rules of :func:`judge`."""
+    """The documents that pass, with their own columns, whatever their names, by the rules of :func:`judge`.
+
+    A null text has no words, so its row goes; nulls in other columns have no effect. Repeated rows
+    are judged alike, and ties do not arise. A very long text is one row, judged alone. An empty
+    table gives an empty result.
+    """
     position = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ def rendezvous(key: Sequence[Column], weights: Sequence[float]) -> Column:
 
 
 def assign(rows: DataFrame, key: Sequence[str], shards: int, weights: Sequence[float] | None = None, into: str = "shard") -> DataFrame:
-    """Add the shard of each row; equal keys share a shard. One projection, no shuffle."""
+    """Add the shard of each row; equal keys share a shard. One projection, no shuffle. A column of the name ``into`` is replaced."""
     return rows.withColumn(into, rendezvous([F.col(k) for k in key], weights or [1.0] * shards))
 
 
@@ -58,7 +58,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, groups: int = 64) -> Data
     """Shard documents by ``doc_id`` and number each shard's rows.
 
     A null text has size 1 and the checksum of the empty text; a null id is a key like any other;
-    repeated rows keep their own slots; an empty table gives an empty result.
+    repeated rows share a shard and keep their own slots, in any order among themselves; of equal
+    scores the lower shard wins. Other columns are not read, so their names cannot clash. A very long
+    text is measured where it is read and goes no further. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -72,5 +74,5 @@ def shard_documents(docs: DataFrame, shards: int = 16, groups: int = 64) -> Data
 
 
 def write_shards(rows: DataFrame, path: str, key: Sequence[str], shards: int, weights: Sequence[float] | None = None) -> None:
-    """Write rows as Parquet, one folder to a shard."""
+    """Write rows as Parquet, one folder to a shard, ``shard=N``; a column of that name is replaced by it."""
     assign(rows, key, shards, weights).write.partitionBy("shard").parquet(path)

@@ -61,7 +61,7 @@ class Counter:
         previous = [*range(-1, n - 1)]
         heap = []
         for i in range(n - 1):
-            found = pairs.get((symbol[i] << 20) | symbol[i + 1])
+            found = pairs.get((symbol[i] << 32) | symbol[i + 1])
             if found is not None:
                 heap.append((found[0], i, found[1]))
         heapq.heapify(heap)
@@ -72,7 +72,7 @@ class Counter:
             # a pair is out of date where one of its symbols has merged since
             if j < 0 or symbol[i] < 0:
                 continue
-            found = pairs.get((symbol[i] << 20) | symbol[j])
+            found = pairs.get((symbol[i] << 32) | symbol[j])
             if found is None or found[0] != rank:
                 continue
             left -= 1
@@ -80,12 +80,12 @@ class Counter:
             k = following[i] = following[j]
             if k >= 0:
                 previous[k] = i
-                found = pairs.get((product << 20) | symbol[k])
+                found = pairs.get((product << 32) | symbol[k])
                 if found is not None:
                     heapq.heappush(heap, (found[0], i, found[1]))
             h = previous[i]
             if h >= 0:
-                found = pairs.get((symbol[h] << 20) | product)
+                found = pairs.get((symbol[h] << 32) | product)
                 if found is not None:
                     heapq.heappush(heap, (found[0], h, found[1]))
         return left
