@@ -192,11 +192,16 @@ def _answer(columns: list[str]) -> pa.Schema:
 
 
 def _together(answers: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """All answers to a slice in one row, in a table bucketed by slice; they are as many as the slice's words or n-grams."""
+    """All answers to a slice in one row, in a table bucketed by slice; they are as many as the slice's words or n-grams.
+
+    The parts' answers lie in a table of their own in between, so that what was asked is gone from
+    the disks when they are put together.
+    """
     parts = shared.partitions(answers.sparkSession)
     tallies = [F.sum(t).alias(t) for t in _TALLIES]
-    rows = answers.repartition(parts, "slice").groupBy("slice").agg(F.collect_list(F.struct("part", *columns)).alias(name), *tallies)
-    return shared.spread(rows, name, "slice")
+    with shared.passing(answers, f"{name}-parts") as held:
+        rows = held.repartition(parts, "slice").groupBy("slice").agg(F.collect_list(F.struct("part", *columns)).alias(name), *tallies)
+        return shared.spread(rows, name, "slice")
 
 
 def _known(words: np.ndarray, answers: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:

@@ -71,6 +71,19 @@ def shuffles_end_with_writes(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+@contextlib.contextmanager
+def passing(frame: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A frame written to the shared folder and read back, for as long as the block lasts; what was shuffled to make it goes at once."""
+    spark, path = frame.sparkSession, folder(frame.sparkSession, name)
+    with shuffles_end_with_writes(spark):
+        frame.write.parquet(path)
+    try:
+        yield spark.read.schema(frame.schema).parquet(path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def spread(frame: DataFrame, name: str, column: str) -> DataFrame:
     """Write a frame to the shared folder in buckets of a column without a shuffle, and read it back."""
     spark = frame.sparkSession
