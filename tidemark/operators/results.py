@@ -39,6 +39,20 @@ def listing(results: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def views(asked: DataFrame, there: DataFrame) -> DataFrame:
+    """(name, http_status, json_name) from asked (name) and the files there are (name).
+
+    json_name is the list of the same name with every .txt replaced, where it exists: without it, lines
+    are shown without addresses. Existence comes before the kind of file.
+    """
+    names = there.select(F.col("name").alias("__there")).distinct()
+    known = asked.join(names, F.col("name") == F.col("__there"), "left")
+    status = scalars.view_status(F.col("__there").isNotNull(), F.col("name"))
+    json = names.withColumnRenamed("__there", "__json")
+    joined = known.withColumn("http_status", status).join(json, F.replace(F.col("name"), F.lit(".txt"), F.lit(".json")) == F.col("__json"), "left")
+    return joined.select("name", "http_status", F.when(F.col("http_status") == 200, F.col("__json")).alias("json_name"))
+
+
 def unique_names(requests: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Add json_name: x_tracklist.json, then (1), (2), ... for the same stem, in order."""
     stem = scalars.stem(F.col(name))

@@ -209,6 +209,16 @@ def segments(spark, sf_dir):
     return _segments(spark, sf_dir)
 
 
+def auto_segments(spark, sf_dir):
+    """Least duration, threshold and peak distance follow from each series' length."""
+    n = F.count(F.lit(1)).over(signal._of("user_id"))
+    least, threshold = signal.parameters(n, F.lit(1), None, None)
+    found = signal.peaks_of(_curve(spark, sf_dir), "user_id", "smooth", threshold, F.floor(least).cast("int"), n)
+    least, _ = signal.parameters(F.col("samples"), F.lit(1), None, None)
+    bounds = found.select("user_id", signal.boundaries(F.col("peaks"), F.col("samples"), 1, F.lit(1), least).alias("bounds"))
+    return signal.segments(bounds, "user_id", "bounds", F.lit(1))
+
+
 # --- all events as one series, which no task has whole -----------------------------------------
 
 #: Indices of a block of the long series.
@@ -750,6 +760,7 @@ _SQL = {
     "segments": _with(_SEG_EVENTS, "SELECT user_id, seg, start, stop, start_s FROM segments"),
     "segment_stats": _with(_SEG_EVENTS, "SELECT g.user_id, g.seg, count(*)::BIGINT AS n, round(avg(s.value), 6) AS mean, min(s.value) AS low, max(s.value) AS high FROM segments g JOIN series s ON s.user_id = g.user_id AND s.idx >= g.start AND s.idx < g.stop GROUP BY ALL"),
     "short_series_quirk": _with(_PEAKS + ", " + _bounds_sql("user_id", 1, 1000), "SELECT user_id, bounds[1] AS first, (len(bounds) - 1)::INT AS segments FROM bounds"),
+    "auto_segments": _with(_MAX_EVENTS + ", " + _peaks_sql("user_id", 30, "curve") + ", " + _bounds_sql("user_id", 1, 30) + ", " + _SEGMENTS.format(key="user_id"), "SELECT user_id, seg, start, stop, start_s FROM segments"),
     "long_smooth": _with(_CURVE, "SELECT idx, round(novelty, 6) AS novelty, round(c.smooth, 6) AS smooth FROM nov JOIN curve c USING (idx)").replace(_SERIES, _ALL),
     "long_threshold": _with(_HIGH, "SELECT round(height, 6) AS height FROM high").replace(_SERIES, _ALL),
     "long_peaks": _with(_PEAKS, "SELECT unnest(peaks)::BIGINT AS idx FROM peaks").replace(_SERIES, _ALL),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark import model
 from tidemark.functions import scalars
-from tidemark.operators import recognize, signal, tasks
+from tidemark.operators import recognize, results, signal, tasks
 from tidemark.sources import files, logs, replace
 from tidemark.streaming import lifecycle
 from tidemark.streaming import tasks as task_stream
@@ -94,6 +94,37 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(F.regexp_extract("file", "name=([^/]*)", 1).alias("name"), F.col("pos").cast("int").alias("pos"), "line")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the lists of even numbers as JSON, and those that three does not divide as text."""
+    folder, tracks = task_stream.state_root(spark), _tracks(spark, sf_dir)
+    number = (F.col("p_partkey") / 100).cast("long")
+    replace.write_tracklists(tracks.where(number % 2 == 0).withColumn("name", F.concat("name", F.lit(".json"))), folder, "name", "p_partkey")
+    line = scalars.txt_line(F.col("start_time"), F.col("title"), F.col("artist"), F.col("match_count"))
+    texts = tracks.where(number % 3 != 0).groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    replace.replace_files(texts, folder, F.concat("name", F.lit(".txt")), F.col("text"))
+    return folder
+
+
+def view_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the asked files can be viewed, and with which list of addresses."""
+    there = files.listing(spark, _stored(spark, sf_dir)).select(scalars.base_name(F.col("path")).alias("name"))
+    lists = _tracks(spark, sf_dir).select("name").distinct()
+    asked = lists.select(F.explode(F.array(F.concat("name", F.lit(".txt")), F.concat("name", F.lit(".json")))).alias("name"))
+    return results.views(asked, there)
+
+
+def result_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored results with their text files, and the sizes of both."""
+    folder = _stored(spark, sf_dir)
+    there = files.listing(spark, folder)
+    counts = files.read_tracklists(spark, folder).groupBy(F.col("file").alias("json_path")).agg(F.count(F.lit(1)).alias("track_count"))
+    plain = there.withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
+    own = counts.withColumn("json_path", F.regexp_replace("json_path", "^file:/+", "/")).join(plain.select(F.col("path").alias("json_path"), "modified"), "json_path")
+    found = results.listing(own, plain.where(F.col("path").endswith(".txt")))
+    sized = found.join(plain.select(F.col("path").alias("txt_path"), F.col("size").alias("txt_bytes")), "txt_path", "left")
+    return sized.select("filename", "track_count", scalars.base_name(F.col("json_path")).alias("json_name"), scalars.base_name(F.col("txt_path")).alias("txt_name"), "txt_bytes")
+
+
 def slice_recognize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of two chunks, cut into segments across the chunks' border, each recognised by its number of samples and their sum."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("series_id"), "embedding")
@@ -114,7 +145,7 @@ def _counted(samples: list[float], start: float) -> dict:
     return {"track": {"title": "x"}, "matches": [{"id": len(samples)}, {"id": sum(samples)}]}
 
 
-QUERIES = {f.__name__: f for f in (task_lifecycle, task_lifecycle_stream, task_files, log_follow, tracklist_files, text_files, slice_recognize)}
+QUERIES = {f.__name__: f for f in (task_lifecycle, task_lifecycle_stream, task_files, log_follow, tracklist_files, text_files, view_files, result_listing, slice_recognize)}
 
 _HISTORY = f"""history AS (
     SELECT user_id * 100 + (day(ts) - 1) // 3 AS task_id, ts AS "at", event_id AS seq,
@@ -160,6 +191,12 @@ SQL = {
                CASE event_type WHEN 'view' THEN 'progress' WHEN 'click' THEN 'convert' ELSE 'other' END AS kind, CASE WHEN event_type = 'view' THEN (event_id % 101)::DOUBLE END AS pct FROM lines""",
     "tracklist_files": f"WITH {_TRACKS} SELECT name || '.json' AS file, pos, title, artist, start_time, s::DOUBLE AS start_time_seconds, track_url, match_count FROM timed",
     "text_files": f"WITH {_TRACKS} SELECT name, pos, start_time || ' - ' || title || ' - ' || artist || ' [' || match_count || ' matches]' AS line FROM timed",
+    "view_files": """WITH lists AS (SELECT DISTINCT p_partkey // 100 AS k, printf('set%06d_tracklist', p_partkey // 100) AS name FROM part)
+        SELECT name || '.txt' AS name, CASE WHEN k % 3 <> 0 THEN 200 ELSE 404 END AS http_status, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN name || '.json' END AS json_name FROM lists
+        UNION ALL SELECT name || '.json', CASE WHEN k % 2 = 0 THEN 400 ELSE 404 END, NULL FROM lists""",
+    "result_listing": f"""WITH {_TRACKS}, lines AS (SELECT name, p_partkey // 100 AS k, start_time || ' - ' || title || ' - ' || artist || ' [' || match_count || ' matches]' AS line FROM timed)
+        SELECT replace(name, '_tracklist', '') AS filename, count(*)::BIGINT AS track_count, name || '.json' AS json_name, CASE WHEN k % 3 <> 0 THEN name || '.txt' ELSE '' END AS txt_name,
+               CASE WHEN k % 3 <> 0 THEN (sum(strlen(line)) + count(*) - 1)::BIGINT END AS txt_bytes FROM lines WHERE k % 2 = 0 GROUP BY name, k""",
     "slice_recognize": """WITH cut AS (SELECT vec_id, embedding, vec_id % 40 + 10 AS cut FROM embeddings
         ), two AS (SELECT vec_id, 0 AS seg, 0.0::DOUBLE AS start_s, embedding[1:cut] AS own FROM cut UNION ALL SELECT vec_id, 1, cut::DOUBLE, embedding[cut + 1:] FROM cut)
         SELECT vec_id, seg, start_s, len(own)::INT AS n, round(list_sum([x::DOUBLE FOR x IN own]), 6) AS total FROM two""",
