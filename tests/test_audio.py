@@ -164,3 +164,32 @@ def test_files_to_segments(spark, tmp_path):
     assert any(abs(r.start - len(tones) // 2) <= 1024 for r in found)
     assert [tuple(r) for r in detect.refused(files, max_seconds=50).collect()] == [(f"file:{tmp_path}/long.wav", "Audio too long for analysis: 1 min (max 0 min). Please trim the file and retry.")]
     assert spectral.chunk_features(audio.chunks(files, 8000), 1024, 512).count() == 2 + (len(tones) // 512) + 480_000 // 512
+
+
+def test_features_by_range_equal_those_by_chunk(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav(noise(30_000, 2), 16_000))
+    (tmp_path / "b.wav").write_bytes(wav(noise(700, seed=3), 8_000))
+    (tmp_path / "c.wav").write_bytes(wav(noise(4096, seed=4), 8_000))
+    files = audio.files(spark, str(tmp_path))
+    key = lambda r: (r.series_id, r.idx)
+    wanted = sorted(spectral.chunk_features(audio.chunks(files, 8000, size=4096), 1024, 512).collect(), key=key)
+    for size in (2048, 4096, 1 << 20):
+        found = sorted(detect.file_features(files, target_sr=8000, size=size).collect(), key=key)
+        assert [(key(r), r.samples, r.sr) for r in found] == [(key(r), r.samples, r.sr) for r in wanted]
+        assert np.allclose([(r.centroid, r.rms) for r in found], [(r.centroid, r.rms) for r in wanted], rtol=1e-9)
+
+
+def test_long_files(spark, tmp_path):
+    t = np.arange(4000 * 60) / 4000
+    parts = [0.3 * np.sin(2 * np.pi * f * t) for f in (300, 900, 500)]
+    (tmp_path / "a.wav").write_bytes(wav(np.concatenate(parts) + noise(len(t) * 3)[:, 0] / 50, 4000))
+    (tmp_path / "b.wav").write_bytes(wav(noise(4000 * 20, seed=8), 4000))
+    files, how = audio.files(spark, str(tmp_path)), model.Detection(min_duration=20, threshold=0.3)
+    wanted = sorted(map(tuple, detect.analyse(files, how, target_sr=None).collect()))
+    assert sorted(map(tuple, detect.analyse_long(files, how, target_sr=None, block=128).collect())) == wanted and len(wanted) >= 3
+
+
+def test_a_file_is_decoded_once(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav(noise(9000), 8000))
+    plan = detect.analyse(audio.files(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan  # headers, and the chunks planned from them

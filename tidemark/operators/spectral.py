@@ -85,12 +85,33 @@ def features(rows: DataFrame, key: str, signal: str, sr: float, size: int, hop:
     return rows.select(F.col(key).cast("long"), signal).mapInArrow(run, f"{key} long, frame int, centroid double, rms double")
 
 
+#: One row to a frame; samples is the signal's number of them.
+FEATURES = "series_id string, idx int, centroid double, rms double, samples long, sr int"
+
+
+def frame_rows(series: str, sr: int, total: int, start: int, stop: int, first: int, around: np.ndarray, n_fft: int, hop: int, rms_size: int = 2048) -> pa.RecordBatch:
+    """FEATURES of the frames that are centred on samples start to stop; around: samples from ``first`` on, half a frame more on either side where the signal has it.
+
+    Frames are centred on whole hops; the frame at the very end belongs to the last chunk. Zeros
+    stand only beyond the true ends of the signal.
+    """
+    halo = max(n_fft, rms_size) // 2
+    k = np.arange(-(-start // hop), (stop - 1) // hop + 1 if stop < total else total // hop + 1)
+    at = k * hop - first + halo
+    padded = np.concatenate([np.zeros(halo), around.astype(np.float64), np.zeros(max(halo, (int(at[-1]) if len(at) else 0) + halo - len(around) - halo))])
+    view = lambda size: padded[(at - size // 2)[:, None] + np.arange(size)]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    c = centroid(np.abs(np.fft.rfft(view(n_fft) * window, axis=1)), sr, n_fft)
+    e = np.sqrt((view(rms_size) ** 2).mean(axis=1))
+    n = len(k)
+    return pa.RecordBatch.from_arrays([pa.array([series] * n, pa.string()), pa.array(k.astype(np.int32)), pa.array(c), pa.array(e), pa.array(np.full(n, total, np.int64)), pa.array(np.full(n, sr, np.int32))], [f.split(" ")[0] for f in FEATURES.split(", ")])
+
+
 def chunk_features(chunks: DataFrame, n_fft: int, hop: int, rms_size: int = 2048) -> DataFrame:
-    """(series_id, idx, centroid, rms, samples) of signals held in chunks of whole hops.
+    """FEATURES of signals held in chunks of whole hops, a written table or one that is cheap to read again.
 
     A chunk owns the frames centred on its samples. It needs half a frame beyond both ends, which
-    comes from its neighbours by an equality join on the chunk number; zeros stand only beyond the
-    true ends of the signal.
+    comes from its neighbours by an equality join on the chunk number.
     """
     halo = max(n_fft, rms_size) // 2
     last = chunks.groupBy("series_id").agg(F.max(F.col("start") + F.size("samples")).alias("total"))
@@ -99,24 +120,11 @@ def chunk_features(chunks: DataFrame, n_fft: int, hop: int, rms_size: int = 2048
     whole = chunks.join(before, ["series_id", "chunk"], "left").join(after, ["series_id", "chunk"], "left").join(last, "series_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = lambda column, i: np.asarray(column[i].values, np.float64) if column[i].is_valid else np.zeros(0)
         for batch in batches:
-            for r in batch.to_pylist():
-                start, own, total, sr = r["start"], np.asarray(r["samples"], np.float64), r["total"], r["sr"]
-                left, right = np.asarray(r["left"] or [], np.float64), np.asarray(r["right"] or [], np.float64)
-                around = np.concatenate([np.zeros(halo - len(left)), left, own, right, np.zeros(halo - len(right))])
-                # frames are centred on whole hops; the frame at the very end belongs to the last chunk
-                end = start + len(own)
-                k = np.arange(-(-start // hop), (end - 1) // hop + 1 if end < total else total // hop + 1)
-                if not len(k):
-                    continue
-                at = k * hop - start + halo
-                need = at[-1] + halo - len(around)
-                around = np.concatenate([around, np.zeros(max(0, need))])
-                view = lambda size: around[(at - size // 2)[:, None] + np.arange(size)]  # noqa: E731, B023
-                window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
-                c = centroid(np.abs(np.fft.rfft(view(n_fft) * window, axis=1)), sr, n_fft)
-                e = np.sqrt((view(rms_size) ** 2).mean(axis=1))
-                n = len(k)
-                yield pa.RecordBatch.from_arrays([pa.array([r["series_id"]] * n), pa.array(k.astype(np.int32)), pa.array(c), pa.array(e), pa.array(np.full(n, total)), pa.array(np.full(n, sr, np.int32))], ["series_id", "idx", "centroid", "rms", "samples", "sr"])
-
-    return whole.select("series_id", "chunk", "sr", "start", "samples", "left", "right", "total").mapInArrow(run, "series_id string, idx int, centroid double, rms double, samples long, sr int")
+            for i in range(batch.num_rows):
+                series, sr, start, total = (batch.column(j)[i].as_py() for j in range(4))
+                own, left, right = (part(batch.column(j), i) for j in (4, 5, 6))
+                yield frame_rows(series, sr, total, start, start + len(own), start - len(left), np.concatenate([left, own, right]), n_fft, hop, rms_size)
+
+    return whole.select("series_id", "sr", "start", "total", "samples", "left", "right").mapInArrow(run, FEATURES)

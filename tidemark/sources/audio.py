@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import model
 from tidemark.functions import scalars
@@ -256,9 +257,14 @@ def plan_chunks(found: DataFrame, target_sr: int | None, size: int = CHUNK_SAMPL
     return each.withColumn("start", F.col("chunk").cast("long") * size).withColumn("stop", F.least(F.col("start") + size, F.col("total")))
 
 
-def decode_ranges(planned: DataFrame, opener: Opener = open_input) -> DataFrame:
-    """Chunks of mono samples from the bytes that each of them needs, halo and all; chunks are spread over tasks."""
-    columns = ["path", "kind", "channels", "rate", "width", "data_start", "frames", "sr", "chunk", "start", "stop"]
+def decode_ranges(planned: DataFrame, opener: Opener = open_input, halo: int = 0, build: Callable[[dict, int, np.ndarray], pa.RecordBatch] | None = None, schema: T.StructType | str = model.CHUNK) -> DataFrame:
+    """Chunks of mono samples from the bytes that each of them needs; chunks are spread over tasks.
+
+    ``build`` makes the rows of a chunk: from its planned row, the place of the first sample, and the
+    samples, with ``halo`` more of them on either side where the signal has them.
+    """
+    columns = ["path", "kind", "channels", "rate", "width", "data_start", "frames", "sr", "total", "chunk", "start", "stop"]
+    build = build or (lambda r, first, part: _chunk(r["path"], r["chunk"], r["sr"], first, part))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with contextlib.ExitStack() as stack:
@@ -274,13 +280,13 @@ def decode_ranges(planned: DataFrame, opener: Opener = open_input) -> DataFrame:
                         source.seek(layout.start + a * layout.block)
                         return downmix(layout.samples(_exactly(source, max(0, b - a) * layout.block)))
 
-                    part = resample_span(read, r["frames"], r["rate"], r["sr"], r["start"], r["stop"])
-                    yield _chunk(r["path"], r["chunk"], r["sr"], r["start"], part)
+                    first = max(r["start"] - halo, 0)
+                    yield build(r, first, resample_span(read, r["frames"], r["rate"], r["sr"], first, min(r["stop"] + halo, r["total"])))
 
     # by number: planned rows are small, and would be put together into few tasks otherwise
     parts = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = planned.select(*columns).repartition(parts, "path", "chunk")
-    return dealt.sortWithinPartitions("path", "chunk").mapInArrow(run, model.CHUNK)
+    return dealt.sortWithinPartitions("path", "chunk").mapInArrow(run, schema)
 
 
 def _chunk(path: str, k: int, sr: int, start: int, part: np.ndarray) -> pa.RecordBatch:
