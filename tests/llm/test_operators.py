@@ -451,6 +451,23 @@ def test_katz_odd_tables(odd, empty, spark):
     assert r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.score == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_stored_model(docs, rows, odd, empty, tmp_path, order):
+    """Trained on what score() trains on, a stored model gives all documents the same scores."""
+    wanted, path = by_id(katz.score(docs, order=order)), f"file://{tmp_path}/model"
+    katz.train(docs.where(~F.col("doc_id").isin([d for d, r in wanted.items() if r.held_out])), path, order)
+    found = by_id(katz.score_with(docs, path))
+    assert len(found) == len(rows)
+    for d, r in found.items():
+        w = wanted[d]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (w.n_tokens, w.n_known, w.train_tokens)
+        assert (r.base_score, r.score) == pytest.approx((w.base_score, w.score), rel=1e-9)
+    assert katz.score_with(odd, path).count() == 5 and katz.score_with(empty, path).count() == 0
+    if order == 2:
+        katz.train(empty, f"file://{tmp_path}/nothing", order)
+        assert {r.n_known for r in katz.score_with(odd, f"file://{tmp_path}/nothing").collect()} == {0}
+
+
 def test_discounts():
     d = katz.discounts([0, 1000, 300, 150, 90, 60, 45])
     # worked out by hand: (k + 1) n[k + 1] / n[1] is 0.27

@@ -11,6 +11,9 @@ corpus (the texts of one batch) asks each table about its distinct words, then o
 its distinct n-grams, and scores its texts from the answers. Only distinct words and n-grams of a
 slice move, as sorted, packed arrays; the slices themselves lie in a table bucketed by slice and
 never move.
+
+``train`` keeps the tables: one row to a part, in the form in which slices ask, so that a stored part
+joins the questions of later texts like one more slice (``score_with``).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import arrays, shared
@@ -161,11 +164,25 @@ def _tally(counts: np.ndarray) -> list[int]:
     return [int(counts.sum()), int((counts > 0).sum()), *np.bincount(np.minimum(counts, CUTOFF + 2), minlength=CUTOFF + 3)[1 : CUTOFF + 2].tolist()]
 
 
-def _count_words(asked: DataFrame, parts: int) -> DataFrame:
+#: Stands for a slice in a row that holds a part's table.
+_TABLE = -1
+
+
+def _kept(names: list[str], rows: dict) -> bytes:
+    """Columns of a table as bytes."""
+    batch = pa.RecordBatch.from_pylist([rows], pa.schema([(n, pa.list_(pa.binary()) if n == "heads" else pa.binary()) for n in names]))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _count_words(asked: DataFrame, parts: int, keep: bool) -> DataFrame:
     """Each part's table of words, answered to the slices: count and number of each word asked for.
 
     A word's number is its place in its part, from 1 on and frequent words first, times the parts,
-    plus the part: unique, dense, and short for most tokens.
+    plus the part: unique, dense, and short for most tokens. Words of a stored table, which come in
+    that order, keep their places.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,31 +193,42 @@ def _count_words(asked: DataFrame, parts: int) -> DataFrame:
             table, which = np.unique(np.concatenate(words), return_inverse=True)
             count = np.zeros(len(table), np.int64)
             np.add.at(count, which, np.concatenate([unpack(r["trained"]) for r in own]).astype(np.int64))
-            number = np.empty(len(table), np.int64)
-            number[np.argsort(-count, kind="stable")] = np.arange(1, len(table) + 1) * parts + part
             at = np.cumsum([0] + [len(w) for w in words])
+            place = np.full(len(table), len(table))
+            for i in (i for i, r in enumerate(own) if r["slice"] == _TABLE):
+                place[which[at[i] : at[i + 1]]] = np.arange(len(words[i]))
+            order = np.lexsort((-count, place))
+            number = np.empty(len(table), np.int64)
+            number[order] = np.arange(1, len(table) + 1) * parts + part
+            nothing = dict.fromkeys(_TALLIES, 0) | {"table": None}
+            if keep:
+                known = order[count[order] > 0]
+                yield pa.RecordBatch.from_pylist([nothing | {"slice": _TABLE, "part": part, "counts": b"", "numbers": b"", "table": _kept(["words", "trained"], {"words": pack(table[known]), "trained": pack(count[known])})}], _answer(["counts", "numbers"]))
             for i, r in enumerate(own):
                 mine = which[at[i] : at[i + 1]]
-                tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
-                yield pa.RecordBatch.from_pylist([{"slice": r["slice"], "part": part, "counts": pack(count[mine]), "numbers": pack(number[mine]), **dict(zip(_TALLIES, tally, strict=True))}], _answer(["counts", "numbers"]))
+                tally = dict(zip(_TALLIES, _tally(count), strict=True)) if i == 0 else {}
+                if r["slice"] != _TABLE:
+                    yield pa.RecordBatch.from_pylist([nothing | {"slice": r["slice"], "part": part, "counts": pack(count[mine]), "numbers": pack(number[mine])} | tally], _answer(["counts", "numbers"]))
 
-    return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), "slice long, part int, counts binary, numbers binary, " + ", ".join(f"{t} long" for t in _TALLIES))
+    return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), "slice long, part int, counts binary, numbers binary, table binary, " + ", ".join(f"{t} long" for t in _TALLIES))
 
 
 def _answer(columns: list[str]) -> pa.Schema:
-    return pa.schema([("slice", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in columns), *((t, pa.int64()) for t in _TALLIES)])
+    return pa.schema([("slice", pa.int64()), ("part", pa.int32()), *((c, pa.binary()) for c in columns), ("table", pa.binary()), *((t, pa.int64()) for t in _TALLIES)])
 
 
-def _together(answers: DataFrame, columns: list[str], name: str) -> DataFrame:
+def _together(answers: DataFrame, columns: list[str], name: str, path: str | None = None) -> DataFrame:
     """All answers to a slice in one row, in a table bucketed by slice; they are as many as the slice's words or n-grams.
 
     The parts' answers lie in a table of their own in between, so that what was asked is gone from
-    the disks when they are put together.
+    the disks when they are put together. With a path, the parts' tables are kept there.
     """
     parts = shared.partitions(answers.sparkSession)
     tallies = [F.sum(t).alias(t) for t in _TALLIES]
     with shared.passing(answers, f"{name}-parts") as held:
-        rows = held.repartition(parts, "slice").groupBy("slice").agg(F.collect_list(F.struct("part", *columns)).alias(name), *tallies)
+        if path:
+            held.where(F.col("slice") == _TABLE).select("part", "table").write.parquet(f"{path}/{name}")
+        rows = held.where(F.col("slice") != _TABLE).repartition(parts, "slice").groupBy("slice").agg(F.collect_list(F.struct("part", *columns)).alias(name), *tallies)
         return shared.spread(rows, name, "slice")
 
 
@@ -353,7 +381,7 @@ def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors:
     return slices.drop("ids").mapInArrow(arrays.lean(run), "part int, slice long, heads array<binary>, follow binary, words binary, trained binary, lower binary, whole binary")
 
 
-def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
+def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]], keep: bool) -> DataFrame:
     """Each part's table of n-grams, answered to the slices.
 
     For each n-gram its count; for each history its count, how many n-grams of it occur 1 .. cutoff
@@ -367,16 +395,21 @@ def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors
             own = [r for r in rows if r["part"] == part]
             follow, word, trained, lower, whole = ([unpack(r[c]).astype(np.int64) for r in own] for c in ("follow", "words", "trained", "lower", "whole"))
             heads = [[unpack(h).astype(np.int64) for h in r["heads"]] for r in own]
-            first, head = _distinct(*(np.concatenate(column) for column in zip(*heads, strict=True)))
-            histories, group = len(first), np.repeat(head, np.concatenate(follow))
+            heads_first, head = _distinct(*(np.concatenate(column) for column in zip(*heads, strict=True)))
+            histories, group = len(heads_first), np.repeat(head, np.concatenate(follow))
             first, which = _distinct(group, np.concatenate(word))
             count, group = np.zeros(len(first), np.int64), group[first]
             np.add.at(count, which, np.concatenate(trained))
             if order == 2:
-                below = words.probability(np.concatenate([x[_distinct(w)[1]] for x, w in zip(lower, word, strict=True)])[first])
+                below_count, divided_by = np.concatenate([x[_distinct(w)[1]] for x, w in zip(lower, word, strict=True)])[first], None
+                below = words.probability(below_count)
             else:
+                below_count = np.concatenate(lower)[first]
                 divided_by = np.concatenate([np.repeat(x[_distinct(*h[1:])[1]], f) for x, h, f in zip(whole, heads, follow, strict=True)])[first]
-                below = discounted(np.concatenate(lower)[first], np.array(factors[-1])) / divided_by
+                below = discounted(below_count, np.array(factors[-1])) / divided_by
+            if keep:
+                table = _gram_table(order, count > 0, group, [np.concatenate(column)[heads_first] for column in zip(*heads, strict=True)], np.concatenate(word)[first], count, below_count, divided_by)
+                yield pa.RecordBatch.from_pylist([dict.fromkeys(["counts", *_HISTORY], b"") | dict.fromkeys(_TALLIES, 0) | {"slice": _TABLE, "part": part, "table": table}], _answer(["counts", *_HISTORY]))
             chance = np.where(count > 0, below, 0.0)
             of_history = {"totals": np.zeros(histories, np.int64)}
             np.add.at(of_history["totals"], group, count)
@@ -385,16 +418,35 @@ def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors
                 of_history[f"once{r}"] = np.bincount(group[count == r], minlength=histories)
             at, head_at = np.cumsum([0] + [len(w) for w in word]), np.cumsum([0] + [len(f) for f in follow])
             for i, r in enumerate(own):
+                if r["slice"] == _TABLE:
+                    continue
                 mine, counts = head[head_at[i] : head_at[i + 1]], count[which[at[i] : at[i + 1]]]
                 lacking = np.add.reduceat(counts == 0, np.cumsum(follow[i]) - follow[i], dtype=np.int64) > 0
                 tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
                 answer = {"slice": r["slice"], "part": part, "counts": pack(counts), **{c: pack(v[mine] * lacking if c == "seen" else v[mine]) for c, v in of_history.items()}}
-                yield pa.RecordBatch.from_pylist([answer | dict(zip(_TALLIES, tally, strict=True))], _answer(["counts", *_HISTORY]))
+                yield pa.RecordBatch.from_pylist([answer | dict(zip(_TALLIES, tally, strict=True)) | {"table": None}], _answer(["counts", *_HISTORY]))
 
-    columns = ", ".join(f"{c} binary" for c in ["counts", *_HISTORY])
+    columns = ", ".join(f"{c} binary" for c in ["counts", *_HISTORY, "table"])
     return asked.repartitionById(parts, F.col("part")).mapInArrow(arrays.lean(run), f"slice long, part int, {columns}, " + ", ".join(f"{t} long" for t in _TALLIES))
 
 
+_ASKED = ["heads", "follow", "words", "trained", "lower", "whole"]
+
+
+def _gram_table(order: int, some: np.ndarray, group: np.ndarray, heads: list[np.ndarray], word: np.ndarray, count: np.ndarray, lower: np.ndarray, divided_by: np.ndarray | None) -> bytes:
+    """A part's n-grams that training has, by history and word, as a slice would ask for them."""
+    group, word, count, lower = group[some], word[some], count[some], lower[some]
+    new = np.ones(len(group), bool)
+    new[1:] = np.diff(group) != 0
+    heads = [h[group[new]] for h in heads]
+    if order == 2:
+        lower, whole = lower[_distinct(word)[0]], np.zeros(0, np.int64)
+    else:
+        whole = divided_by[some][new][_distinct(*heads[1:])[0]]
+    follow = np.diff(np.append(np.flatnonzero(new), len(group)))
+    return _kept(_ASKED, {"heads": [pack(h) for h in heads]} | {c: pack(v) for c, v in zip(_ASKED[1:], (follow, word, count, lower, whole), strict=True)})
+
+
 def divisor(total: np.ndarray, kept: np.ndarray) -> np.ndarray:
     """What a history's counts are divided by: its total, and one event more where no n-gram of it is discounted."""
     return np.where(kept >= total * (1 - 1e-12), total + 1, np.maximum(total, 1))
@@ -446,6 +498,80 @@ def _totals(answers: DataFrame) -> list[int]:
     return [int(x or 0) for x in answers.agg(*[F.sum(t).alias(t) for t in _TALLIES]).first()]
 
 
+@dataclass(frozen=True)
+class Model:
+    """What a stored model has beside its tables."""
+
+    parts: int
+    words: Words
+    factors: tuple[tuple[float, ...], ...]
+
+
+def _stored(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
+    """A model's table as questions, one to a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, table in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = pa.ipc.open_stream(table.as_buffer()).read_all().combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_TABLE], pa.int64()), *own.columns], ["part", "slice", *columns])
+
+    kinds = ", ".join(f"{c} {'array<binary>' if c == 'heads' else 'binary'}" for c in columns)
+    return spark.read.parquet(f"{path}/{name}").mapInArrow(arrays.lean(run), f"part int, slice long, {kinds}")
+
+
+def _learned(slices: DataFrame, order: int, parts: int, path: str | None, model: Model | None) -> tuple[DataFrame, Words, list[list[float]]]:
+    """Slices with the answers of all tables, and what is known of all words and n-grams; from a stored model, or learned, and kept where a path is given."""
+    spark = slices.sparkSession
+    asked = _ask_words(slices, parts)
+    if model:
+        asked = asked.unionByName(_stored(spark, path, "known", ["words", "trained"]))
+    keep = path is not None and model is None
+    word_answers = _together(_count_words(asked, parts, keep), ["counts", "numbers"], "known", path if keep else None)
+    if model:
+        words = model.words
+    else:
+        tokens, distinct, *n = _totals(word_answers)
+        d = discounts([0, *n])
+        small = sum(r * c * (1 - d[r]) for r, c in enumerate(n[:CUTOFF], 1))
+        words = Words(tokens, distinct, tuple(d), small / tokens if tokens else 1.0)
+    answered = slices.drop("trained").join(word_answers.drop(*_TALLIES), "slice")
+
+    factors: list[list[float]] = []
+    for k in range(2, order + 1):
+        asked = _ask_grams(answered, k, parts, words, list(factors))
+        if model:
+            asked = asked.unionByName(_stored(spark, path, f"order{k}", _ASKED))
+        answers = _together(_count_grams(asked, k, parts, words, list(factors), keep), ["counts", *_HISTORY], f"order{k}", path if keep else None)
+        factors.append(list(model.factors[k - 2]) if model else discounts([0, *_totals(answers)[2:]]))
+        answered = answered.join(answers.drop(*_TALLIES), "slice")
+    return answered, words, factors
+
+
+def train(docs: DataFrame, path: str, order: int = ORDER) -> None:
+    """Learn from all documents and keep the model at a new path that executors share: a table for each order, a row for each part.
+
+    Odd texts and ids are as in :func:`score`; from an empty table comes a model to which every word is unknown.
+    """
+    if order < 1:
+        raise ValueError("order: 1 or more")
+    spark, parts = docs.sparkSession, shared.partitions(docs.sparkSession)
+    slices = shared.spread(_slices(shared.texts(docs).select("doc_id", F.lit(False).alias("held"), "text")), "slices", "slice")
+    _, words, factors = _learned(slices, order, parts, path, None)
+    row = (parts, words.tokens, words.distinct, list(words.factors), words.unknown, factors)
+    spark.createDataFrame([row], "parts int, tokens long, distinct long, word_factors array<double>, unknown double, factors array<array<double>>").coalesce(1).write.parquet(f"{path}/model")
+
+
+def score_with(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document, by a model that :func:`train` has kept; as :func:`score` otherwise."""
+    spark = docs.sparkSession
+    m = spark.read.parquet(f"{path}/model").first()
+    model = Model(m.parts, Words(m.tokens, m.distinct, tuple(m.word_factors), m.unknown), tuple(map(tuple, m.factors)))
+    slices = shared.spread(_slices(shared.texts(docs).select("doc_id", F.lit(True).alias("held"), "text")), "slices", "slice")
+    answered, words, factors = _learned(slices, len(model.factors) + 1, model.parts, path, model)
+    return _scores(answered, model.parts, words, factors).drop("held_out")
+
+
 def score(docs: DataFrame, folds: int = 5, held_fold: int = 1, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -464,18 +590,5 @@ def score(docs: DataFrame, folds: int = 5, held_fold: int = 1, order: int = ORDE
     plain = shared.texts(docs).select("doc_id", (fold == held_fold).alias("held"), "text")
     slices = shared.spread(_slices(plain), "slices", "slice")
 
-    word_answers = _together(_count_words(_ask_words(slices, parts), parts), ["counts", "numbers"], "known")
-    tokens, distinct, *n = _totals(word_answers)
-    d = discounts([0, *n])
-    small = sum(r * c * (1 - d[r]) for r, c in enumerate(n[:CUTOFF], 1))
-    words = Words(tokens, distinct, tuple(d), small / tokens if tokens else 1.0)
-    answered = slices.drop("trained").join(word_answers.drop(*_TALLIES), "slice")
-
-    factors: list[list[float]] = []
-    for k in range(2, order + 1):
-        asked = _ask_grams(answered, k, parts, words, list(factors))
-        answers = _together(_count_grams(asked, k, parts, words, list(factors)), ["counts", *_HISTORY], f"order{k}")
-        _, _, *n = _totals(answers)
-        factors.append(discounts([0, *n]))
-        answered = answered.join(answers.drop(*_TALLIES), "slice")
+    answered, words, factors = _learned(slices, order, parts, None, None)
     return _scores(answered, parts, words, factors)
