@@ -5,12 +5,13 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pytest
 
 import corpus_pipeline
 from tests.conftest import ROOT
 from tests.llm import brute
 from tests.llm.test_operators import encoding  # noqa: F401
-from tidemark.llm import mixing
+from tidemark.llm import jaccard_join, katz, line_dedup, mixing, shared
 
 
 def test_stages_one_by_one(spark, docs, rows, encoding, tmp_path):  # noqa: F811
@@ -57,6 +58,24 @@ def test_odd_and_empty_tables(spark, odd, empty, tmp_path):
             assert at.columns == table.columns, stage
 
 
+def test_tables_go_with_their_scope(spark, docs, tmp_path, monkeypatch):
+    """Whatever an operator leaves in the shared folder goes when its scope ends; the pipeline leaves its five stages."""
+    monkeypatch.setattr(shared, "root", lambda spark: f"file://{tmp_path}")
+    some = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 60")
+    for run in (jaccard_join.link_classes, line_dedup.digest, katz.score):
+        with shared.scope(spark):
+            assert run(some).count() == some.count()
+            assert len(list(tmp_path.iterdir())) > 1
+        assert list(tmp_path.iterdir()) == []
+    with pytest.raises(ZeroDivisionError), shared.scope(spark):
+        shared.written(some, "some")
+        raise ZeroDivisionError
+    assert list(tmp_path.iterdir()) == []
+    some.write.parquet(str(tmp_path / "in/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "in")).count() > 0
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()) == sorted(["in", *dict(corpus_pipeline.STAGES)])
+
+
 def test_rest_works_without_this_subpackage(tmp_path):
     code = (
         "import sys\n"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import functools
 import shutil
 import tempfile
@@ -25,21 +26,57 @@ def _local_folder() -> str:
     return "file://" + path
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder named by ``spark.checkpoint.dir``.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of tables, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """The owner of all tables that operators make inside: they go when the block ends, also by an error.
+
+    Results read them, so they have to be written, or collected, inside.
+    """
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in paths:
+            removed(spark, path)
+
+
+def root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
     Only where the session names none (a local test) is a temporary folder made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = _local_folder()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        named = _local_folder()
+    return named.rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in that folder, owned by the scope that is open, if any."""
+    path, paths = f"{root(spark)}/{name}-{uuid.uuid4().hex}", _made.get()
+    if paths is not None:
+        paths.append(path)
+    return path
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it back: its lineage ends there."""
+    """Write a frame as Parquet to the shared folder and read it back: its lineage ends there.
+
+    The table stays until the :func:`scope` around it ends, or for good where there is none.
+    """
     path = folder(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
@@ -80,8 +117,7 @@ def passing(frame: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(frame.schema).parquet(path)
     finally:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        removed(spark, path)
 
 
 def spread(frame: DataFrame, name: str, column: str) -> DataFrame:
