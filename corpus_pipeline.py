@@ -71,5 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = shared.written(stage(spark, docs, sf_dir), name)
+        path = shared.folder(spark, name)
+        with shared.scope(spark):  # a stage's own tables go with it
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs
