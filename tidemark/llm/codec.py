@@ -13,15 +13,29 @@ from pyspark.sql import DataFrame
 from tidemark.llm import arrays, bpe, shared
 
 
-def encode_words(words: bpe.Words, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all distinct words, one after another, and the number of each.
+#: Words whose ids a worker keeps for later slices, and the longest of them.
+KEPT, KEPT_BYTES = 1 << 18, 64
+
+
+@functools.cache
+def _store(path: str) -> dict[bytes, bytes]:
+    """Ids, as bytes, of words that this worker has merged before."""
+    return {}
+
+
+def _merged(words: bpe.Words, which: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of some of the words, one after another, and the number of each, from one replay of all merges over them.
 
     A word that is itself in the vocabulary is that one id, whatever its merges would give.
     """
     ranks, merges = bpe.rank_file(path)
-    ids, count, _ = merges.replay(words.data, words.starts, words.lengths)
+    lengths = words.lengths[which]
+    starts = np.cumsum(lengths) - lengths
+    data = words.data[arrays.ragged(words.starts[which], lengths)]
+    ids, count, _ = merges.replay(data, starts, lengths)
     longest = max(map(len, ranks))
-    whole = [(w, ranks[words.word(w)]) for w in np.flatnonzero((count > 1) & (words.lengths <= longest)).tolist() if words.word(w) in ranks]
+    some = np.flatnonzero((count > 1) & (lengths <= longest))
+    whole = [(w, ranks[word]) for w, word in zip(some.tolist(), map(words.word, which[some].tolist()), strict=True) if word in ranks]
     if whole:
         at = np.cumsum(count) - count
         keep = np.ones(len(ids), bool)
@@ -33,6 +47,28 @@ def encode_words(words: bpe.Words, path: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, count
 
 
+def encode_words(words: bpe.Words, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all distinct words, one after another, and the number of each.
+
+    Words that the worker knows are looked up, up to a bound; the merges are replayed over the others, all together.
+    """
+    store, raw = _store(path), words.data.tobytes()
+    keys = [raw[a : a + n] for a, n in zip(words.starts.tolist(), words.lengths.tolist(), strict=True)]
+    found = [store.get(k) for k in keys]
+    new = [i for i, ids in enumerate(found) if ids is None]
+    if new:
+        ids, count = _merged(words, np.array(new, np.int64), path)
+        flat, at = ids.astype("<i4").tobytes(), 0
+        if len(store) + len(new) > KEPT:
+            store.clear()
+        for i, n in zip(new, count.tolist(), strict=True):
+            found[i] = flat[at : at + 4 * n]
+            at += 4 * n
+            if len(keys[i]) <= KEPT_BYTES and len(store) < KEPT:
+                store[keys[i]] = found[i]
+    return np.frombuffer(b"".join(found), "<i4").astype(np.int64), np.array([len(x) // 4 for x in found], np.int64)
+
+
 @functools.cache
 def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ranks, _ = bpe.rank_file(path)
@@ -66,8 +102,8 @@ def encode_texts(texts: list[tuple[np.ndarray, np.ndarray]], path: str) -> Itera
 def encode(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), ids_sha256, decoded_sha256 of every document: a map without shuffle.
 
-    Encoding depends on a text alone, so each task replays the merges over the distinct words of
-    its own slice of the corpus. The ids are decoded again, and the bytes' hash is returned. A null
+    Encoding depends on a text alone, so each task replays the merges over the distinct words of its
+    slice of the corpus that its worker has not merged before. The ids are decoded again, and the bytes' hash is returned. A null
     text is empty: no ids. Repeated rows encode alike; of equal ranks the leftmost pair merges first.
     Other columns are not read, so
     their names cannot clash. A very long text is one row, handled alone. An empty table gives an empty result. The
