@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import tables
+
 
 def latest_stream(events: DataFrame, task: str, order: list[str], columns: list[str]) -> DataFrame:
     """As the batch operator, on a stream: one state row to a task, in any order of arrival."""
@@ -15,11 +16,8 @@ def latest_stream(events: DataFrame, task: str, order: list[str], columns: list[
 
 
 def state_root(spark: SparkSession) -> str:
-    """Where a stream's state goes: the folder in ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(root or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/tasks-{uuid.uuid4().hex}"
+    """A new place for a stream's state in the folder that executors share."""
+    return f"{tables.root(spark)}/tasks-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, task: str, root: str) -> DataFrame:
