@@ -129,7 +129,6 @@ class Encoder:
                 raise ValueError("each token must come of one merge, of tokens made before")
             self.rank[made], self.split[made], self.pairs[left * top + right] = r, (left, right), r
         self.top, self.verdicts = top, {}
-        reached: list[int] = []
         good = [len(self.text.get(i, "")) == 1 for i in range(top)]
         for made in sorted((i for i in self.text if self.rank[i] >= 0), key=self.rank.__getitem__):
             left, right = self.split[made]

@@ -127,7 +127,7 @@ def local_maxima(rows: DataFrame, series: str, column: str, block: int = BLOCK)
     single = marked.where(F.col("__start") & F.col("__end")).select(series, "idx", "__v")
     edges = marked.where(F.col("__start") != F.col("__end"))
 
-    def paired(some: DataFrame, by: Column | list) -> DataFrame:
+    def paired(some: DataFrame, by: list[str]) -> DataFrame:
         line = Window.partitionBy(*by).orderBy("idx")
         return some.withColumn("__e", F.when(F.col("__start"), F.lead(F.struct("idx", "__down")).over(line))).withColumn("__s", F.when(F.col("__end"), F.lag("__start").over(line)))
 
