@@ -38,7 +38,8 @@ def hashed_lines(docs: DataFrame, least_chars: int) -> DataFrame:
     plain = shared.texts(docs).select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     keyed = plain.select("doc_id", "text_crc", "pos", F.trim("line", F.lit(_BLANK)).alias("line")).where(F.char_length("line") >= least_chars)
     key = F.translate("line", _UPPER, _UPPER.lower())
-    return keyed.select("doc_id", "text_crc", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
+    one, two = shared.names(key.cast("binary"))
+    return keyed.select("doc_id", "text_crc", "pos", one.alias("h1"), two.alias("h2"))
 
 
 def _summed(one: DataFrame, other: DataFrame, how: str = "full") -> DataFrame:

@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -158,6 +158,12 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def names(data: Column) -> list[Column]:
+    """Two longs that stand for a binary column's bytes, made of their SHA-256."""
+    digest = F.sha2(data, 256)
+    return [F.xxhash64(digest), F.xxhash64(F.lit("second"), digest)]
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -409,10 +409,14 @@ def _keyed(items: DataFrame) -> DataFrame:
     With 128 bits of what all those strings share (k1, k2), and of all their bytes (f1, f2).
     """
     inside = items.withColumn("first", F.greatest(F.col("low"), F.col("span") - F.length("following"))).withColumn("last", F.least(F.col("high"), F.length("before")))
-    band = [F.col("h"), F.col("span"), F.col("low"), F.col("high")]
-    around = lambda b, f: [*band, F.substring(F.col("before"), F.lit(1), b), F.substring(F.col("following"), F.lit(1), f)]
+    band = F.concat_ws(":", *[F.col(c).cast("string") for c in ("h", "span", "low", "high")])
+
+    def around(before: Column, following: Column) -> Column:
+        first, then = F.substring(F.col("before"), F.lit(1), before), F.substring(F.col("following"), F.lit(1), following)
+        return F.concat(F.concat_ws(":", band, F.length(first).cast("string"), F.lit("")).cast("binary"), first, then)
+
     shared_part, whole = around(F.col("low"), F.col("span") - F.col("high")), around(F.col("high"), F.col("span") - F.col("low"))
-    hashes = {f"{k}{i + 1}": F.xxhash64(*[F.lit("second")] * i, *part) for k, part in (("k", shared_part), ("f", whole)) for i in (0, 1)}
+    hashes = {f"{k}{i}": name for k, part in (("k", shared_part), ("f", whole)) for i, name in enumerate(shared.names(part), 1)}
     return inside.where("first <= last").withColumns(hashes)
 
 
@@ -454,7 +458,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
 
 def _text_id() -> list[Column]:
     """128 bits that stand for a text."""
-    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2")]
+    one, two = shared.names(F.col("text").cast("binary"))
+    return [one.alias("t1"), two.alias("t2")]
 
 
 def _contexts(sources: DataFrame, length: int, reach: int) -> DataFrame:
