@@ -14,7 +14,7 @@ from tidemark.llm import arrays, bpe, shared
 
 
 #: Words whose ids a worker keeps for later slices, and the longest of them.
-KEPT, KEPT_BYTES = 1 << 18, 64
+KEPT, KEPT_BYTES = 1 << 16, 64
 
 
 @functools.cache
