@@ -129,3 +129,16 @@ def test_appended_events(spark, tmp_path):
     for k in range(2):
         files.append_events(spark.createDataFrame([("a", k, f"s{k}")], "task_id string, seq int, status string"), path)
     assert [tuple(r) for r in tasks.latest(spark.read.parquet(path), "task_id", ["seq"], ["status"]).collect()] == [("a", "s1")]
+
+
+def test_many_task_files_need_few_tasks(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"{i}.json").write_text(f'{{"status": "pending", "progress": {i}}}')
+    for name, text in {"a b%20.json": '{"progress": -1}', "empty.json": "", "_x.json": "{}", "x.txt": "{}", "corrupt.json": "{"}.items():
+        (tmp_path / name).write_text(text)
+    (tmp_path / "folder.json").mkdir()
+    read = files.read_tasks(spark, f"file://{tmp_path}")
+    assert read.rdd.getNumPartitions() == 4  # the session's, whatever the number of files
+    assert {r.task_id: r.progress for r in read.collect()} == {str(i): i for i in range(300)} | {"a b%20": -1}
+    assert files.read_tasks(spark, f"{tmp_path}/1?.json").count() == 10
+    assert files.whole_texts(spark, str(tmp_path), "{1,a}*.json").count() == 112
