@@ -142,3 +142,15 @@ def test_many_task_files_need_few_tasks(spark, tmp_path):
     assert {r.task_id: r.progress for r in read.collect()} == {str(i): i for i in range(300)} | {"a b%20": -1}
     assert files.read_tasks(spark, f"{tmp_path}/1?.json").count() == 10
     assert files.whole_texts(spark, str(tmp_path), "{1,a}*.json").count() == 112
+
+
+def test_many_logs_need_few_tasks(tmp_path):
+    for i in range(200):
+        (tmp_path / f"{i:03}.log").write_text(f"a {i}\nb {i}\nhalf")
+    reader = logs.LogReader({"path": str(tmp_path)})
+    shares = reader.partitions({}, reader.latestOffset())
+    assert len(shares) <= 4
+    lines = [x for s in shares for batch in reader.read(s) for x in batch.column(2).to_pylist()]
+    assert lines == [f"{x} {i}" for i in range(200) for x in "ab"]
+    later = reader.partitions(reader.latestOffset() | {"007.log": 4}, reader.latestOffset())
+    assert [x for s in later for batch in reader.read(s) for x in batch.column(2).to_pylist()] == ["b 7"]

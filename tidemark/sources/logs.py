@@ -14,10 +14,12 @@ from tidemark.sources import stores
 
 #: Bytes that are looked through at a time for the last line's end.
 _BLOCK = 1 << 16
+#: What a file costs a task besides its bytes, in bytes.
+_OPENING = 1 << 20
 
 
 @dataclass
-class Part(InputPartition):
+class Part:
     """Lines of a file that start from low to high; all of them end at ``end`` or before. ``low`` begins a line, or is inside one if ``inside``."""
 
     name: str
@@ -27,6 +29,13 @@ class Part(InputPartition):
     inside: bool
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: a part of a long file, or parts of many short ones."""
+
+    parts: list[Part]
+
+
 def whole_lines(source, size: int) -> int:
     """Where the last whole line of so many bytes ends."""
     at = size
@@ -58,15 +67,26 @@ class LogReader(DataSourceStreamReader):
                     out[name] = whole_lines(source, size)
         return out
 
-    def partitions(self, start: dict, end: dict) -> list[Part]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[Share]:
+        out, room = [], 0
         for name, stop in sorted(end.items()):
             first = start.get(name, 0)
             first = first if first <= stop else 0
-            out += [Part(name, low, min(low + self.split, stop), stop, low > first) for low in range(first, stop, self.split)]
+            for low in range(first, stop, self.split):
+                part = Part(name, low, min(low + self.split, stop), stop, low > first)
+                cost = part.high - part.low + _OPENING
+                if cost > room:
+                    out.append(Share([]))
+                    room = self.split
+                out[-1].parts.append(part)
+                room -= cost
         return out
 
-    def read(self, part: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
+        for part in share.parts:
+            yield from self._lines(part)
+
+    def _lines(self, part: Part) -> Iterator[pa.RecordBatch]:
         with stores.open_input(f"{self.path}/{part.name}") as source:
             at = part.low - part.inside  # a line starts after a line's end
             source.seek(at)
