@@ -438,6 +438,19 @@ def test_distinct_beyond_32_bits():
     assert [x.tolist() for x in katz._distinct(*small)] == [[0, 3, 1], [0, 2, 0, 1, 2]]
 
 
+@pytest.mark.parametrize("widths", [(3,), (40,), (3, 5), (20, 36), (20, 40), (40, 40), (2, 2, 2), (30, 30, 30)])
+def test_distinct_by_one_key(widths, monkeypatch):
+    """Columns of up to 64 bits together are sorted as one key, with the rows' numbers in it where they fit."""
+    if sum(widths) <= 64:
+        monkeypatch.setattr(np, "lexsort", None)
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 300):
+        columns = [rng.integers(0, 4, n) * ((1 << w) // 4 - 1) for w in widths]
+        first, which = katz._distinct(*columns)
+        rows = list(zip(*(c.tolist() for c in columns), strict=True))
+        assert [rows[i] for i in first] == sorted(set(rows)) and [rows[first[i]] for i in which] == rows
+
+
 def test_katz_beats_words_alone_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = katz.score(docs).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()

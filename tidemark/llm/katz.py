@@ -48,18 +48,20 @@ def pack(values: np.ndarray) -> bytes:
     """Non-negative integers as bytes, plane by plane, compressed; small ones take few bytes."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = b"".join((values >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(width))
     return len(values).to_bytes(5, "little") + bytes([width]) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The integers of :func:`pack`, as unsigned 64-bit numbers."""
     n, width = int.from_bytes(data[:5], "little"), data[5]
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        planes = pa.decompress(data[6:], n * width, "zstd", asbytes=True)
-        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel().astype(np.uint64)
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = np.frombuffer(pa.decompress(data[6:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = planes[0].astype(np.uint64)
+    for i in range(1, width):
+        out |= planes[i].astype(np.uint64) << np.uint64(8 * i)
+    return out
 
 
 def discounts(count_of_counts: list[int], cutoff: int = CUTOFF) -> list[float]:
@@ -138,7 +140,7 @@ def _slices(docs: DataFrame) -> DataFrame:
 
 def _cut(values: np.ndarray, parts: int) -> tuple[np.ndarray, list[int]]:
     """An order that brings the values of each part together, and where each part starts."""
-    part = values % parts
+    part = (values % parts).astype(np.min_scalar_type(int(parts)))  # few bits are sorted by radix
     order = np.argsort(part, kind="stable")
     return order, np.searchsorted(part[order], np.arange(parts + 1)).tolist()
 
@@ -251,19 +253,30 @@ def _after(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of each distinct combination, ordered by the columns, and which one each row is."""
-    if len(columns) == 2 and len(columns[0]) and max(int(c.max()) for c in columns) < 1 << 32:
-        _, first, which = np.unique((columns[0].astype(np.uint64) << np.uint64(32)) | columns[1].astype(np.uint64), return_index=True, return_inverse=True)
-        return first, which
-    if len(columns) == 1:
-        _, first, which = np.unique(columns[0], return_index=True, return_inverse=True)
-        return first, which
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= np.diff(c[order]) != 0
-    which = np.empty(len(order), np.int64)
+    """A row of each distinct combination of non-negative integers, ordered by the columns, and which one each row is."""
+    n = len(columns[0])
+    widths = [int(c.max()).bit_length() if n else 0 for c in columns]
+    place = max(n - 1, 0).bit_length()
+    if sum(widths) <= 64:
+        key = columns[0].astype(np.uint64)
+        for c, width in zip(columns[1:], widths[1:], strict=True):
+            key = (key << np.uint64(width)) | c.astype(np.uint64)
+        if sum(widths) + place <= 64:  # sorting the rows' numbers along is much faster than sorting them by keys
+            key = np.sort((key << np.uint64(place)) | np.arange(n, dtype=np.uint64))
+            order = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+            key >>= np.uint64(place)
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        new = np.ones(n, bool)
+        new[1:] = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= np.diff(c[order]) != 0
+    which = np.empty(n, np.int64)
     which[order] = np.cumsum(new) - 1
     return order[new], which
 
@@ -281,8 +294,9 @@ class Grams:
     shares: list[tuple[int, np.ndarray, np.ndarray]]  # part, its n-grams, which of those begin a history
 
     @classmethod
-    def of(cls, context: np.ndarray, word: np.ndarray, before: list[np.ndarray], parts: int) -> Grams:
-        first, which = _distinct(context, word)
+    def of(cls, context: np.ndarray, rank: np.ndarray, before: list[np.ndarray], parts: int) -> Grams:
+        """rank: of the words, by number, within the slice."""
+        first, which = _distinct(context, rank)
         heads = [b[first] for b in reversed(before)]
         mixed = np.zeros(len(first), np.uint64)
         for h in heads:
@@ -304,6 +318,7 @@ class Tokens:
 
     sizes: np.ndarray
     word: np.ndarray
+    rank: np.ndarray  # of the word's number among the slice's words, from 1 on: the same order in fewer bits
     word_count: np.ndarray
     count: np.ndarray  # of the n-gram of the highest order that has been answered
     whole: np.ndarray  # what that count is divided by
@@ -317,32 +332,35 @@ class Tokens:
         sizes, tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["tokens"]).astype(np.int64)
         count, number = _known(unpack(row["words"]), row["known"], parts)
         word, word_count = number[tokens], count[tokens]
-        p, context = words.probability(word_count), _after(word, sizes)
+        place = np.empty(len(number), np.int64)
+        place[np.argsort(number)] = np.arange(1, len(number) + 1)
+        rank = place[tokens]
+        p, context = words.probability(count)[tokens], _after(rank, sizes)
         gram_count, whole = word_count, np.full(len(word), max(words.tokens, 1), np.int64)
-        before = [context]
+        before = [_after(word, sizes)]
         for order, d in enumerate(factors, 2):
-            grams = Grams.of(context, word, before, parts)
+            grams = Grams.of(context, rank, before, parts)
             gram_count, whole, p = _backed_off(grams, row[f"order{order}"], p, np.array(d))
             context = _after(grams.which + 1, sizes)
             before = [*before, _after(before[-1], sizes)]
-        return cls(sizes, word, word_count, gram_count, whole, p, context, before)
+        return cls(sizes, word, rank, word_count, gram_count, whole, p, context, before)
 
 
 def _backed_off(grams: Grams, answers: list[dict], lower: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token's count, what it is divided by, and P by this order, from its answers and the P of the order below."""
-    count = np.zeros(len(grams.first), np.int64)
-    history = {c: np.zeros(len(grams.first), np.int64) for c in _HISTORY}
+    count, totals = np.zeros(len(grams.first), np.int64), np.zeros(len(grams.first), np.int64)
+    seen, kept = np.zeros(len(grams.first)), np.zeros(len(grams.first))
     by_part = {a["part"]: a for a in answers}
     for part, own, new in grams.shares:
         a, place = by_part[part], np.cumsum(new) - 1
         count[own] = unpack(a["counts"]).astype(np.int64)
-        for c in _HISTORY:
-            history[c][own] = unpack(a[c]).astype(np.int64)[place]
-    small = sum(r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
-    kept = history["totals"] - small + sum(factors[r] * r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
+        history = {c: unpack(a[c]).astype(np.int64) for c in _HISTORY}
+        small = sum(r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
+        totals[own], seen[own] = history["totals"][place], (history["seen"] / _UNIT)[place]
+        kept[own] = (history["totals"] - small + sum(factors[r] * r * history[f"once{r}"] for r in range(1, CUTOFF + 1)))[place]
     t = grams.which
-    whole = divisor(history["totals"], kept)
-    return count[t], whole[t], gram_probability(count[t], history["totals"][t], history["seen"][t] / _UNIT, kept[t], lower, factors)
+    # tokens that end the same n-gram have the same P of the order below
+    return count[t], divisor(totals, kept)[t], gram_probability(count, totals, seen, kept, lower[grams.first], factors)[t]
 
 
 def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
@@ -358,7 +376,7 @@ def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 tokens = Tokens.of(row, parts, words, factors)
-                grams = Grams.of(tokens.context, tokens.word, tokens.before, parts)
+                grams = Grams.of(tokens.context, tokens.rank, tokens.before, parts)
                 trained = np.bincount(grams.which[np.repeat(~np.array(row["held"], bool), tokens.sizes)], minlength=len(grams.first))
                 for part, own, new in grams.shares:
                     follow = np.diff(np.append(np.flatnonzero(new), len(own)))
