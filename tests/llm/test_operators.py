@@ -1,6 +1,7 @@
 """Each operator against its contract by brute force, over copies, nulls, ties, odd and empty tables."""
 
 import base64
+import hashlib
 import math
 import random
 import struct
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from tidemark.llm import bpe, codec, components, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
+from tidemark.llm import arrays, bpe, codec, components, fingerprints, jaccard_join, katz, line_dedup, mixing, quality, sharding, substring_dedup, token_counts
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 
@@ -451,6 +452,48 @@ def test_distinct_by_one_key(widths, monkeypatch):
         assert [rows[i] for i in first] == sorted(set(rows)) and [rows[first[i]] for i in which] == rows
 
 
+@pytest.mark.parametrize("widths", [(40, 40), (30, 30, 30), (22, 22, 28)])
+def test_wide_columns_are_sorted_by_their_ranks(widths, monkeypatch):
+    """Numbers of words take more bits as a corpus grows; they are still sorted as keys with the rows' numbers in them."""
+    monkeypatch.setattr(np, "lexsort", None)
+    monkeypatch.setattr(np, "argsort", None)
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 4, 5000) * ((1 << w) // 4 - 1) for w in widths]
+    first, which = katz._distinct(*columns)
+    rows = list(zip(*(c.tolist() for c in columns), strict=True))
+    assert [rows[i] for i in first] == sorted(set(rows)) and [rows[first[i]] for i in which] == rows
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_a_slice_hashes_each_word_once(alike, monkeypatch):
+    texts = ["Monday  tuesdays WEDNESDAY tuesdays", "", "a thursday-and-a-long-friday thursday-and-b-long-friday monday", "\x00 \x00\x00 tuesdays thursday-and-a-long-friday", " wednesday"]
+    data, offsets = arrays.utf8(pa.array(texts))
+    starts, ends, first = arrays.words(arrays.lower(data), offsets)
+    wanted = np.insert(arrays.span_hash(arrays.lower(data), starts, ends), first[1:], katz.END)
+    if alike:  # keys find equal words, their bytes decide
+        monkeypatch.setattr(arrays, "_span_key", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    hashed, blake2b = [], hashlib.blake2b
+    monkeypatch.setattr(hashlib, "blake2b", lambda x, **how: (hashed.append(x), blake2b(x, **how))[1])
+    hashes, which, size = katz._vocabulary(data, offsets)
+    assert np.array_equal(hashes[which], wanted) and len(set(hashes.tolist())) == len(hashes) and size.tolist() == [5, 1, 5, 5, 2]
+    assert sorted(hashed) == sorted(w.encode() for w in {w for t in texts for w in t.lower().split(" ")} if len(w) > 7)
+
+
+def test_values_that_share_their_high_bits():
+    values = np.array([1 << 60, (1 << 60) + 1, 1 << 60, 7, (1 << 60) + 1, 3], np.uint64)
+    first, which = katz._alike(values)
+    assert np.array_equal(values[first][which], values) and len(first) == 4
+
+
+def test_histories_come_as_kinds():
+    """Most histories have the counts of many others, so slices get few rows of counts and unpack no column for each."""
+    columns = [np.array([1, 500, 0, 1, 1, 500, 2]), np.array([1, 9, 0, 1, 1, 8, 0])]
+    rows, kind = katz._kinds(columns)
+    assert np.array_equal(rows[kind], np.stack(columns, axis=1)) and len(rows) == 5
+    own, place = katz._only(rows, kind[[1, 3, 4]])
+    assert len(own) == 2 and np.array_equal(own[place], [[500, 9], [1, 1], [1, 1]])
+
+
 def test_katz_beats_words_alone_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     held = katz.score(docs).where("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score")).first()

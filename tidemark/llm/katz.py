@@ -18,8 +18,10 @@ joins the questions of later texts like one more slice (``score_with``).
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,8 @@ def pack(values: np.ndarray) -> bytes:
     """Non-negative integers as bytes, plane by plane, compressed; small ones take few bytes."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    planes = b"".join((values >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(width))
-    return len(values).to_bytes(5, "little") + bytes([width]) + (pa.compress(planes, "zstd", asbytes=True) if planes else b"")
+    planes = values.astype(np.uint8) if width == 1 else np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(values).to_bytes(5, "little") + bytes([width]) + (pa.compress(planes, "zstd", asbytes=True) if len(values) else b"")
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -58,10 +60,16 @@ def unpack(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     planes = np.frombuffer(pa.decompress(data[6:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
-    out = planes[0].astype(np.uint64)
-    for i in range(1, width):
-        out |= planes[i].astype(np.uint64) << np.uint64(8 * i)
-    return out
+    if width == 1:
+        return planes[0].astype("<u8")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view("<u8")
+
+
+def _signed(data: bytes) -> np.ndarray:
+    """The integers of :func:`pack` below 2^63, signed."""
+    return unpack(data).view(np.int64)
 
 
 def discounts(count_of_counts: list[int], cutoff: int = CUTOFF) -> list[float]:
@@ -100,6 +108,70 @@ class Words:
         return np.where(count > 0, d * count / max(self.tokens, 1), self.unknown)
 
 
+def _alike(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each distinct value, and which one each is, in any order. Values have their bits spread.
+
+    Their high bits are sorted with the places below them. Where different values share those bits, all bits are.
+    """
+    place = np.uint64(max(len(values) - 1, 0).bit_length())
+    key = np.sort((values >> place << place) | np.arange(len(values), dtype=np.uint64))
+    order = (key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    key >>= place
+    same_bits, values_there = key[1:] == key[:-1], values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values_there[1:] != values_there[:-1]
+    if np.any(new[1:] & same_bits):
+        return np.unique(values, return_index=True, return_inverse=True)[1:]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def _same_words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray) -> bool:
+    """Whether words of eight bytes or more are those of the same lengths at ``other``: by the first and last eight bytes, and by all of those beyond sixteen."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    if not (np.array_equal(eight[starts], eight[other]) and np.array_equal(eight[starts + lengths - 8], eight[other + lengths - 8])):
+        return False
+    more = lengths > 16
+    return arrays.same_spans(data, starts[more], lengths[more], other[more])
+
+
+def _vocabulary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of texts and of their end, which one each token is, and tokens by text. Hashes are those of ``arrays.span_hash``."""
+    data = arrays.lower(data)
+    starts, ends, first = arrays.words(data, offsets)
+    size = np.diff(first) + 1
+    lengths = np.append(ends - starts, 0)  # the last one stands for the end of a text
+    starts = np.append(starts, 0)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    short = np.minimum(lengths, 7)
+    # the number of bytes and, of up to seven, they themselves: no longer word has such a code, and no word that of an end
+    code = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))[starts] & ((np.uint64(1) << (8 * short).astype(np.uint64)) - np.uint64(1))
+    code |= short.astype(np.uint64) << np.uint64(56)
+    long = np.flatnonzero(lengths > 7)
+    if len(long):
+        key = arrays._span_key(data, starts[long], starts[long] + lengths[long])
+        code[long] = np.where(key < np.uint64(8 << 56), key | np.uint64(8 << 56), key)
+    first, which = _alike(arrays.mix(code))
+    other = first[which[long]]
+    if len(long) and not (np.array_equal(lengths[other], lengths[long]) and _same_words(data, starts[long], lengths[long], starts[other])):
+        # words were made to share a key, so their bytes decide
+        code[long] = np.uint64(8 << 56) + arrays.distinct_spans(data, starts[long], lengths[long])[1].astype(np.uint64)
+        first, which = _alike(arrays.mix(code))
+    hashes = code[first]
+    long = np.flatnonzero(lengths[first] > 7)
+    long_first, raw = first[long], data.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long_first].tolist(), (starts + lengths)[long_first].tolist(), strict=True)]
+    digest = np.frombuffer(b"".join(digests), "<u8")
+    hashes[long] = np.where(digest < np.uint64(8 << 56), digest | np.uint64(8 << 56), digest)
+    hashes = arrays.mix(hashes)
+    hashes[which[-1]] = END
+    if len(hashes) > 1 and np.any(np.diff(np.sort(hashes)) == 0):
+        hashes, same = np.unique(hashes, return_inverse=True)
+        which = same[which]
+    return hashes, np.insert(which[:-1], np.cumsum(size - 1), which[-1]), size
+
+
 def _slices(docs: DataFrame) -> DataFrame:
     """One row to a slice: its distinct words and its texts as numbers of them."""
 
@@ -107,18 +179,13 @@ def _slices(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for start, end, _, _ in arrays.blocks(batch.column(2), SLICE_BYTES):
-                hashes, counts = [], []
-                for _, _, data, offsets in arrays.blocks(batch.column(2).slice(start, end - start)):
-                    starts, ends, first = arrays.words(data, offsets)
-                    hashes.append(np.insert(arrays.span_hash(arrays.lower(data), starts, ends), first[1:], END))
-                    counts.append(np.diff(first) + 1)
-                vocabulary, tokens, often = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-                order = np.argsort(-often, kind="stable")  # small numbers for most tokens
+            for start, end, data, offsets in arrays.blocks(batch.column(2), SLICE_BYTES):
+                vocabulary, tokens, size = _vocabulary(data, offsets)
+                often, order = np.bincount(tokens, minlength=len(vocabulary)), np.argsort(vocabulary)
+                order = order[_ordered(often.max() - often[order], np.arange(len(order)))[0]]  # small numbers for most tokens
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
                 vocabulary, tokens = vocabulary[order], rank[tokens]
-                size = np.concatenate(counts)
                 trained = np.bincount(tokens[np.repeat(~held[start:end], size)], minlength=len(vocabulary))
                 ids = batch.column(0).slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
@@ -194,7 +261,7 @@ def _count_words(asked: DataFrame, parts: int, keep: bool) -> DataFrame:
             words = [unpack(r["words"]) for r in own]
             table, which = np.unique(np.concatenate(words), return_inverse=True)
             count = np.zeros(len(table), np.int64)
-            np.add.at(count, which, np.concatenate([unpack(r["trained"]) for r in own]).astype(np.int64))
+            np.add.at(count, which, np.concatenate([_signed(r["trained"]) for r in own]))
             at = np.cumsum([0] + [len(w) for w in words])
             place = np.full(len(table), len(table))
             for i in (i for i, r in enumerate(own) if r["slice"] == _TABLE):
@@ -240,127 +307,198 @@ def _known(words: np.ndarray, answers: list[dict], parts: int) -> tuple[np.ndarr
     count, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     for a in answers:
         own = order[at[a["part"]] : at[a["part"] + 1]]
-        count[own], number[own] = unpack(a["counts"]).astype(np.int64), unpack(a["numbers"]).astype(np.int64)
+        count[own], number[own] = _signed(a["counts"]), _signed(a["numbers"])
     return count, number
 
 
-def _after(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each token the value of the one before it; START at the beginning of a text."""
+def _after(values: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """For each token the value of the one before it; the given one at the beginning of a text."""
     out = np.empty_like(values)
     out[1:] = values[:-1]
-    out[np.cumsum(sizes) - sizes] = START
+    out[np.cumsum(sizes) - sizes] = start
     return out
 
 
-def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of each distinct combination of non-negative integers, ordered by the columns, and which one each row is."""
+def _width(column: np.ndarray) -> int:
+    """Bits of the largest."""
+    return int(column.max()).bit_length() if len(column) else 0
+
+
+def _numbered(new: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on of groups of rows, by which rows begin one; the first does."""
+    out = np.cumsum(new)
+    out -= 1
+    return out
+
+
+def _ordered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' numbers in the order of columns of non-negative integers, equal rows in any order, and which rows differ from the one before.
+
+    The columns are put together to one key, with the rows' numbers in its low bits: sorting that is much
+    faster than sorting the rows' numbers by keys. Columns that are too wide for it stand in it by their ranks.
+    """
     n = len(columns[0])
-    widths = [int(c.max()).bit_length() if n else 0 for c in columns]
     place = max(n - 1, 0).bit_length()
-    if sum(widths) <= 64:
-        key = columns[0].astype(np.uint64)
-        for c, width in zip(columns[1:], widths[1:], strict=True):
-            key = (key << np.uint64(width)) | c.astype(np.uint64)
-        if sum(widths) + place <= 64:  # sorting the rows' numbers along is much faster than sorting them by keys
-            key = np.sort((key << np.uint64(place)) | np.arange(n, dtype=np.uint64))
-            order = (key & np.uint64((1 << place) - 1)).astype(np.int64)
+    key, width = columns[0].astype(np.uint64), _width(columns[0])
+    for column in columns[1:]:
+        more = _width(column)
+        if width + more + place > 64 and width > place:
+            key = _distinct(key)[1].view(np.uint64)
+            width = _width(key)
+        if width + more + place > 64 and more > place:
+            column = _distinct(column)[1]
+            more = _width(column)
+        if width + more > 64:
+            key = None
+            break
+        key <<= np.uint64(more)
+        key |= column.view(np.uint64)
+        width += more
+    new = np.ones(n, bool)
+    if key is None:
+        order = np.lexsort(columns[::-1])
+        new[1:] = False
+        for c in columns:
+            new[1:] |= np.diff(c[order]) != 0
+    else:
+        if width + place <= 64:
+            key <<= np.uint64(place)
+            key |= np.arange(n, dtype=np.uint64)
+            key.sort()
+            order = (key & np.uint64((1 << place) - 1)).view(np.int64)
             key >>= np.uint64(place)
         else:
             order = np.argsort(key)
             key = key[order]
-        new = np.ones(n, bool)
         new[1:] = key[1:] != key[:-1]
-    else:
-        order = np.lexsort(columns[::-1])
-        new = np.zeros(n, bool)
-        new[:1] = True
-        for c in columns:
-            new[1:] |= np.diff(c[order]) != 0
-    which = np.empty(n, np.int64)
-    which[order] = np.cumsum(new) - 1
+    return order, new
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct combination of non-negative integers, ordered by the columns, and which one each row is."""
+    order, new = _ordered(*columns)
+    which = np.empty(len(order), np.int64)
+    which[order] = _numbered(new)
     return order[new], which
 
 
-_HISTORY = ["totals", "seen", *(f"once{r}" for r in range(1, CUTOFF + 1))]
+_HISTORY = ["kind", "kinds", "seen"]
+
+
+def _kinds(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of columns, those with a small first column first, and which one each row is."""
+    small = columns[0] < 128
+    which, rows, known = np.empty(len(small), np.int64), [], 0
+    for own in (np.flatnonzero(small), np.flatnonzero(~small)):
+        if len(own):
+            first, kind = _distinct(*(c[own] for c in columns))
+            rows.append(np.stack([c[own[first]] for c in columns], axis=1))
+            which[own] = kind + known
+            known += len(first)
+    return np.concatenate(rows), which
+
+
+def _only(rows: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are pointed at, and which of these each is."""
+    there = np.zeros(len(rows), bool)
+    there[which] = True
+    return rows[there], (np.cumsum(there) - 1)[which]
 
 
 @dataclass(frozen=True)
 class Grams:
-    """A slice's distinct n-grams of one order, ordered by history and word."""
+    """A slice's distinct n-grams of one order, by part, history and word; a history's stand together."""
 
     first: np.ndarray  # a token that ends each
     which: np.ndarray  # the one that each token ends
-    heads: list[np.ndarray]  # the words of the history of each, by number
-    shares: list[tuple[int, np.ndarray, np.ndarray]]  # part, its n-grams, which of those begin a history
+    group: np.ndarray  # the history of each
+    begin: np.ndarray  # where each history begins
+    history: np.ndarray  # which of those that may be asked for each is
+    of_any: list[np.ndarray]  # the words of those, by number
+    shares: list[tuple[int, slice, slice]]  # part, its n-grams, its histories
 
     @classmethod
-    def of(cls, context: np.ndarray, rank: np.ndarray, before: list[np.ndarray], parts: int) -> Grams:
-        """rank: of the words, by number, within the slice."""
-        first, which = _distinct(context, rank)
-        heads = [b[first] for b in reversed(before)]
-        mixed = np.zeros(len(first), np.uint64)
+    def of(cls, ends: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, heads: list[np.ndarray], parts: int) -> Grams:
+        """ends: which history of the next token each token ends; heads: the words of those histories, by number."""
+        heads = [np.append(START, h) for h in heads]  # before the first word
+        mixed = np.zeros(len(heads[0]), np.uint64)
         for h in heads:
             mixed = arrays.mix(mixed + h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        order, at = _cut(mixed, np.uint64(parts))
-        shares = []
-        for p in range(parts):
-            if at[p] < at[p + 1]:
-                own = order[at[p] : at[p + 1]]
-                new = np.ones(len(own), bool)
-                new[1:] = np.diff(context[first[own]]) != 0
-                shares.append((p, own, new))
-        return cls(first, which, heads, shares)
+        part = (mixed % np.uint64(parts)).astype(np.int64)
+        order = _ordered(part, *heads[:-1], np.arange(len(part)))[0]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        context = _after(place[1:][ends], sizes, place[0])
+        first, which = _distinct(context, tokens)
+        context = context[first]
+        new = np.ones(len(first), bool)
+        new[1:] = context[1:] != context[:-1]
+        begin, history = np.flatnonzero(new), order[context[new]]
+        at = np.searchsorted(part[history], np.arange(parts + 1))
+        edge = np.append(begin, len(first))[at].tolist()
+        at = at.tolist()
+        shares = [(p, slice(edge[p], edge[p + 1]), slice(at[p], at[p + 1])) for p in range(parts) if at[p] < at[p + 1]]
+        return cls(first, which, _numbered(new), begin, history, heads, shares)
+
+    def heads(self) -> list[np.ndarray]:
+        """The words of each history, by number."""
+        return [h[self.history] for h in self.of_any]
 
 
 @dataclass(frozen=True)
 class Tokens:
-    """A slice, token by token, with what the answers so far say of each."""
+    """A slice, with what the answers so far say of its words and of its n-grams of the highest order that has been answered."""
 
     sizes: np.ndarray
-    word: np.ndarray
-    rank: np.ndarray  # of the word's number among the slice's words, from 1 on: the same order in fewer bits
+    word: np.ndarray  # which word each token is, by ascending number
+    number: np.ndarray
     word_count: np.ndarray
-    count: np.ndarray  # of the n-gram of the highest order that has been answered
+    which: np.ndarray  # which n-gram each token ends
+    count: np.ndarray  # of each n-gram
     whole: np.ndarray  # what that count is divided by
-    p: np.ndarray  # by that order
-    context: np.ndarray  # which history of the next order, within the slice
-    before: list[np.ndarray]  # the words of that history, the nearest first
+    p: np.ndarray | None  # by that order, if texts are to be scored
+    last: Grams | None  # those n-grams, if they are of two words or more
 
     @classmethod
-    def of(cls, row: dict, parts: int, words: Words, factors: list[list[float]]) -> Tokens:
+    def of(cls, row: dict, parts: int, words: Words, factors: list[list[float]], scored: bool) -> Tokens:
         """factors: of the orders from 2 on that have been answered, in columns order2, order3 .."""
-        sizes, tokens = unpack(row["sizes"]).astype(np.int64), unpack(row["tokens"]).astype(np.int64)
+        sizes, tokens = _signed(row["sizes"]), _signed(row["tokens"])
         count, number = _known(unpack(row["words"]), row["known"], parts)
-        word, word_count = number[tokens], count[tokens]
-        place = np.empty(len(number), np.int64)
-        place[np.argsort(number)] = np.arange(1, len(number) + 1)
-        rank = place[tokens]
-        p, context = words.probability(count)[tokens], _after(rank, sizes)
-        gram_count, whole = word_count, np.full(len(word), max(words.tokens, 1), np.int64)
-        before = [_after(word, sizes)]
+        first, place = _distinct(number)
+        number, count, tokens = number[first], count[first], place[tokens]
+        out = cls(sizes, tokens, number, count, tokens, count, np.full(len(count), max(words.tokens, 1), np.int64), words.probability(count) if scored else None, None)
         for order, d in enumerate(factors, 2):
-            grams = Grams.of(context, rank, before, parts)
-            gram_count, whole, p = _backed_off(grams, row[f"order{order}"], p, np.array(d))
-            context = _after(grams.which + 1, sizes)
-            before = [*before, _after(before[-1], sizes)]
-        return cls(sizes, word, rank, word_count, gram_count, whole, p, context, before)
-
-
-def _backed_off(grams: Grams, answers: list[dict], lower: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's count, what it is divided by, and P by this order, from its answers and the P of the order below."""
-    count, totals = np.zeros(len(grams.first), np.int64), np.zeros(len(grams.first), np.int64)
-    seen, kept = np.zeros(len(grams.first)), np.zeros(len(grams.first))
-    by_part = {a["part"]: a for a in answers}
-    for part, own, new in grams.shares:
-        a, place = by_part[part], np.cumsum(new) - 1
-        count[own] = unpack(a["counts"]).astype(np.int64)
-        history = {c: unpack(a[c]).astype(np.int64) for c in _HISTORY}
-        small = sum(r * history[f"once{r}"] for r in range(1, CUTOFF + 1))
-        totals[own], seen[own] = history["totals"][place], (history["seen"] / _UNIT)[place]
-        kept[own] = (history["totals"] - small + sum(factors[r] * r * history[f"once{r}"] for r in range(1, CUTOFF + 1)))[place]
-    t = grams.which
-    # tokens that end the same n-gram have the same P of the order below
-    return count[t], divisor(totals, kept)[t], gram_probability(count, totals, seen, kept, lower[grams.first], factors)[t]
+            out = out._backed_off(out.grams(parts), row[f"order{order}"], np.array(d))
+        return out
+
+    def grams(self, parts: int) -> Grams:
+        """Of the next order."""
+        heads = [self.number] if self.last is None else [*(h[self.last.group] for h in self.last.heads()), self.number[self.word[self.last.first]]]
+        return Grams.of(self.which, self.sizes, self.word, heads, parts)
+
+    def _backed_off(self, grams: Grams, answers: list[dict], factors: np.ndarray) -> Tokens:
+        """By the next order, from its answers and the P of this one."""
+        by_part = {a["part"]: a for a in answers}
+        own = [by_part[part] for part, _, _ in grams.shares]
+        tables = [_signed(a["kinds"]).reshape(-1, CUTOFF + 1) for a in own]
+        known = np.cumsum([0] + [len(t) for t in tables])
+        kind = np.concatenate([_signed(a["kind"]) + k for a, k in zip(own, known.tolist(), strict=False)])
+        totals, *once = np.concatenate(tables).T
+        kept = totals - sum(r * once[r - 1] for r in range(1, CUTOFF + 1)) + sum(factors[r] * r * once[r - 1] for r in range(1, CUTOFF + 1))
+        count, whole, p = np.concatenate([_signed(a["counts"]) for a in own]), divisor(totals, kept)[kind][grams.group], None
+        if self.p is not None:
+            backoff = backoffs(totals, np.concatenate([_signed(a["seen"]) for a in own]) / _UNIT, kept, kind)
+            p = discounted(count, factors) / whole
+            lacking = np.flatnonzero(count == 0)
+            # tokens that end the same n-gram have the same P of the order below
+            p[lacking] = backoff[grams.group[lacking]] * self.p[self.which[grams.first[lacking]]]
+        return replace(self, which=grams.which, count=count, whole=whole, p=p, last=grams)
+
+
+def _sorted(values: np.ndarray) -> np.ndarray:
+    """The distinct ones, in order."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])]
 
 
 def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
@@ -375,23 +513,25 @@ def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                tokens = Tokens.of(row, parts, words, factors)
-                grams = Grams.of(tokens.context, tokens.rank, tokens.before, parts)
+                tokens = Tokens.of(row, parts, words, factors, False)
+                grams = tokens.grams(parts)
+                grams_heads = grams.heads()
                 trained = np.bincount(grams.which[np.repeat(~np.array(row["held"], bool), tokens.sizes)], minlength=len(grams.first))
-                for part, own, new in grams.shares:
-                    follow = np.diff(np.append(np.flatnonzero(new), len(own)))
-                    last = grams.first[own]
+                word = tokens.word[grams.first]
+                number, below = tokens.number[word], tokens.which[grams.first]  # the n-gram without its first word
+                follow = np.diff(np.append(grams.begin, len(grams.first)))
+                for part, own, histories in grams.shares:
+                    heads = [h[histories] for h in grams_heads]
                     if order == 2:
-                        lower, whole = tokens.count[last[_distinct(tokens.word[last])[0]]], np.zeros(0, np.int64)
+                        lower, whole = tokens.word_count[_sorted(word[own])], np.zeros(0, np.int64)
                     else:
-                        heads = own[new]
-                        lower, whole = tokens.count[last], tokens.whole[grams.first[heads[_distinct(*(h[heads] for h in grams.heads[1:]))[0]]]]
+                        lower, whole = tokens.count[below[own]], tokens.whole[below[grams.begin[histories][_distinct(*heads[1:])[0]]]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([part], pa.int32()),
                             pa.array([row["slice"]], pa.int64()),
-                            pa.array([[pack(h[own[new]]) for h in grams.heads]], pa.list_(pa.binary())),
-                            *(pa.array([pack(x)], pa.binary()) for x in (follow, tokens.word[last], trained[own], lower, whole)),
+                            pa.array([[pack(h) for h in heads]], pa.list_(pa.binary())),
+                            *(pa.array([pack(x)], pa.binary()) for x in (follow[histories], number[own], trained[own], lower, whole)),
                         ],
                         ["part", "slice", "heads", "follow", "words", "trained", "lower", "whole"],
                     )
@@ -404,44 +544,49 @@ def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors
 
     For each n-gram its count; for each history its count, how many n-grams of it occur 1 .. cutoff
     times and, where a slice asks for one that training lacks, the lower order's P of all words
-    seen after it (in units).
+    seen after it (in units). Most histories have the numbers of many others, so they come as kinds,
+    with a table of these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         for part in sorted({r["part"] for r in rows}):
             own = [r for r in rows if r["part"] == part]
-            follow, word, trained, lower, whole = ([unpack(r[c]).astype(np.int64) for r in own] for c in ("follow", "words", "trained", "lower", "whole"))
-            heads = [[unpack(h).astype(np.int64) for h in r["heads"]] for r in own]
-            heads_first, head = _distinct(*(np.concatenate(column) for column in zip(*heads, strict=True)))
-            histories, group = len(heads_first), np.repeat(head, np.concatenate(follow))
-            first, which = _distinct(group, np.concatenate(word))
-            count, group = np.zeros(len(first), np.int64), group[first]
-            np.add.at(count, which, np.concatenate(trained))
+            # each column is unpacked where it is needed and goes when it is not
+            follow, word = ([_signed(r[c]) for r in own] for c in ("follow", "words"))
+            at, head_at = np.cumsum([0] + [len(w) for w in word]), np.cumsum([0] + [len(f) for f in follow])
+            follow, word = np.concatenate(follow), np.concatenate(word)
+            heads = [np.concatenate([_signed(r["heads"][j]) for r in own]) for j in range(order - 1)]
+            heads_first, head = _distinct(*heads)
+            group = np.repeat(head, follow)
+            first, which = _distinct(group, word)
+            group, count = group[first], np.zeros(len(first), np.int64)
+            np.add.at(count, which, np.concatenate([_signed(r["trained"]) for r in own]))
+            spans, head_spans = ([slice(*x) for x in itertools.pairwise(ends.tolist())] for ends in (at, head_at))
             if order == 2:
-                below_count, divided_by = np.concatenate([x[_distinct(w)[1]] for x, w in zip(lower, word, strict=True)])[first], None
+                below_count, divided_by = np.concatenate([_signed(r["lower"])[_distinct(word[x])[1]] for r, x in zip(own, spans, strict=True)])[first], None
                 below = words.probability(below_count)
             else:
-                below_count = np.concatenate(lower)[first]
-                divided_by = np.concatenate([np.repeat(x[_distinct(*h[1:])[1]], f) for x, h, f in zip(whole, heads, follow, strict=True)])[first]
+                below_count = np.concatenate([_signed(r["lower"]) for r in own])[first]
+                divided_by = np.concatenate([np.repeat(_signed(r["whole"])[_distinct(*(h[x] for h in heads[1:]))[1]], follow[x]) for r, x in zip(own, head_spans, strict=True)])[first]
                 below = discounted(below_count, np.array(factors[-1])) / divided_by
             if keep:
-                table = _gram_table(order, count > 0, group, [np.concatenate(column)[heads_first] for column in zip(*heads, strict=True)], np.concatenate(word)[first], count, below_count, divided_by)
+                table = _gram_table(order, count > 0, group, [h[heads_first] for h in heads], word[first], count, below_count, divided_by)
                 yield pa.RecordBatch.from_pylist([dict.fromkeys(["counts", *_HISTORY], b"") | dict.fromkeys(_TALLIES, 0) | {"slice": _TABLE, "part": part, "table": table}], _answer(["counts", *_HISTORY]))
-            chance = np.where(count > 0, below, 0.0)
-            of_history = {"totals": np.zeros(histories, np.int64)}
-            np.add.at(of_history["totals"], group, count)
-            of_history["seen"] = np.minimum(np.rint(np.bincount(group, chance, histories) * _UNIT), _UNIT).astype(np.int64)
-            for r in range(1, CUTOFF + 1):
-                of_history[f"once{r}"] = np.bincount(group[count == r], minlength=histories)
-            at, head_at = np.cumsum([0] + [len(w) for w in word]), np.cumsum([0] + [len(f) for f in follow])
-            for i, r in enumerate(own):
+            del heads, word, first, below_count, divided_by
+            seen = np.minimum(np.rint(np.bincount(group, np.where(count > 0, below, 0.0), len(heads_first)) * _UNIT), _UNIT).astype(np.int64)
+            begin = np.flatnonzero(np.diff(group, prepend=-1))
+            del below
+            kinds, kind = _kinds([np.add.reduceat(count, begin), *(np.bincount(group[count == r], minlength=len(begin)) for r in range(1, CUTOFF + 1))])
+            del group
+            for i, (r, mine) in enumerate(zip(own, head_spans, strict=True)):
                 if r["slice"] == _TABLE:
                     continue
-                mine, counts = head[head_at[i] : head_at[i + 1]], count[which[at[i] : at[i + 1]]]
-                lacking = np.add.reduceat(counts == 0, np.cumsum(follow[i]) - follow[i], dtype=np.int64) > 0
+                counts, follows, mine = count[which[spans[i]]], follow[mine], head[mine]
+                lacking = np.minimum.reduceat(counts, np.cumsum(follows) - follows) == 0
                 tally = _tally(count) if i == 0 else [0] * len(_TALLIES)
-                answer = {"slice": r["slice"], "part": part, "counts": pack(counts), **{c: pack(v[mine] * lacking if c == "seen" else v[mine]) for c, v in of_history.items()}}
+                table, of_kind = _only(kinds, kind[mine])
+                answer = {"slice": r["slice"], "part": part, "counts": pack(counts), "kind": pack(of_kind), "kinds": pack(table.ravel()), "seen": pack(seen[mine] * lacking)}
                 yield pa.RecordBatch.from_pylist([answer | dict(zip(_TALLIES, tally, strict=True)) | {"table": None}], _answer(["counts", *_HISTORY]))
 
     columns = ", ".join(f"{c} binary" for c in ["counts", *_HISTORY, "table"])
@@ -472,39 +617,36 @@ def divisor(total: np.ndarray, kept: np.ndarray) -> np.ndarray:
 
 def discounted(count: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """Counts times their factors."""
-    return np.where(count > CUTOFF, 1.0, factors[np.minimum(count, CUTOFF)]) * count
+    return np.append(factors, 1.0)[np.minimum(count, CUTOFF + 1)] * count
 
 
-def gram_probability(count: np.ndarray, total: np.ndarray, seen: np.ndarray, kept: np.ndarray, word: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """P(word | history) of n-grams, by arrays.
+def backoffs(total: np.ndarray, seen: np.ndarray, kept: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """By what the lower order's P of words not seen after a history is multiplied, for each history.
 
-    count: of the n-gram; total: of the history; seen: the lower order's P of all words seen after
-    it; kept: the discounted counts of its n-grams, added up; word: the lower order's P of the word.
-    A history that training lacks leaves that. Where no n-gram of a history is discounted, one event
-    is added to its total, so that something is left for other words.
+    total, kept: by kind, the count and the discounted counts of the n-grams, added up; seen: the lower
+    order's P of all words seen after it. A history that training lacks leaves that P. Where no n-gram
+    of a history is discounted, one event is added to its total, so that something is left for other words.
     """
-    whole = divisor(total, kept)
-    backoff = (1.0 - kept / whole) / np.maximum(1.0 - seen, 1e-12)
-    return np.where(total == 0, word, np.where(count > 0, discounted(count, factors) / whole, backoff * word))
+    return (1.0 - kept / divisor(total, kept))[kind] / np.maximum(1.0 - seen, 1e-12)
 
 
 def _scores(slices: DataFrame, parts: int, words: Words, factors: list[list[float]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                tokens = Tokens.of(row, parts, words, factors)
-                sizes, count = tokens.sizes, tokens.word_count
-                base = (count + 0.5) / (words.tokens + 0.5 * (words.distinct + 1))
+                tokens = Tokens.of(row, parts, words, factors, True)
+                sizes, word, count = tokens.sizes, tokens.word, tokens.word_count
+                base = np.log10((count + 0.5) / (words.tokens + 0.5 * (words.distinct + 1)))
                 at = np.cumsum(sizes) - sizes
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["ids"], pa.int64()),
                         pa.array(row["held"], pa.bool_()),
                         pa.array(sizes),
-                        pa.array(np.add.reduceat((count > 0).astype(np.int64), at)),
+                        pa.array(np.add.reduceat((count > 0).astype(np.int64)[word], at)),
                         pa.array(np.full(len(sizes), words.tokens, np.int64)),
-                        pa.array(np.add.reduceat(np.log10(base), at)),
-                        pa.array(np.add.reduceat(np.log10(tokens.p), at)),
+                        pa.array(np.add.reduceat(base[word], at)),
+                        pa.array(np.add.reduceat(np.log10(tokens.p)[tokens.which], at)),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
