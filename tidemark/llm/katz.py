@@ -182,11 +182,11 @@ def _slices(docs: DataFrame) -> DataFrame:
             for start, end, data, offsets in arrays.blocks(batch.column(2), SLICE_BYTES):
                 vocabulary, tokens, size = _vocabulary(data, offsets)
                 often, order = np.bincount(tokens, minlength=len(vocabulary)), np.argsort(vocabulary)
-                order = order[_ordered(often.max() - often[order], np.arange(len(order)))[0]]  # small numbers for most tokens
+                order = order[_ordered(often.max() - often[order])[0]]  # small numbers for most tokens
                 rank = np.empty_like(order)
                 rank[order] = np.arange(len(order))
                 vocabulary, tokens = vocabulary[order], rank[tokens]
-                trained = np.bincount(tokens[np.repeat(~held[start:end], size)], minlength=len(vocabulary))
+                trained = np.bincount(tokens[np.flatnonzero(np.repeat(~held[start:end], size))], minlength=len(vocabulary))
                 ids = batch.column(0).slice(start, end - start)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -332,7 +332,7 @@ def _numbered(new: np.ndarray) -> np.ndarray:
 
 
 def _ordered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rows' numbers in the order of columns of non-negative integers, equal rows in any order, and which rows differ from the one before.
+    """The rows' numbers in the order of columns of non-negative integers, equal rows as they stand, and which rows differ from the one before.
 
     The columns are put together to one key, with the rows' numbers in its low bits: sorting that is much
     faster than sorting the rows' numbers by keys. Columns that are too wide for it stand in it by their ranks.
@@ -368,7 +368,7 @@ def _ordered(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = (key & np.uint64((1 << place) - 1)).view(np.int64)
             key >>= np.uint64(place)
         else:
-            order = np.argsort(key)
+            order = np.argsort(key, kind="stable")
             key = key[order]
         new[1:] = key[1:] != key[:-1]
     return order, new
@@ -379,7 +379,7 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order, new = _ordered(*columns)
     which = np.empty(len(order), np.int64)
     which[order] = _numbered(new)
-    return order[new], which
+    return order[np.flatnonzero(new)], which
 
 
 _HISTORY = ["kind", "kinds", "seen"]
@@ -421,11 +421,14 @@ class Grams:
     def of(cls, ends: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, heads: list[np.ndarray], parts: int) -> Grams:
         """ends: which history of the next token each token ends; heads: the words of those histories, by number."""
         heads = [np.append(START, h) for h in heads]  # before the first word
-        mixed = np.zeros(len(heads[0]), np.uint64)
-        for h in heads:
-            mixed = arrays.mix(mixed + h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        part = (mixed % np.uint64(parts)).astype(np.int64)
-        order = _ordered(part, *heads[:-1], np.arange(len(part)))[0]
+        part = np.empty(len(heads[0]), np.int64)
+        for at in range(0, len(part), 1 << 13):  # what fits the cache
+            block = slice(at, at + (1 << 13))
+            mixed = np.uint64(0)
+            for h in heads:
+                mixed = arrays.mix(h[block].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) + mixed)
+            part[block] = mixed % np.uint64(parts)
+        order = _ordered(part, *heads[:-1])[0]
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         context = _after(place[1:][ends], sizes, place[0])
@@ -433,7 +436,8 @@ class Grams:
         context = context[first]
         new = np.ones(len(first), bool)
         new[1:] = context[1:] != context[:-1]
-        begin, history = np.flatnonzero(new), order[context[new]]
+        begin = np.flatnonzero(new)
+        history = order[context[begin]]
         at = np.searchsorted(part[history], np.arange(parts + 1))
         edge = np.append(begin, len(first))[at].tolist()
         at = at.tolist()
@@ -516,7 +520,7 @@ def _ask_grams(slices: DataFrame, order: int, parts: int, words: Words, factors:
                 tokens = Tokens.of(row, parts, words, factors, False)
                 grams = tokens.grams(parts)
                 grams_heads = grams.heads()
-                trained = np.bincount(grams.which[np.repeat(~np.array(row["held"], bool), tokens.sizes)], minlength=len(grams.first))
+                trained = np.bincount(grams.which[np.flatnonzero(np.repeat(~np.array(row["held"], bool), tokens.sizes))], minlength=len(grams.first))
                 word = tokens.word[grams.first]
                 number, below = tokens.number[word], tokens.which[grams.first]  # the n-gram without its first word
                 follow = np.diff(np.append(grams.begin, len(grams.first)))
@@ -568,8 +572,8 @@ def _count_grams(asked: DataFrame, order: int, parts: int, words: Words, factors
                 below = words.probability(below_count)
             else:
                 below_count = np.concatenate([_signed(r["lower"]) for r in own])[first]
-                divided_by = np.concatenate([np.repeat(_signed(r["whole"])[_distinct(*(h[x] for h in heads[1:]))[1]], follow[x]) for r, x in zip(own, head_spans, strict=True)])[first]
-                below = discounted(below_count, np.array(factors[-1])) / divided_by
+                divided_by = np.concatenate([_signed(r["whole"])[_distinct(*(h[x] for h in heads[1:]))[1]] for r, x in zip(own, head_spans, strict=True)])[heads_first]
+                below = discounted(below_count, np.array(factors[-1])) / divided_by[group]
             if keep:
                 table = _gram_table(order, count > 0, group, [h[heads_first] for h in heads], word[first], count, below_count, divided_by)
                 yield pa.RecordBatch.from_pylist([dict.fromkeys(["counts", *_HISTORY], b"") | dict.fromkeys(_TALLIES, 0) | {"slice": _TABLE, "part": part, "table": table}], _answer(["counts", *_HISTORY]))
@@ -605,7 +609,7 @@ def _gram_table(order: int, some: np.ndarray, group: np.ndarray, heads: list[np.
     if order == 2:
         lower, whole = lower[_distinct(word)[0]], np.zeros(0, np.int64)
     else:
-        whole = divided_by[some][new][_distinct(*heads[1:])[0]]
+        whole = divided_by[group[new]][_distinct(*heads[1:])[0]]
     follow = np.diff(np.append(np.flatnonzero(new), len(group)))
     return _kept(_ASKED, {"heads": [pack(h) for h in heads]} | {c: pack(v) for c, v in zip(_ASKED[1:], (follow, word, count, lower, whole), strict=True)})
 
