@@ -110,6 +110,37 @@ def test_boundaries(spark):
             assert sorted(r.boundary for r in found if r.s == s) == kept(x, n, sr, m)
 
 
+def test_next_places(spark):
+    """The first place at a gap or later, over parts without any; no window looks ahead, which takes the square of a part's rows."""
+    rnd = random.Random(5)
+    every = {0: (7, sorted(rnd.sample(range(3000), 400))), 1: (1, list(range(60))), 2: (50, [0, 9, 59, 700, 701, 5000])}
+    table = spark.createDataFrame([(s, p, g) for s, (g, places) in every.items() for p in places], "s int, pos long, gap long")
+
+    class Kept(Scratch):
+        def written(self, frame, name):
+            self.plan = frame._jdf.queryExecution().optimizedPlan().toString()
+            return super().written(frame, name)
+
+    scratch = Kept(spark, "t")
+    for span in (16, 1 << 24):
+        found = {(r.s, r.pos): r.to for r in long_series._next(table, "s", scratch, span).collect()}
+        wanted = {(s, p): min(q for q in places if q >= p + g) for s, (g, places) in every.items() for p in places if p + g <= places[-1]}
+        assert found == wanted and "unboundedfollowing" not in scratch.plan.lower() and "unboundedpreceding" in scratch.plan.lower()
+
+
+def test_blocks_of_suppression(spark, monkeypatch):
+    """Blocks of so many indices keep the same peaks, in fewer groups than blocks of so many distances."""
+    monkeypatch.setattr(long_series, "SPAN", 3)
+    monkeypatch.setattr(long_series, "SEEN", 1)
+    rnd = random.Random(3)
+    every = {0: (5, [(rnd.random(), i) for i in range(0, 900, 2)]), 1: (300, [(rnd.random(), i) for i in range(0, 4000, 7)]), 2: (4, [(float(i), i) for i in range(150)])}
+    table = spark.createDataFrame([(s, i, h, d) for s, (d, peaks) in every.items() for h, i in peaks], "s int, idx int, h double, distance int")
+    for block in (7, 100, 1 << 16):
+        found = long_series.suppressed(table, "s", "h", Scratch(spark, "t"), block).collect()
+        for s, (d, peaks) in every.items():
+            assert sorted(r.idx for r in found if r.s == s) == greedy(peaks, d)
+
+
 def test_whole_chain(spark, rows):
     """Segments by blocks and by whole series."""
     how = model.Detection(min_duration=12.0, threshold=0.3, sigma=2.0, hop=1)

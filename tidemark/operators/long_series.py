@@ -22,7 +22,7 @@ from tidemark.operators.tables import Scratch
 BLOCK = 1 << 16
 #: Counted buckets of a round of selection; so many values or fewer are sorted.
 BUCKETS, SORTED = 1024, 4096
-#: A block of suppression spans so many distances, and sees so many of its neighbours'.
+#: A block of suppression spans so many distances at least, and sees so many of its neighbours'.
 SPAN, SEEN = 64, 8
 
 
@@ -170,11 +170,11 @@ def decide(idx: np.ndarray, height: np.ndarray, kept: np.ndarray, distance: floa
     return state
 
 
-def suppressed(peaks: DataFrame, series: str, height: str, scratch: Scratch) -> DataFrame:
+def suppressed(peaks: DataFrame, series: str, height: str, scratch: Scratch, block: int = 1) -> DataFrame:
     """(series, idx, height, distance): of peaks (the same) those kept: highest first, later first among equals, none nearer than its series' distance.
 
-    Rounds: blocks of many distances decide each peak whose fate does not hang on one out of sight;
-    the highest open peak never does, so each round decides some. As a rule two rounds are enough; a
+    Rounds: blocks of many distances, and of ``block`` indices if that is more, decide each peak whose
+    fate does not hang on one out of sight; the highest open peak never does, so each round decides some. As a rule two rounds are enough; a
     chain of ever higher peaks takes one for each block that it runs through.
     """
     left = peaks.select(series, F.col("idx").cast("long").alias("idx"), F.col(height).cast("double").alias("__h"), F.col("distance").cast("long").alias("distance"), F.lit(False).alias("kept"))
@@ -183,31 +183,36 @@ def suppressed(peaks: DataFrame, series: str, height: str, scratch: Scratch) ->
 
     def round_of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("idx", kind="stable")
-        idx, block, d = frame["idx"].to_numpy(), int(frame["block"].iloc[0]), int(frame["distance"].iloc[0])
-        low, high = block * SPAN * d, (block + 1) * SPAN * d
-        state = decide(idx, frame["__h"].to_numpy(), frame["kept"].to_numpy(), d, low - SEEN * d if block else -np.inf, high + SEEN * d)
+        idx, at, d = frame["idx"].to_numpy(), int(frame["__at"].iloc[0]), int(frame["distance"].iloc[0])
+        span = max(SPAN, -(-block // d)) * d
+        low, high = at * span, (at + 1) * span
+        state = decide(idx, frame["__h"].to_numpy(), frame["kept"].to_numpy(), d, low - SEEN * d if at else -np.inf, high + SEEN * d)
         own = (idx >= low) & (idx < high) & (state != 2)
         return pd.DataFrame({series: frame[series][own], "idx": idx[own], "__h": frame["__h"][own], "distance": d, "kept": state[own] == 1})
 
     while not left.where(~F.col("kept")).isEmpty():
-        size = F.col("distance") * SPAN
+        size = F.col("distance") * F.greatest(F.ceil(F.lit(block) / F.col("distance")), F.lit(SPAN))
         reach = F.col("distance") * SEEN
         blocks = F.sequence(F.greatest(F.floor((F.col("idx") - reach) / size), F.lit(0)), F.floor((F.col("idx") + reach) / size))
-        dealt = left.withColumn("block", F.explode(blocks))
-        last, left = left, scratch.written(dealt.groupBy(series, "block").applyInPandas(round_of, f"{series} {kind}, idx long, __h double, distance long, kept boolean"), "peaks")
+        dealt = left.withColumn("__at", F.explode(blocks))
+        last, left = left, scratch.written(dealt.groupBy(series, "__at").applyInPandas(round_of, f"{series} {kind}, idx long, __h double, distance long, kept boolean"), "peaks")
         scratch.drop(last)
     return left.select(series, "idx", F.col("__h").alias(height), "distance")
 
 
 def _next(places: DataFrame, series: str, scratch: Scratch, span: int) -> DataFrame:
-    """(series, pos, to): the first place at ``pos + gap`` or later; from (series, pos, gap), one row each."""
+    """(series, pos, to): the first place at ``pos + gap`` or later; from (series, pos, gap), one row each.
+
+    Windows run from the last place back, so that a row takes what was seen before it: a window
+    that looks ahead is computed anew over all of the rest at each row.
+    """
     asks = places.select(series, (F.col("pos") + F.col("gap")).alias("at"), F.col("pos").alias("__from"))
     every = asks.unionByName(places.select(series, F.col("pos").alias("at"), F.lit(None).cast("long").alias("__from"))).withColumn("part", F.floor(F.col("at") / span))
-    ahead = Window.partitionBy(series, "part").orderBy("at", F.col("__from").isNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = every.withColumn("__to", F.min(F.when(F.col("__from").isNull(), F.col("at"))).over(ahead)).where(F.col("__from").isNotNull())
+    back = Window.partitionBy(series, "part").orderBy(F.col("at").desc(), F.col("__from").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = every.withColumn("__to", F.min(F.when(F.col("__from").isNull(), F.col("at"))).over(back)).where(F.col("__from").isNotNull())
     # none left in its part: the first of the next part that has any; a row to a part
     parts = every.groupBy(series, "part").agg(F.min(F.when(F.col("__from").isNull(), F.col("at"))).alias("__first"))
-    beyond = F.min("__first").over(Window.partitionBy(series).orderBy("part").rowsBetween(1, Window.unboundedFollowing))
+    beyond = F.min("__first").over(Window.partitionBy(series).orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1))
     joined = found.join(parts.withColumn("__beyond", beyond).select(series, "part", "__beyond"), [series, "part"])
     return scratch.written(joined.select(series, F.col("__from").alias("pos"), F.coalesce("__to", "__beyond").alias("to")).where(F.col("to").isNotNull()), "next")
 
@@ -259,7 +264,7 @@ def peaks(curve: DataFrame, series: str, column: str, facts: DataFrame, scratch:
     # by series and part, so that a long series' maxima meet its height in many tasks
     by_part = high.join(found.select(series, "__part").distinct(), series)
     above = found.join(by_part, [series, "__part"]).where(F.col(column) >= F.col("height"))
-    return suppressed(above.select(series, "idx", column, "distance"), series, column, scratch)
+    return suppressed(above.select(series, "idx", column, "distance"), series, column, scratch, BLOCK)
 
 
 def analyse(rows: DataFrame, series: str, features: list[str], how: model.Detection, block: int = BLOCK) -> DataFrame:
