@@ -107,3 +107,37 @@ def test_settled_events_are_forgotten(rocks, tmp_path):
         rocks.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         out = run(rocks, source, tmp_path, "1 hour")
     assert out["a"] == ("completed", 100, None, T0 + 9.8 * HOUR, 2, 3, 0)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_groups_of_tasks(rocks, tmp_path, zone):
+    """State is kept by group: many tasks take few entries. Numbers beyond 2^53 beside a null, late and repeated events, in any time zone."""
+    rows = [(None if r[0] == "t0" else 2**60 + int(r[0][1:]), *r[1:]) for r in history(11, 300)]
+    random.Random(2).shuffle(rows)
+    schema, source, out = SCHEMA.replace("task_id string", "task_id long"), f"file://{tmp_path}/events", f"file://{tmp_path}/states"
+    before = rocks.conf.get("spark.sql.session.timeZone")
+    rocks.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for part in (rows[::2], rows[1::2]):
+            rocks.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = rocks.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        writer = lifecycle.states(stream, "task_id", "100 hours", groups=8).writeStream.outputMode("update").foreachBatch(lambda batch, epoch: sink.upsert(batch, epoch, out))
+        query = writer.option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert found(sink.read_upserts(rocks, out, "task_id").collect()) == fold(rows)
+        # a value and a timer with its index for each group, and for the tasks without a name
+        assert 0 < query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 9
+    finally:
+        rocks.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_groups_settle_as_time_passes(rocks, tmp_path):
+    """Tasks of two groups over batches in order of time: each batch settles some, and timers sweep others."""
+    rows = sorted(history(13, 60), key=lambda r: r[1])
+    source, size = f"file://{tmp_path}/events", len(rows) // 6 + 1
+    for k in range(0, len(rows), size):
+        rocks.createDataFrame(rows[k : k + size], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stream = rocks.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    back = sink.run_available(lifecycle.states(stream, "task_id", "1 hour", groups=2), "task_id", f"file://{tmp_path}/state").collect()
+    wanted = fold(rows, rows[-1][1] - HOUR)
+    assert found(back) == wanted and wanted != fold(rows)
